@@ -13,6 +13,17 @@ from tokengraph.functions.text import keep_disjoint_any, keep_disjoint_in_order,
 ENTITY_TYPE = "array<struct<entity_type:string,start:int,end:int,value:string,confidence:double>>"
 HINT_TYPE = "array<struct<start:int,end:int,entity_type:string>>"
 
+# Suffix words that contain no other suffix word: one of them is in every text the organisation pattern matches.
+_ORG_STEMS = [w for w in K.ORG_SUFFIX_WORDS if not any(v != w and v in w for v in K.ORG_SUFFIX_WORDS)]
+
+
+def _has_org_stem(text: Column) -> Column:
+    out = text.contains(_ORG_STEMS[0])
+    for w in _ORG_STEMS[1:]:
+        out = out | text.contains(w)
+    return out
+
+
 # Cheap tests that must hold wherever the pattern can match; they spare the regex on most rows.
 _PREFILTER = {
     "EMAIL_ADDRESS": lambda t: t.contains("@"),
@@ -23,6 +34,7 @@ _PREFILTER = {
     "PHONE_NUMBER": lambda t: t.rlike(r"\d{3}[-.\s]?\d{4}"),
     "CREDIT_CARD": lambda t: t.rlike(r"[345]\d{12}"),
     "LOCATION": lambda t: t.rlike(r"\d\s+[A-Za-z0-9\s,.-]"),
+    "ORGANIZATION": _has_org_stem,
 }
 
 
@@ -72,14 +84,18 @@ def candidate_column(
     recognizers: Sequence[tuple[str, str, float]] = tuple(K.RECOGNIZERS),
     categories: Column | None = None,
     min_confidence: Column | float = K.DEFAULT_MIN_CONFIDENCE,
+    person_filter: bool = True,
 ) -> Column:
-    """Every match of every recognizer that is wanted, before overlaps are resolved."""
+    """Every match of every recognizer that is wanted, before overlaps are resolved.
+
+    ``person_filter`` drops people that are job titles, stop phrases or company names.
+    """
     floor = min_confidence if isinstance(min_confidence, Column) else F.lit(float(min_confidence))
     empty = F.array().cast(ENTITY_TYPE)
     found = []
     for entity_type, pattern, score in recognizers:
         spans = match_spans(shadowed, text, pattern)
-        if entity_type == "PERSON":
+        if entity_type == "PERSON" and person_filter:
             spans = F.filter(spans, lambda s: _person_ok(s["value"]))
         entities = F.transform(spans, _as_entity(entity_type, score))
         wanted = F.lit(float(score)) >= floor
@@ -117,11 +133,11 @@ def resolve_score_first(entities: Column) -> Column:
     return F.when(F.size(entities) < 2, entities).otherwise(F.transform(by_start, lambda r: r["e"]))
 
 
-def refine_people(entities: Column, text: Column) -> Column:
+def refine_people(entities: Column, text: Column, shadowed: Column) -> Column:
     """Extend people over a directly following ``-Surname``; relabel company-like people as organisations."""
 
     def extend(e: Column) -> Column:
-        tail = F.regexp_extract(F.substring(text, e["end"] + 1, F.lit(200)), r"^-[A-Za-z]+\b", 0)
+        tail = F.regexp_extract(F.substring(shadowed, e["end"] + 1, F.length(shadowed)), r"^-[A-Za-z]+\b", 0)
         end = F.when(e["entity_type"] == "PERSON", e["end"] + F.length(tail)).otherwise(e["end"])
         return F.struct(
             e["entity_type"].alias("entity_type"),
@@ -197,13 +213,13 @@ def detect(
     cats = F.col(categories) if categories else None
     floor = F.col(min_confidence) if isinstance(min_confidence, str) else min_confidence
     found = df.withColumn("_shadow", shadow(F.col(text))).withColumn(
-        "_found", candidate_column(F.col(text), F.col("_shadow"), recognizers, cats, floor)
+        "_found", candidate_column(F.col(text), F.col("_shadow"), recognizers, cats, floor, overlap != "score")
     )
     raw = F.col("_found")
     if overlap == "start":
         entities = resolve_start_first(raw)
     elif overlap == "score":
-        entities = resolve_score_first(refine_people(raw, F.col(text)))
+        entities = resolve_score_first(refine_people(raw, F.col(text), F.col("_shadow")))
     elif overlap == "none":
         entities = raw
     else:

@@ -12,7 +12,7 @@ from tokengraph.functions.text import py_trim
 # line, or two or more pipe lines none of which starts with '#'. Group repeats are possessive, so the JVM runs them
 # as loops and a long table cannot overflow the stack.
 _PIPE_LINE = r"[^\n|]*+\|[^\n]*+"
-_SEPARATOR = r"[ \t]*+\|?+[ \t]*+(?:(?::?+-++:?+[ \t]*+\|)[ \t]*+)++(?::?+-++:?+[ \t]*+)?+\|?+[ \t]*+(?=\n|\z)"
+_SEPARATOR = r"[ \t]*+\|?+[ \t]*+(?::?+-++:?+[ \t]*+\|)++[ \t]*+(?::?+-++:?+[ \t]*+)?+\|?+[ \t]*+(?=\n|\z)"
 _PLAIN_PIPE_LINE = r"(?![ \t]*+#)" + _PIPE_LINE
 TABLE_BLOCK = (
     rf"(?:(?<=\n)|\A)(?:{_PIPE_LINE}\n{_SEPARATOR}(?:\n{_PIPE_LINE})*+"

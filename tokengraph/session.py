@@ -19,7 +19,7 @@ SETTINGS = {
 def local_session(cores: str = "8", app: str = "tokengraph", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks. On a cluster, use the session you are given."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
-    base = {**SETTINGS, "spark.sql.shuffle.partitions": cores, "spark.ui.enabled": "false", "spark.driver.memory": "8g"}
+    base = {**SETTINGS, "spark.sql.shuffle.partitions": cores, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"}
     for k, v in {**base, **conf}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()

@@ -90,9 +90,9 @@ def _decoder():
     @F.pandas_udf(HEADER_SCHEMA)
     def decode(raw: pd.Series) -> pd.DataFrame:
         names = [part.strip().split(" ")[0] for part in HEADER_SCHEMA.split(",") if part.strip()]
-        frame = pd.DataFrame([_header_row(r) for r in raw], columns=names)
-        frame["max_traversal_depth"] = frame["max_traversal_depth"].astype("Int32")
-        return frame
+        rows = [_header_row(r) for r in raw]
+        frame = pd.DataFrame([[r.get(n) for n in names] for r in rows], columns=names, dtype=object)
+        return frame.astype({"max_traversal_depth": "Int32", "min_confidence": "Float64"})
 
     return decode
 
