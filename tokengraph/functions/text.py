@@ -12,6 +12,24 @@ SPAN_TYPE = "array<struct<start:int,end:int,value:string>>"
 _OPEN, _CLOSE = "\u0001", "\u0002"
 
 
+def quote(s: str) -> str:
+    """Spark SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def literal_array(values: list[str]) -> Column:
+    return F.expr(f"array({', '.join(quote(v) for v in values)})")
+
+
+def literal_map(mapping: dict[str, str]) -> Column:
+    return F.expr(f"map({', '.join(quote(x) for pair in mapping.items() for x in pair)})")
+
+
+def literal_pairs(pairs: list[tuple[str, str]]) -> Column:
+    """Array of structs (k, v)."""
+    return F.expr(f"array({', '.join(f'named_struct(\'k\', {quote(k)}, \'v\', {quote(v)})' for k, v in pairs)})")
+
+
 def py_trim(c: Column) -> Column:
     """Trim every kind of ASCII white space (``trim`` alone removes blanks only)."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -25,8 +43,8 @@ def strip_chars(c: Column, chars: str) -> Column:
 def shadow(text: Column) -> Column:
     """ASCII text of the same length whose word boundaries are those of the Unicode text.
 
-    Letters and digits outside ASCII become ``_`` (a word character no pattern asks for by name), other white space
-    becomes a tab, anything else ``~``. Patterns run on the shadow; values are cut from the original by offset.
+    Letters and digits outside ASCII become ``_`` (a word character), other white space becomes a tab, anything else
+    ``~``. Patterns run on the shadow; values are cut from the original by offset.
     """
     letters = F.regexp_replace(text, r"[\p{L}\p{N}&&[^\x00-\x7F]]", "_")
     blanks = F.regexp_replace(letters, r"[\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]", "\t")
@@ -34,28 +52,21 @@ def shadow(text: Column) -> Column:
     return F.when(text.rlike(r"[^\x00\x03-\x7F]"), full).otherwise(text)
 
 
-def match_spans(shadowed: Column, original: Column, pattern: str) -> Column:
-    """All non-overlapping matches with half-open character offsets, as ``SPAN_TYPE``.
+def match_spans(shadowed: str, original: str, pattern: str) -> str:
+    """SQL for all non-overlapping matches with half-open character offsets, as ``SPAN_TYPE``.
 
     Spark has no offset function, so every match is wrapped in two markers and the text is split on them: odd pieces
-    are matches and running piece lengths are offsets.
+    are matches and running piece lengths are offsets. ``shadowed`` and ``original`` are column names. It is SQL text
+    because one parsed expression is built much faster than hundreds of single calls.
     """
-    pieces = F.split(F.regexp_replace(shadowed, f"({pattern})", f"{_OPEN}$1{_CLOSE}"), f"[{_OPEN}{_CLOSE}]")
-    empty = F.array().cast(SPAN_TYPE)
-
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["pos"] + F.length(piece)
-        exact = ~piece.contains("_") & ~piece.contains("\t")
-        value = F.when(exact, piece).otherwise(F.substring(original, acc["pos"] + 1, F.length(piece)))
-        span = F.struct(acc["pos"].alias("start"), end.alias("end"), value.alias("value"))
-        return F.struct(
-            end.alias("pos"),
-            (~acc["hit"]).alias("hit"),
-            F.when(acc["hit"], F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"),
-        )
-
-    zero = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("hit"), empty.alias("out"))
-    return F.aggregate(pieces, zero, step, lambda acc: acc["out"])
+    value = f"if(contains(p, '_') or contains(p, '\\t'), substring({original}, a.pos + 1, length(p)), p)"
+    span = f"named_struct('start', a.pos, 'end', a.pos + length(p), 'value', {value})"
+    return (
+        f"aggregate(split(regexp_replace({shadowed}, {quote('(' + pattern + ')')}, '{_OPEN}$1{_CLOSE}'), '[{_OPEN}{_CLOSE}]'), "
+        f"named_struct('pos', 0, 'hit', false, 'out', cast(array() as {SPAN_TYPE})), "
+        f"(a, p) -> named_struct('pos', a.pos + length(p), 'hit', not a.hit, 'out', if(a.hit, concat(a.out, array({span})), a.out)), "
+        f"a -> a.out)"
+    )
 
 
 def keep_disjoint_in_order(sorted_spans: Column, span_type: str) -> Column:
@@ -97,7 +108,9 @@ def replace_spans(text: Column, spans: Column, replacement) -> Column:
 
 def first_word_hit(text: Column, phrases: list[tuple[str, str]]) -> Column:
     """Value of the first (phrase, value) whose phrase is contained in ``text``; null when none is."""
-    out = F.lit(None).cast("string")
-    for phrase, value in reversed(phrases):
-        out = F.when(F.contains(text, F.lit(phrase)), F.lit(value)).otherwise(out)
-    return out
+    hits = F.filter(literal_pairs(phrases), lambda p: F.contains(text, p["k"]))
+    return F.get(hits, F.lit(0))["v"]
+
+
+def contains_any(text: Column, words: list[str]) -> Column:
+    return F.exists(literal_array(words), lambda w: F.contains(text, w))

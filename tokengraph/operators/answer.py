@@ -12,16 +12,10 @@ from pyspark.sql import functions as F
 
 from tokengraph.functions import constants as K
 from tokengraph.functions.ordered import chunked_text, nth_per_group
-from tokengraph.functions.text import first_word_hit
+from tokengraph.functions.text import contains_any, first_word_hit, literal_map
 from tokengraph.operators.retrieve import department_named
 from tokengraph.operators.tokens import find_tokens
-
-
-def _any_of(text: Column, words: list[str]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | F.contains(text, F.lit(w))
-    return out
+from tokengraph.session import cut
 
 
 def intent(low: Column) -> Column:
@@ -30,15 +24,15 @@ def intent(low: Column) -> Column:
 
 
 def is_list_question(low: Column) -> Column:
-    return _any_of(low, K.LIST_PHRASES)
+    return contains_any(low, K.LIST_PHRASES)
 
 
 def is_retention_question(low: Column) -> Column:
-    return F.contains(low, F.lit("retention")) & _any_of(low, ["bonus", "terms", "package", "offer"])
+    return F.contains(low, F.lit("retention")) & contains_any(low, ["bonus", "terms", "package", "offer"])
 
 
 def is_chain_question(low: Column) -> Column:
-    return F.contains(low, F.lit("report")) & _any_of(low, ["that person", "and who does", "chain", "hierarchy"])
+    return F.contains(low, F.lit("report")) & contains_any(low, ["that person", "and who does", "chain", "hierarchy"])
 
 
 def question_columns(prepared: DataFrame) -> DataFrame:
@@ -111,27 +105,20 @@ def generic_intent(questions: DataFrame, targets: DataFrame, index: DataFrame) -
 
 
 def _phrase(predicate: Column, subject: Column, value: Column, low: Column) -> Column:
-    """Word one looked-up fact."""
-
-    def fill(template: str) -> Column:
-        parts, rest = [], template
-        while rest:
-            at = min((i for i in (rest.find("{s}"), rest.find("{v}")) if i >= 0), default=-1)
-            if at < 0:
-                parts.append(F.lit(rest))
-                break
-            if at > 0:
-                parts.append(F.lit(rest[:at]))
-            parts.append(subject if rest[at : at + 3] == "{s}" else value)
-            rest = rest[at + 3 :]
-        return F.concat(*parts)
-
-    names = F.create_map(*[F.lit(x) for pair in K.READABLE_PREDICATES.items() for x in pair])
-    readable = F.coalesce(F.try_element_at(names, predicate), F.lower(predicate))
-    out = F.when((predicate == "HAS_SSN") & F.contains(low, F.lit("social security")), fill(K.SSN_LONG_PHRASE))
-    for p, template in K.ANSWER_PHRASES.items():
-        out = out.when(predicate == p, fill(template))
-    return out.otherwise(F.concat(subject, F.lit("'s "), readable, F.lit(" is "), value, F.lit(".")))
+    """Word one looked-up fact: the template of its predicate with subject and value put in."""
+    template = F.coalesce(
+        F.when((predicate == "HAS_SSN") & F.contains(low, F.lit("social security")), K.SSN_LONG_PHRASE),
+        F.try_element_at(literal_map(K.ANSWER_PHRASES), predicate),
+        F.concat(
+            F.lit("{s}'s "),
+            F.coalesce(F.try_element_at(literal_map(K.READABLE_PREDICATES), predicate), F.lower(predicate)),
+            F.lit(" is {v}."),
+        ),
+    )
+    # Cut at the value mark first, so that a subject or value with braces is never taken for a mark.
+    around = F.split(template, r"\{v\}")
+    before = F.replace(F.get(around, F.lit(0)), F.lit("{s}"), subject)
+    return F.concat(before, value, F.get(around, F.lit(1)))
 
 
 def lookup_answers(questions: DataFrame, targets: DataFrame, index: DataFrame) -> DataFrame:
@@ -157,7 +144,7 @@ def lookup_answers(questions: DataFrame, targets: DataFrame, index: DataFrame) -
         .groupBy("query_id")
         .agg(F.min(F.struct("r", "vals"))["vals"].alias("vals"))
     )
-    names = F.create_map(*[F.lit(x) for pair in K.READABLE_PREDICATES.items() for x in pair])
+    names = literal_map(K.READABLE_PREDICATES)
     absent = F.concat(
         F.lit("No "), F.coalesce(F.try_element_at(names, F.col("asked")), F.lit("record")), F.lit(" record was found for "),
         "subject", F.lit(" in the knowledge base."),
@@ -267,7 +254,7 @@ def list_items(questions: DataFrame, index: DataFrame) -> DataFrame:
         F.when(use_d & use_m, F.col("xdmr")).when(use_d, F.col("xdr")).when(use_m, F.col("xmr")).otherwise(F.col("xr"))
     )
     kept = per_subject.join(flags, "query_id").filter((~use_d | d) & (~use_m | m) & (~use_r | r))
-    names = F.create_map(*[F.lit(x) for pair in K.READABLE_PREDICATES.items() for x in pair])
+    names = literal_map(K.READABLE_PREDICATES)
     label = F.upper(F.coalesce(F.try_element_at(names, F.col("intent")), F.col("intent")))
     plain = F.concat_ws(
         " — ",
@@ -367,8 +354,9 @@ def retention_answers(questions: DataFrame, index: DataFrame, per_chunk: int = 1
 
 def answer_queries(prepared: DataFrame, facts: DataFrame) -> DataFrame:
     """(query_id, route, chunk, answer) for every question; exactly one route per question."""
+    # The routes below read these several times; they are small next to the subgraphs they come from.
     questions = question_columns(prepared)
-    index = fact_index(facts)
+    index = cut(fact_index(facts))
     has = index.select("query_id").distinct()
     known = questions.join(has, "query_id", "left_semi")
     zero = F.lit(0).cast("bigint")
@@ -377,9 +365,9 @@ def answer_queries(prepared: DataFrame, facts: DataFrame) -> DataFrame:
     lists = known.filter(~F.col("is_retention"))
     items = list_items(lists, index)
     rest = lists.filter(~F.col("is_list"))
-    targets = target_subjects(rest, index)
-    chain = reporting_chains(targets.join(rest.filter("is_chain").select("query_id"), "query_id", "left_semi"), index)
-    single = lookup_answers(rest.join(chain.select("query_id"), "query_id", "left_anti"), targets, index)
+    targets = cut(target_subjects(rest, index))
+    chain = cut(reporting_chains(targets.join(rest.filter("is_chain").select("query_id"), "query_id", "left_semi"), index))
+    single = cut(lookup_answers(rest.join(chain.select("query_id"), "query_id", "left_anti"), targets, index))
     summaries = entity_summaries(index)
     about = (
         summaries.join(targets, ["query_id", "subject"])

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tokengraph.functions import constants as K
-from tokengraph.functions.text import py_trim, strip_chars
+from tokengraph.functions.text import literal_map, py_trim, strip_chars
 
 FACT_TYPE = "array<struct<predicate:string,value:string,entity_type:string>>"
 
@@ -16,7 +16,7 @@ FACT_TYPE = "array<struct<predicate:string,value:string,entity_type:string>>"
 def header_predicate(header: Column) -> Column:
     """Table header -> graph predicate: the synonym map, else ``HAS_<SLUG>``, else ``RELATED_TO``."""
     clean = F.lower(py_trim(header))
-    known = F.create_map(*[F.lit(x) for pair in K.HEADER_PREDICATES.items() for x in pair])
+    known = literal_map(K.HEADER_PREDICATES)
     slug = F.upper(F.regexp_replace(py_trim(F.regexp_replace(clean, r"(?U)[^\w\s]", "")), r"\s+", "_"))
     return F.coalesce(
         F.try_element_at(known, clean), F.when(slug == "", "RELATED_TO").otherwise(F.concat(F.lit("HAS_"), slug))

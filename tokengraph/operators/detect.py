@@ -8,7 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokengraph.functions import constants as K
-from tokengraph.functions.text import keep_disjoint_any, keep_disjoint_in_order, match_spans, shadow
+from tokengraph.functions.text import (
+    keep_disjoint_any,
+    keep_disjoint_in_order,
+    literal_map,
+    match_spans,
+    quote,
+    shadow,
+)
 
 ENTITY_TYPE = "array<struct<entity_type:string,start:int,end:int,value:string,confidence:double>>"
 HINT_TYPE = "array<struct<start:int,end:int,entity_type:string>>"
@@ -17,25 +24,23 @@ HINT_TYPE = "array<struct<start:int,end:int,entity_type:string>>"
 _ORG_STEMS = [w for w in K.ORG_SUFFIX_WORDS if not any(v != w and v in w for v in K.ORG_SUFFIX_WORDS)]
 
 
-def _has_org_stem(text: Column) -> Column:
-    out = text.contains(_ORG_STEMS[0])
-    for w in _ORG_STEMS[1:]:
-        out = out | text.contains(w)
-    return out
-
-
 # Cheap tests that must hold wherever the pattern can match; they spare the regex on most rows.
 _PREFILTER = {
-    "EMAIL_ADDRESS": lambda t: t.contains("@"),
-    "SALARY": lambda t: t.contains("$"),
-    "PROJECT_CODE": lambda t: t.contains("PRJ-"),
-    "EMPLOYEE_ID": lambda t: t.contains("EMP-"),
-    "US_SSN": lambda t: t.rlike(r"\d-\d{2}-\d"),
-    "PHONE_NUMBER": lambda t: t.rlike(r"\d{3}[-.\s]?\d{4}"),
-    "CREDIT_CARD": lambda t: t.rlike(r"[345]\d{12}"),
-    "LOCATION": lambda t: t.rlike(r"\d\s+[A-Za-z0-9\s,.-]"),
-    "ORGANIZATION": _has_org_stem,
+    "EMAIL_ADDRESS": "contains({t}, '@')",
+    "SALARY": "contains({t}, '$')",
+    "PROJECT_CODE": "contains({t}, 'PRJ-')",
+    "EMPLOYEE_ID": "contains({t}, 'EMP-')",
+    "US_SSN": r"rlike({t}, '\\d-\\d{{2}}-\\d')",
+    "PHONE_NUMBER": r"rlike({t}, '\\d{{3}}[-.\\s]?\\d{{4}}')",
+    "CREDIT_CARD": r"rlike({t}, '[345]\\d{{12}}')",
+    "LOCATION": r"rlike({t}, '\\d\\s+[A-Za-z0-9\\s,.-]')",
+    "ORGANIZATION": "(" + " or ".join(f"contains({{t}}, '{w}')" for w in _ORG_STEMS) + ")",
 }
+# A PERSON value that is no job title, stop phrase or company name.
+PERSON_OK = (
+    f"(lower({{v}}) not in ({', '.join(quote(p) for p in K.PERSON_STOP_PHRASES)}) "
+    f"and not contains(lower({{v}}), 'social security') and not rlike({{v}}, {quote(K.ORG_WORD_PATTERN)}))"
+)
 
 
 def category_allowed(entity_type: str, categories: Column) -> Column:
@@ -47,7 +52,7 @@ def category_allowed(entity_type: str, categories: Column) -> Column:
 
 def resolve_categories(categories: Column) -> Column:
     """Replace short category names by entity types."""
-    names = F.create_map(*[F.lit(x) for pair in K.CATEGORY_ALIASES.items() for x in pair])
+    names = literal_map(K.CATEGORY_ALIASES)
     return F.transform(categories, lambda c: F.coalesce(F.try_element_at(names, c), c))
 
 
@@ -60,27 +65,9 @@ def unknown_categories(docs: DataFrame, id_col: str, categories: str) -> DataFra
     )
 
 
-def _person_ok(value: Column) -> Column:
-    low = F.lower(value)
-    return ~low.isin(K.PERSON_STOP_PHRASES) & ~low.contains("social security") & ~value.rlike(K.ORG_WORD_PATTERN)
-
-
-def _as_entity(entity_type: str, score: float):
-    def build(s: Column) -> Column:
-        return F.struct(
-            F.lit(entity_type).alias("entity_type"),
-            s["start"].alias("start"),
-            s["end"].alias("end"),
-            s["value"].alias("value"),
-            F.lit(float(score)).alias("confidence"),
-        )
-
-    return build
-
-
 def candidate_column(
-    text: Column,
-    shadowed: Column,
+    text: str,
+    shadowed: str,
     recognizers: Sequence[tuple[str, str, float]] = tuple(K.RECOGNIZERS),
     categories: Column | None = None,
     min_confidence: Column | float = K.DEFAULT_MIN_CONFIDENCE,
@@ -88,23 +75,32 @@ def candidate_column(
 ) -> Column:
     """Every match of every recognizer that is wanted, before overlaps are resolved.
 
-    ``person_filter`` drops people that are job titles, stop phrases or company names.
+    ``text`` and ``shadowed`` are column names. ``person_filter`` drops people that are job titles, stop phrases or
+    company names.
     """
-    floor = min_confidence if isinstance(min_confidence, Column) else F.lit(float(min_confidence))
-    empty = F.array().cast(ENTITY_TYPE)
     found = []
     for entity_type, pattern, score in recognizers:
-        spans = match_spans(shadowed, text, pattern)
+        # An address may hold every ASCII word character, so no stand-in works for it: it runs on the text itself.
+        if entity_type == "EMAIL_ADDRESS":
+            spans = match_spans(text, text, "(?U)" + pattern)
+        else:
+            spans = match_spans(shadowed, text, pattern)
         if entity_type == "PERSON" and person_filter:
-            spans = F.filter(spans, lambda s: _person_ok(s["value"]))
-        entities = F.transform(spans, _as_entity(entity_type, score))
-        wanted = F.lit(float(score)) >= floor
-        if categories is not None:
-            wanted = wanted & category_allowed(entity_type, categories)
-        prefilter = _PREFILTER.get(entity_type)
-        wanted = wanted & (prefilter(shadowed) if prefilter else shadowed.rlike(pattern))
-        found.append(F.when(wanted, entities).otherwise(empty))
-    return F.concat(*found)
+            spans = f"filter({spans}, s -> {PERSON_OK.format(v='s.value')})"
+        entity = (
+            f"named_struct('entity_type', {quote(entity_type)}, 'start', s.start, 'end', s.end, 'value', s.value, "
+            f"'confidence', double({float(score)!r}))"
+        )
+        test = _PREFILTER.get(entity_type, "rlike({t}, " + quote(pattern).replace("{", "{{").replace("}", "}}") + ")")
+        hit = F.expr(f"if({test.format(t=shadowed)}, transform({spans}, s -> {entity}), cast(array() as {ENTITY_TYPE}))")
+        wanted = category_allowed(entity_type, categories) if categories is not None else None
+        if isinstance(min_confidence, Column):
+            above = F.lit(float(score)) >= min_confidence
+            wanted = above if wanted is None else wanted & above
+        elif score < min_confidence:
+            continue
+        found.append(hit if wanted is None else F.when(wanted, hit).otherwise(F.array().cast(ENTITY_TYPE)))
+    return F.concat(*found) if found else F.array().cast(ENTITY_TYPE)
 
 
 def _ranked(entities: Column, by_score: bool) -> Column:
@@ -213,7 +209,7 @@ def detect(
     cats = F.col(categories) if categories else None
     floor = F.col(min_confidence) if isinstance(min_confidence, str) else min_confidence
     found = df.withColumn("_shadow", shadow(F.col(text))).withColumn(
-        "_found", candidate_column(F.col(text), F.col("_shadow"), recognizers, cats, floor, overlap != "score")
+        "_found", candidate_column(text, "_shadow", recognizers, cats, floor, overlap != "score")
     )
     raw = F.col("_found")
     if overlap == "start":

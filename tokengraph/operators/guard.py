@@ -22,7 +22,7 @@ def scan_injections(df: DataFrame, text: str = "text") -> DataFrame:
 
 def leak_warnings(text: Column) -> Column:
     """Warnings for personal data in an answer."""
-    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(label)) for p, label in K.LEAK_PATTERNS]))
+    return F.array_compact(F.array(*[F.when(text.rlike("(?U)" + p), F.lit(label)) for p, label in K.LEAK_PATTERNS]))
 
 
 def unsafe_queries(lines: DataFrame, query_id: str = "query_id", line: str = "line") -> DataFrame:

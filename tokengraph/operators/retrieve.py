@@ -7,23 +7,28 @@ from pyspark.sql import functions as F
 
 from tokengraph.functions import constants as K
 from tokengraph.functions.hashing import TokenKey
-from tokengraph.functions.text import first_word_hit, strip_chars
+from tokengraph.functions.text import contains_any, first_word_hit, literal_array, strip_chars
 from tokengraph.operators import graph as G
 from tokengraph.operators import vault as V
 from tokengraph.operators.detect import detect, explode_entities
 from tokengraph.operators.tokens import find_tokens, tokenize
+from tokengraph.session import cut
 
 
-def prepare_queries(queries: DataFrame, key: TokenKey) -> DataFrame:
-    """Add ``entities``, ``tokenized``, ``tokens``, ``keywords``, ``department``, ``depth`` to (query_id, query_text)."""
+def prepare_queries(queries: DataFrame, key: TokenKey, store: bool = True) -> DataFrame:
+    """Add ``entities``, ``tokenized``, ``tokens``, ``keywords``, ``department``, ``depth`` to (query_id, query_text).
+
+    The result is joined many times downstream, so it is materialised in the shared folder unless ``store`` is off.
+    """
     done = tokenize(detect(queries, "query_text"), key, "query_text")
     low = F.lower("tokenized")
-    return (
+    ready = (
         done.withColumn("tokens", F.array_distinct(find_tokens(F.col("tokenized"))))
         .withColumn("keywords", keywords(F.col("tokenized")))
         .withColumn("department", department_named(low))
         .withColumn("depth", traversal_depth(low))
     )
+    return cut(ready) if store else ready
 
 
 def query_vault_rows(prepared: DataFrame) -> DataFrame:
@@ -34,7 +39,7 @@ def query_vault_rows(prepared: DataFrame) -> DataFrame:
 
 def keywords(query: Column) -> Column:
     """Lower-case words without stop words and short words; parts of hyphenated words are added."""
-    stop = F.array(*[F.lit(w) for w in K.STOP_WORDS])
+    stop = literal_array(K.STOP_WORDS)
 
     def wanted(w: Column) -> Column:
         return (F.length(w) > 2) & ~F.array_contains(stop, w)
@@ -59,10 +64,7 @@ def department_named(low: Column) -> Column:
 
 def traversal_depth(low: Column, default: int = 3) -> Column:
     """One hop, or ``max(3, default)`` when the question asks about a hierarchy."""
-    deep = F.lit(False)
-    for w in K.HIERARCHY_WORDS:
-        deep = deep | F.contains(low, F.lit(w))
-    return F.when(deep, F.lit(max(3, default))).otherwise(F.lit(1))
+    return F.when(contains_any(low, K.HIERARCHY_WORDS), F.lit(max(3, default))).otherwise(F.lit(1))
 
 
 def _trigrams(text: Column) -> Column:
@@ -94,7 +96,7 @@ def match_nodes(words: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def department_members(edges: DataFrame) -> DataFrame:
     """Distinct (department, node) for subjects of IN_DEPARTMENT edges, per listed department the object names."""
-    names = F.array(*[F.lit(d) for d in K.DEPARTMENTS])
+    names = literal_array(K.DEPARTMENTS)
     return (
         edges.filter(F.col("predicate") == "IN_DEPARTMENT")
         .select(

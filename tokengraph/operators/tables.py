@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tokengraph.functions import constants as K
-from tokengraph.functions.text import py_trim
+from tokengraph.functions.text import literal_map, py_trim
 from tokengraph.operators.composite import FACT_TYPE, decompose, header_predicate, is_composite
 from tokengraph.operators.detect import HINT_TYPE
 
@@ -66,12 +66,11 @@ def unpivot_rows(df: DataFrame, key: list[str]) -> DataFrame:
 
 
 def _sentence_parts() -> tuple[Column, Column]:
-    mids, tails = [], []
+    mids, tails = {}, {}
     for predicate, template in K.SENTENCE_TEMPLATES.items():
         mid, tail = template.removeprefix("{subj}").split("{val}")
-        mids += [F.lit(predicate), F.lit(mid)]
-        tails += [F.lit(predicate), F.lit(tail)]
-    return F.create_map(*mids), F.create_map(*tails)
+        mids[predicate], tails[predicate] = mid, tail
+    return literal_map(mids), literal_map(tails)
 
 
 def fact_sentence(subject: Column, predicate: Column, value: Column) -> Column:
@@ -119,7 +118,7 @@ def typed_spans(sentence: Column, subject: Column, value: Column, subject_type:
 def infer_type(header: Column, n: Column, url: Column, rating: Column, org: Column, person: Column) -> Column:
     """Ordered typing rule over a header and the value-shape fractions of its column."""
     h = F.lower(py_trim(header))
-    by_predicate = F.create_map(*[F.lit(x) for pair in K.PREDICATE_ENTITY_TYPES.items() for x in pair])
+    by_predicate = literal_map(K.PREDICATE_ENTITY_TYPES)
     known = F.try_element_at(by_predicate, header_predicate(header))
     return F.coalesce(
         known,

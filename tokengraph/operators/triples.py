@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tokengraph.functions import constants as K
 from tokengraph.functions.ordered import carry_forward
-from tokengraph.functions.text import py_trim, strip_chars
+from tokengraph.functions.text import literal_pairs, py_trim, strip_chars
 from tokengraph.operators.composite import let
 from tokengraph.operators.tokens import find_tokens
 
@@ -30,9 +30,7 @@ def verb_phrase(low: Column, match: str = "word") -> Column:
     ``word`` asks for word boundaries, so that "are" is not found in "software" and "is a" not in "is an";
     ``substring`` is the plain containment test.
     """
-    phrases = F.array(
-        *[F.struct(F.lit(p).alias("phrase"), F.lit(v).alias("predicate")) for p, v in K.VERB_PREDICATES.items()]
-    )
+    phrases = literal_pairs(list(K.VERB_PREDICATES.items()))
     if match == "substring":
         hay, pad = low, F.lit("")
     elif match == "word":
@@ -42,15 +40,15 @@ def verb_phrase(low: Column, match: str = "word") -> Column:
         raise ValueError(f"unknown match rule {match!r}")
 
     def pick(text: Column) -> Column:
-        hit = F.get(F.filter(phrases, lambda p: F.contains(text, F.concat(pad, p["phrase"], pad))), F.lit(0))
+        hit = F.get(F.filter(phrases, lambda p: F.contains(text, F.concat(pad, p["k"], pad))), F.lit(0))
         return let(
             hit,
             lambda h: F.when(
                 h.isNotNull(),
                 F.struct(
-                    h["phrase"].alias("phrase"),
-                    h["predicate"].alias("predicate"),
-                    _position(F.concat(pad, h["phrase"], pad), text).alias("pos"),
+                    h["k"].alias("phrase"),
+                    h["v"].alias("predicate"),
+                    _position(F.concat(pad, h["k"], pad), text).alias("pos"),
                 ),
             ),
         )

@@ -68,7 +68,7 @@ S.CTE["qsub"] = (
 
 
 def _prepared(spark, sf):
-    return cut(D.prepared_questions(spark, sf))
+    return D.prepared_questions(spark, sf)
 
 
 def _retrieved(spark, sf):
@@ -84,7 +84,7 @@ def _retrieved(spark, sf):
 
 @query("query_tokenize", S.sql(["qx"], "SELECT query_id, tokenized, array_to_string(tokens, ',') AS tokens, depth::BIGINT AS depth, dept AS department FROM qx"))
 def query_tokenize(spark, sf):
-    return D.prepared_questions(spark, sf).select(
+    return R.prepare_queries(D.questions(spark, sf), D.KEY, store=False).select(
         "query_id", "tokenized", F.array_join("tokens", ",").alias("tokens"), F.col("depth").cast("bigint").alias("depth"), "department"
     )
 
@@ -92,7 +92,7 @@ def query_tokenize(spark, sf):
 @query("query_vault", S.sql(["qents"], "SELECT token, any_value(entity_type) AS entity_type, any_value(value) AS value, any_value(dig) AS hmac_digest, 'query' AS first_doc_id FROM qents GROUP BY token"))
 def query_vault(spark, sf):
     """Sensitive values of the questions go to the vault under the pseudo document."""
-    rows = R.query_vault_rows(D.prepared_questions(spark, sf))
+    rows = R.query_vault_rows(R.prepare_queries(D.questions(spark, sf), D.KEY, store=False))
     return V.upsert(rows.withColumn("ord", F.xxhash64("query_id") + F.col("entity_idx")))
 
 
@@ -165,7 +165,7 @@ def citations(spark, sf):
     "citations_enriched",
     S.sql(
         ["qsub", "sents_ents", "facts"],
-        "SELECT query_id, s.doc_id, s.predicate, title, department, classification, p.source_sentence AS snippet FROM qsub s JOIN reg USING (doc_id) JOIN facts p ON p.ord = s.ord",
+        "SELECT query_id, s.doc_id, s.predicate, title, department, reg.classification, p.source_sentence AS snippet FROM qsub s JOIN reg USING (doc_id) JOIN facts p ON p.ord = s.ord",
         _REGISTRY,
     ),
 )
@@ -192,7 +192,8 @@ _ROUTES = f"SELECT query_id, {_first_of('q', _RULES)} AS intent, ({_LISTS}) AS i
 
 @query("intent_route", S.sql(["qtok"], _ROUTES + " FROM (SELECT query_id, lower(tokenized || ' ' || query_text) AS q FROM qtok)"))
 def intent_route(spark, sf):
-    return A.question_columns(D.prepared_questions(spark, sf)).select("query_id", "intent", "is_list", "is_retention", "is_chain")
+    prepared = R.prepare_queries(D.questions(spark, sf), D.KEY, store=False)
+    return A.question_columns(prepared).select("query_id", "intent", "is_list", "is_retention", "is_chain")
 
 
 @query(
@@ -367,8 +368,11 @@ _LF = (
         ["edges"],
         """SELECT query_id, subject, item FROM (
         SELECT query_id, subject, '- **' || subject || '**: ' || reason AS item FROM ls WHERE n = 'promo' AND contains(lower(coalesce(reason, '')), 'promotion')
-        UNION ALL SELECT query_id, subject, '- **' || subject || '**: ' || reason FROM ls WHERE n = 'both' AND lower(coalesce(dept, '')) = 'sales' AND contains(lower(coalesce(reason, '')), 'promotion')
-          AND (starts_with(rating, '2') OR NOT EXISTS (SELECT 1 FROM ls x WHERE x.query_id = ls.query_id AND lower(coalesce(x.dept, '')) = 'sales' AND contains(lower(coalesce(x.reason, '')), 'promotion') AND starts_with(x.rating, '2'))))""",
+        UNION ALL SELECT query_id, subject, '- **' || subject || '**: ' || coalesce(reason, 'Promotion') FROM (
+          SELECT *, max(promoted AND rated) OVER w AS any_both, max(rated) OVER w AS any_rated, max(promoted) OVER w AS any_promoted FROM (
+            SELECT *, contains(lower(coalesce(reason, '')), 'promotion') AS promoted, starts_with(coalesce(rating, ''), '2') AS rated FROM ls WHERE n = 'both' AND lower(coalesce(dept, '')) = 'sales')
+          WINDOW w AS (PARTITION BY query_id))
+          WHERE CASE WHEN any_promoted THEN promoted AND (rated OR NOT any_both) ELSE rated OR NOT any_rated END)""",
         _LF,
     ),
 )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tokengraph.functions import constants as K
 from tokengraph.functions.hashing import TokenKey, entity_token
+from tokengraph.functions.text import literal_array
 from tokengraph.operators import graph as G
 from tokengraph.operators import retrieve as R
 from tokengraph.operators.tables import fact_sentence
@@ -33,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _pick(values: list[str], key: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(key, F.lit(len(values))) + 1).cast("int"))
+    return F.element_at(literal_array(values), (F.pmod(key, F.lit(len(values))) + 1).cast("int"))
 
 
 def _s(c: Column) -> Column:
@@ -199,7 +200,11 @@ def keyword_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("n"), _s(F.col("n_nationkey"))).alias("query_id"),
         F.concat(F.lit("Where is "), F.lower("n_name"), F.lit(" located?")).alias("query_text"),
     )
-    return sup.unionByName(nat)
+    odd = table(spark, sf_dir, "region").select(
+        F.concat(F.lit("r"), _s(F.col("r_regionkey"))).alias("query_id"),
+        F.concat(F.lit("Is the quantum-teleporter of "), F.lower("r_name"), F.lit("xyz stored on Mars?")).alias("query_text"),
+    )
+    return sup.unionByName(nat).unionByName(odd)
 
 
 SEEDS_TEXT = {

@@ -198,7 +198,8 @@ CTE: dict[str, tuple[list[str], str]] = {
     "kwq": (
         [],
         "SELECT 's' || s_suppkey AS query_id, 'Show the salary for K' || translate(lpad(s_suppkey::VARCHAR, 7, '0'), '0123456789', 'abcdefghij') "
-        "|| ', please!' AS query_text FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'Where is ' || lower(n_name) || ' located?' FROM nation",
+        "|| ', please!' AS query_text FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'Where is ' || lower(n_name) || ' located?' FROM nation "
+        "UNION ALL SELECT 'r' || r_regionkey, 'Is the quantum-teleporter of ' || lower(r_name) || 'xyz stored on Mars?' FROM region",
     ),
     "audit": (
         [],

@@ -12,7 +12,7 @@ from tokengraph.operators import vault as V
 from tokengraph.plans import derive as D
 from tokengraph.plans import sql as S
 from tokengraph.plans.registry import query
-from tokengraph.session import shared_dir
+from tokengraph.session import cut, shared_dir
 from tokengraph.sources import delimited
 from tokengraph.sources import documents as SD
 
@@ -429,7 +429,9 @@ def reconstruct_text(spark, sf):
 
 # --- triples --------------------------------------------------------------------------------------------------------
 def _token_sentences(spark, sf):
-    return tokens.tokenize(DT.detect(D.staff_sentences(spark, sf)), D.KEY).select("doc_id", "sent_idx", F.col("tokenized").alias("text"))
+    """The stored table of tokenized sentences that triple extraction reads."""
+    done = tokens.tokenize(DT.detect(D.staff_sentences(spark, sf)), D.KEY)
+    return cut(done.select("doc_id", "sent_idx", F.col("tokenized").alias("text")))
 
 
 def _tok(kind: str, value: str) -> str:

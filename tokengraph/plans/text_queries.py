@@ -67,9 +67,9 @@ def person_stop_phrases(spark, sf):
     """PERSON-shaped values that the stop rules drop."""
     people = [r for r in K.RECOGNIZERS if r[0] == "PERSON"]
     d = D.seeded_text(spark, sf).withColumn("sh", shadow(F.col("text")))
-    every = d.select("doc_id", DT.candidate_column(F.col("text"), F.col("sh"), people, person_filter=False).alias("entities"))
+    every = d.select("doc_id", DT.candidate_column("text", "sh", people, person_filter=False).alias("entities"))
     rows = DT.explode_entities(every, "doc_id")
-    return rows.filter(~DT._person_ok(F.col("value"))).groupBy("doc_id", "value").agg(F.count("*").alias("n"))
+    return rows.filter(F.expr("not " + DT.PERSON_OK.format(v="value"))).groupBy("doc_id", "value").agg(F.count("*").alias("n"))
 
 
 @query("refined_people", S.sql(["seeded"], "SELECT id AS doc_id, entity_type, s::BIGINT AS start_pos, e::BIGINT AS stop_pos, value FROM refined WHERE first_type = 'PERSON'", _REFINED))
@@ -77,7 +77,7 @@ def refined_people(spark, sf):
     """Surname extension and company relabelling of PERSON candidates."""
     people = [r for r in K.RECOGNIZERS if r[0] == "PERSON"]
     d = D.seeded_text(spark, sf).withColumn("sh", shadow(F.col("text")))
-    found = d.withColumn("raw", DT.candidate_column(F.col("text"), F.col("sh"), people, person_filter=False))
+    found = d.withColumn("raw", DT.candidate_column("text", "sh", people, person_filter=False))
     return _span_columns(
         DT.explode_entities(found.select("doc_id", DT.refine_people(F.col("raw"), F.col("text"), F.col("sh")).alias("entities")), "doc_id")
     )
@@ -239,8 +239,8 @@ def leak_scan(spark, sf):
     talk = D.table(spark, sf, "conversations").select(
         F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"), "text"
     )
-    both = docs.unionByName(talk).withColumn("sh", shadow(F.col("text")))
-    return both.select("id", F.array_join(guard.leak_warnings(F.col("sh")), ";").alias("warnings"))
+    both = docs.unionByName(talk)
+    return both.select("id", F.array_join(guard.leak_warnings(F.col("text")), ";").alias("warnings"))
 
 
 _PARA = "regexp_replace(text, '\\r\\n?', chr(10), 'g')"

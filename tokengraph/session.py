@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,8 +12,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # Plans shown by explain() must not show key material.
+    # Neither the settings page nor explain() may show key material.
     "spark.redaction.regex": "(?i)secret|password|token|vaultKey|access[.]?key",
+    "spark.sql.redaction.string.regex": "0x[0-9A-Fa-f]{64,}|X'[0-9A-Fa-f]{64,}'",
 }
 
 
@@ -44,9 +46,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably in the shared folder, so that later jobs do not recompute its inputs."""
+    """Materialise ``df`` as a table in the shared folder, so that later jobs do not recompute its inputs.
+
+    Unlike a cached or checkpointed RDD the table survives executors, keeps column pruning and tells the planner its
+    size, which is what decides between a broadcast and a shuffle join.
+    """
     spark = df.sparkSession
-    path = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(path)
-    return df.checkpoint(eager=True)
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

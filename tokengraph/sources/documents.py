@@ -22,7 +22,7 @@ TABLE_FORMATS = ["csv"]
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(path, content): every file below ``path`` as one text."""
     return (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+        spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     )
 

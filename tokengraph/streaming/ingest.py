@@ -14,7 +14,7 @@ JOB_SCHEMA = "job_id string, seq bigint, filename string, status string, stage s
 def document_stream(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) for every new text file below ``path``."""
     return (
-        spark.readStream.option("wholetext", True).option("recursiveFileLookup", True).schema("value string").text(path)
+        spark.readStream.option("recursiveFileLookup", True).schema("value string").text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     )
 
