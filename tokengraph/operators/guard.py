@@ -10,7 +10,7 @@ from tokengraph.functions import constants as K
 
 def injection_violations(text: Column) -> Column:
     """Labels of all injection patterns found, in pattern order."""
-    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(label)) for p, label in K.INJECTION_PATTERNS]))
+    return F.array_compact(F.array(*[F.when(text.rlike("(?U)" + p), F.lit(label)) for p, label in K.INJECTION_PATTERNS]))
 
 
 def scan_injections(df: DataFrame, text: str = "text") -> DataFrame:
