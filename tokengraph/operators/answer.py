@@ -306,7 +306,7 @@ def retention_answers(questions: DataFrame, index: DataFrame, per_chunk: int = 1
     rows = rows.select("query_id", "subject", "first_value", "vals", "first_ord", named.alias("_named"), order.alias("_o"))
     any_named = rows.groupBy("query_id").agg(F.max("_named").alias("_any"))
     used = rows.join(any_named, "query_id").filter(F.col("_named") | ~F.col("_any"))
-    rank = F.when(F.col("_any"), F.col("_o").cast("bigint")).otherwise(F.col("first_ord"))
+    rank = F.struct(F.when(F.col("_any"), F.col("_o")).otherwise(F.lit(0)).alias("r"), F.col("first_ord").alias("o"))
     percent = F.get(F.filter(F.split("vals", ", "), lambda v: F.contains(v, F.lit("%"))), F.lit(0))
     is_token = F.size(find_tokens(F.col("subject"))) > 0
     is_role = F.col("subject").isin(K.EXECUTIVE_ROLES)

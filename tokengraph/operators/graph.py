@@ -15,7 +15,8 @@ EDGE_COLUMNS = ["source", "target", "predicate", "source_sentence", "doc_id", "n
 def edges_from(triples: DataFrame) -> DataFrame:
     """Unique (source, target, predicate) edges with the provenance of the first assertion.
 
-    ``triples``: subject, predicate, object, source_sentence, doc_id, namespace, classification, ord. The minimum of
+    ``triples``: subject, predicate, object, source_sentence, doc_id, namespace, classification, ord; ``ord`` is a
+    number or a struct that orders all assertions, for example (doc_id, sent_idx, triple_idx). The minimum of
     a struct combines map-side, so an edge asserted by very many documents reaches the shuffle once per task.
     """
     first = F.min(F.struct("ord", "doc_id", "source_sentence", "namespace", "classification")).alias("_f")
@@ -39,8 +40,8 @@ def endpoints(triples: DataFrame) -> DataFrame:
     """(id, doc_id, namespace, classification, ord) for both ends of every triple, in one pass over the input."""
     side = F.explode(
         F.array(
-            F.struct(F.col("subject").alias("id"), (F.col("ord") * 2).alias("ord")),
-            F.struct(F.col("object").alias("id"), (F.col("ord") * 2 + 1).alias("ord")),
+            F.struct(F.col("subject").alias("id"), F.struct("ord", F.lit(0).alias("side")).alias("ord")),
+            F.struct(F.col("object").alias("id"), F.struct("ord", F.lit(1).alias("side")).alias("ord")),
         )
     ).alias("_n")
     return triples.select(side, "doc_id", "namespace", "classification").select(

@@ -31,19 +31,20 @@ def decrypt(payload: Column, key: bytes) -> Column:
 def upsert(entities: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """One row per token: first type, digest and document by ``ord``; the longest value, the earlier one on a tie.
 
-    ``entities``: token, entity_type, value, hmac_digest, doc_id, ord. Only aggregates with a fixed-size buffer are
+    ``entities``: token, entity_type, value, hmac_digest, doc_id, ord (a number or an ordering struct). Only aggregates with a fixed-size buffer are
     used, so a token that holds a large share of the rows shrinks to one row per map task before the shuffle.
-    ``existing`` rows (same shape as the result) take part with ord -1, so they stay the first writer.
+    ``existing`` rows (same shape as the result) come before all new ones, so they stay the first writer.
     """
     cols = ["token", "entity_type", "value", "hmac_digest", "doc_id", "ord"]
-    rows = entities.select(*cols)
+    rows = entities.select(*cols, F.lit(1).alias("age"))
     if existing is not None:
         old = existing.select(
-            "token", "entity_type", "value", "hmac_digest", F.col("first_doc_id").alias("doc_id"), F.lit(-1).alias("ord")
+            "token", "entity_type", "value", "hmac_digest", F.col("first_doc_id").alias("doc_id"),
+            F.lit(None).cast(entities.schema["ord"].dataType).alias("ord"), F.lit(0).alias("age"),
         )
         rows = old.unionByName(rows)
-    first = F.min(F.struct("ord", "entity_type", "hmac_digest", "doc_id"))
-    longest = F.max(F.struct(F.length("value").alias("n"), (-F.col("ord")).alias("o"), "value"))
+    first = F.min(F.struct("age", "ord", "entity_type", "hmac_digest", "doc_id"))
+    longest = F.min(F.struct((-F.length("value")).alias("n"), "age", "ord", "value"))
     return (
         rows.groupBy("token")
         .agg(first.alias("f"), longest.alias("l"))

@@ -12,7 +12,7 @@ from tokengraph.functions.text import literal_array
 from tokengraph.operators import graph as G
 from tokengraph.operators import retrieve as R
 from tokengraph.operators.tables import fact_sentence
-from tokengraph.session import cut
+from tokengraph.session import cut, spread
 
 KEY = TokenKey(b"test-key")  # for the sample data only; production code takes TokenKey.from_conf(spark)
 AES_KEY = bytes(range(32))
@@ -30,7 +30,7 @@ NATION_ORD = 1_000_000_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _pick(values: list[str], key: Column) -> Column:
@@ -264,16 +264,20 @@ def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _graph(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges first; an edge keeps its first assertion, so nodes follow from the much smaller edge table."""
+    edges = cut(G.edges_from(facts))
+    return G.nodes_from(edges.withColumnsRenamed({"source": "subject", "target": "object"})), edges
+
+
 def token_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the tokenized facts, materialised: retrieval reads them several times."""
-    facts = token_facts(spark, sf_dir)
-    return cut(G.nodes_from(facts)), cut(G.edges_from(facts))
+    return _graph(token_facts(spark, sf_dir))
 
 
 def staff_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of the plain facts, materialised."""
-    facts = staff_facts(spark, sf_dir)
-    return cut(G.nodes_from(facts)), cut(G.edges_from(facts))
+    return _graph(staff_facts(spark, sf_dir))
 
 
 def prepared_questions(spark: SparkSession, sf_dir: str) -> DataFrame:

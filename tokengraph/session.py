@@ -45,6 +45,22 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+# Inputs between these sizes may sit in fewer row groups than there are cores; spreading them costs a small shuffle.
+SPREAD_FROM, SPREAD_TO = 64 << 10, 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on a small input; an input beyond ``SPREAD_TO`` is returned as it is.
+
+    Span search is heavy per byte, and a small file is often one row group, which is one task. Large inputs have
+    enough splits and must not be shuffled, so the size the planner knows decides.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if SPREAD_FROM <= size <= SPREAD_TO:
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a table in the shared folder, so that later jobs do not recompute its inputs.
 
