@@ -127,10 +127,13 @@ def find_seeds(prepared: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataF
 
 
 def retrieve(prepared: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(seeds, reached nodes per query, subgraph edges per query)."""
-    seeds = find_seeds(prepared, nodes, edges)
+    """(seeds, reached nodes per query, subgraph edges per query).
+
+    Seeds and reach are materialised: both ends of the induced edges and the node lines read the reach.
+    """
+    seeds = cut(find_seeds(prepared, nodes, edges))
     start = seeds.withColumn("seed", F.col("node"))
-    reach = G.k_hop(edges, nodes, start, max_depth, ["query_id", "seed"], limit="depth")
+    reach = cut(G.k_hop(edges, nodes, start, max_depth, ["query_id", "seed"], limit="depth"))
     sub = G.compose(G.induced_edges(reach, edges, ["query_id", "seed"]), ["query_id"])
     return seeds, reach.select("query_id", "node").distinct(), sub
 
