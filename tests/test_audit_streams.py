@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tokengraph.operators import audit as AU
 from tokengraph.operators import registry as REG
-from tokengraph.sources import stores
+from tokengraph.sources import delimited, stores
 from tokengraph.streaming import ingest
 
 
@@ -90,3 +90,15 @@ def test_job_progress_and_latest_state(spark):
     ).withColumn("ts", F.to_timestamp("ts"))
     row = ingest.get_job(ingest.list_jobs(ingest.job_states(ev)), "j").first()
     assert (row.status, row.progress_pct, row.error) == ("failed", 100, "boom") and row.created_at < row.updated_at
+
+
+def test_document_delete_event(spark):
+    counts = spark.createDataFrame([("edges_removed", 2), ("nodes_removed", 3)], "metric string, value bigint")
+    row = REG.deletion_event(counts).first()
+    assert row.event_type == "DOCUMENT_DELETED" and json.loads(row.details) == {"edges_removed": 2, "nodes_removed": 3}
+
+
+def test_tables_without_data_rows_are_rejected(spark):
+    files = spark.createDataFrame([("a.csv",), ("b.csv",), ("c.csv",)], "path string")
+    lines = spark.createDataFrame([("a.csv", "h"), ("a.csv", "1"), ("b.csv", "h"), ("b.csv", "  ")], "path string, value string")
+    assert sorted(r.path for r in delimited.empty_tables(files, lines).collect()) == ["b.csv", "c.csv"]

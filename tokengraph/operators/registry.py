@@ -58,7 +58,7 @@ def delete_documents(
     owner: str = "first",
     refs: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """New versions of every store plus one DOCUMENT_DELETED audit row; publish them together."""
+    """New versions of every store and the counts for the audit row; publish them together."""
     kept_edges, kept_nodes, kept_docs = G.remove_documents(edges, nodes, node_docs, doc_ids)
     kept_vault = V.purge(vault, doc_ids, refs, owner)
     kept_registry = registry.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti")
@@ -81,3 +81,10 @@ def delete_documents(
         "vault": kept_vault,
         "counts": counts.groupBy("metric").agg(F.sum("n").alias("value")),
     }
+
+
+def deletion_event(counts: DataFrame) -> DataFrame:
+    """One DOCUMENT_DELETED audit row (event_type, details) from the counts of ``delete_documents``."""
+    # Four metrics at most, so the map is small.
+    details = F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "value")))))
+    return counts.agg(details.alias("details")).select(F.lit("DOCUMENT_DELETED").alias("event_type"), "details")

@@ -123,7 +123,6 @@ def column_types(spark, sf):
 
 
 _SHAPES = {"is_url": K.URL_VALUE_PATTERN, "is_rating": K.RATING_VALUE_PATTERN, "is_org": K.ORG_VALUE_PATTERN, "has_org_word": K.ORG_WORD_PATTERN, "is_person": K.PERSON_VALUE_PATTERN}
-_SHAPE_SOURCES = [("staff", "name"), ("staff", "rating"), ("staff", "role")]
 
 
 @query(
@@ -145,9 +144,6 @@ def value_shapes(spark, sf):
     return d.select("v", *[c.alias(n) for n, c in tables.value_shapes(F.col("v")).items()])
 
 
-_PERSONAL_SENT = S.fact_sentence("subject", "predicate", "object")
-
-
 @query(
     "typed_spans",
     S.sql(
@@ -497,9 +493,6 @@ def coref_carry(spark, sf):
     return carry_forward(d, ["conv_id"], "turn", "own", "prev_subject").select("conv_id", "turn", "prev_subject")
 
 
-_RET = "regexp_extract(line, '(?i)(?:retention\\s+bonus\\s+equal\\s+to|retention\\s+package\\s+of)\\s+([^,.]+)', 1)"
-
-
 @query(
     "retention_terms",
     "SELECT doc_id, 'CEO' AS subject, 'HAS_RETENTION_BONUS' AS predicate, (doc_id % 90 + 10) || '% of base salary upon deal close' AS object FROM documents WHERE doc_id % 8 = 5",
