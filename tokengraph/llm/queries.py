@@ -27,3 +27,28 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tokengraph.llm.order_minhash import compare_neighbours
 
     return compare_neighbours(C.table(spark, sf_dir, "documents"))
+
+
+def tokenizer_file(name: str) -> str:
+    """The tokenizer's JSON as text; the driver reads it once and the tasks get it with their code."""
+    from pathlib import Path
+
+    import public_tokenizers
+
+    return Path(public_tokenizers.path(name)).read_text()
+
+
+@query("op7_word_table_bpe")
+def op7_word_table_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokengraph.llm.word_table_bpe import round_trip
+
+    return round_trip(C.table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
+@query("op5_repair_store")
+def op5_repair_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokengraph.llm import repair_store as R
+
+    path = R.new_path(spark)
+    R.write(C.table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"))
+    return R.digests(spark, path)
