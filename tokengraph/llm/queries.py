@@ -52,3 +52,10 @@ def op5_repair_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = R.new_path(spark)
     R.write(C.table(spark, sf_dir, "documents"), path, tokenizer_file("word_bpe_49k.json"))
     return R.digests(spark, path)
+
+
+@query("op4_neighbour_quality")
+def op4_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokengraph.llm import neighbour_quality as N
+
+    return N.decide(N.score(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels")))
