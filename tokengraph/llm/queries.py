@@ -59,3 +59,10 @@ def op4_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tokengraph.llm import neighbour_quality as N
 
     return N.decide(N.score(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "labels")))
+
+
+@query("op2_host_paths")
+def op2_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokengraph.llm.host_paths import extract
+
+    return extract(C.table(spark, sf_dir, "pages"))
