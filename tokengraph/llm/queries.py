@@ -66,3 +66,10 @@ def op2_host_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tokengraph.llm.host_paths import extract
 
     return extract(C.table(spark, sf_dir, "pages"))
+
+
+@query("op8_secret_cnn")
+def op8_secret_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokengraph.llm.secret_cnn import scan
+
+    return scan(C.table(spark, sf_dir, "documents"))
