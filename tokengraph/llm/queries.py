@@ -73,3 +73,17 @@ def op8_secret_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tokengraph.llm.secret_cnn import scan
 
     return scan(C.table(spark, sf_dir, "documents"))
+
+
+@query("op9_line_chunks")
+def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokengraph.llm.line_chunks import report
+
+    return report(C.table(spark, sf_dir, "documents"))
+
+
+@query("op6_templates")
+def op6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokengraph.llm.templates import leaking
+
+    return leaking(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
