@@ -87,3 +87,10 @@ def op6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tokengraph.llm.templates import leaking
 
     return leaking(C.table(spark, sf_dir, "documents"), C.table(spark, sf_dir, "benchmark"))
+
+
+@query("op10_trie_join")
+def op10_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokengraph.llm.trie_join import join
+
+    return join(C.table(spark, sf_dir, "documents"))
