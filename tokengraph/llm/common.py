@@ -90,3 +90,30 @@ def in_groups(rows: Iterator[dict], key: Callable[[dict], object]) -> Iterator[t
 
 def next_power(x: float) -> int:
     return 1 << max(0, int(np.ceil(np.log2(max(1.0, x)))))
+
+
+ODD = 0x9E3779B97F4A7C15
+BYTE_WORDS = np.random.RandomState(101).randint(1, 1 << 62, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The first ``n`` powers of an odd number and of its inverse modulo 2**64, kept per process."""
+    if len(_POWERS[0]) < n:
+        size = next_power(n)
+        for k, base in enumerate((ODD, pow(ODD, -1, 1 << 64))):
+            p = np.full(size, base, np.uint64)
+            p[0] = 1
+            _POWERS[k] = np.cumprod(p)
+    return [p[:n] for p in _POWERS]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """64-bit hashes of many byte spans of one array, by prefix sums: equal bytes have equal hashes wherever they stand."""
+    power, inverse = powers(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE_WORDS[data] * power, out=sums[1:])
+    h = (sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64)
+    for _ in range(2):
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))

@@ -94,3 +94,13 @@ def op10_trie_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tokengraph.llm.trie_join import join
 
     return join(C.table(spark, sf_dir, "documents"))
+
+
+@query("op1_phrase_automata")
+def op1_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tokengraph.llm.phrase_automata import deduplicate
+
+    made = deduplicate(C.table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -33,33 +33,10 @@ def grams(text: str, size: int = SIZE) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
     n, size = len(words), min(size, len(words))
-    data = np.frombuffer(b" ".join(words) + b" ", np.uint8).astype(np.uint64)
+    data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
     ends = np.flatnonzero(data == 32) + 1
-    # prefix sums of bytes times powers of an odd number: a window's difference, divided by the power at its start
-    power, inverse = powers(len(data))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_WORDS[data.astype(np.int64)] * power)])
     starts = np.concatenate([[0], ends[:-1]])[: n - size + 1]
-    stops = ends[size - 1 :]
-    h = (sums[stops] - sums[starts]) * inverse[starts] + (stops - starts).astype(np.uint64)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return np.unique(h ^ (h >> np.uint64(32)))
-
-
-ODD = 0x9E3779B97F4A7C15
-BYTE_WORDS = np.random.RandomState(101).randint(1, 1 << 62, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> list[np.ndarray]:
-    """The first ``n`` powers of an odd number and of its inverse modulo 2**64, kept per process."""
-    if len(_POWERS[0]) < n:
-        size = C.next_power(n)
-        for k, base in enumerate((ODD, pow(ODD, -1, 1 << 64))):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.cumprod(p)
-    return [p[:n] for p in _POWERS]
+    return np.unique(C.span_hashes(data, starts, ends[size - 1 :]))
 
 
 def least_overlap(n: int, m: int, percent: int = PERCENT) -> int:
