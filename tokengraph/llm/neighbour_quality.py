@@ -13,6 +13,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,25 +109,31 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str = "qualit
     return x, np.array([r.label for r in got], np.float64)
 
 
-def score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_class: int = PER_CLASS, rank: int = RANK, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """``doc_id, score``: one row per input row, 0 to 1, higher where label 1 is likelier.
-
-    A null or empty text is scored by its surface bins like any other. Without any labelled row every score is 0.5. Rows
-    with equal texts get equal scores. Columns of ``docs`` other than id and text are not carried.
-    """
+def scorer(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_class: int = PER_CLASS, rank: int = RANK, neighbours: int = NEIGHBOURS):
+    """A function from a text column to its score, fitted on the labelled sample of ``docs``; its model is broadcast."""
     x, y = labelled_sample(docs, labels, label_col, per_class)
     projection, vectors = fit(x, rank) if len(y) else (np.zeros((x.shape[1], 1), np.float32), np.zeros((0, 1), np.float32))
     model = docs.sparkSession.sparkContext.broadcast((projection, vectors, y))  # bounded by the sample and the number of terms
 
-    def run(batches):
+    @F.pandas_udf("double")
+    def scored(text: pd.Series) -> pd.Series:
         projection, vectors, y = model.value
-        for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                b = whole.slice(i, 256)
-                w = np.array([terms(t) for t in b.column("text").to_pylist()])
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(vote(unit(w @ projection), vectors, y, neighbours))], names=["doc_id", "score"])
+        out = [np.empty(0)]
+        for i in range(0, len(text), 256):
+            w = np.array([terms(t) for t in text.iloc[i : i + 256]])
+            out.append(vote(unit(w @ projection), vectors, y, neighbours))
+        return pd.Series(np.concatenate(out))
 
-    return C.texts(docs).mapInArrow(run, "doc_id bigint, score double")
+    return lambda text: scored(F.coalesce(text.cast("string"), F.lit("")))
+
+
+def score(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
+    """``doc_id, score``: one row per input row, 0 to 1, higher where label 1 is likelier.
+
+    A null or empty text is scored by its surface bins like any other. Without any labelled row every score is 0.5. Rows
+    with equal texts get equal scores. Columns of ``docs`` other than id and text are not carried.
+    """
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), scorer(docs, labels, **settings)(docs["text"]).alias("score"))
 
 
 THRESHOLD = 0.3
@@ -134,3 +141,8 @@ THRESHOLD = 0.3
 
 def decide(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **settings) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold, all columns as they are."""
+    return docs.where(scorer(docs, labels, **settings)(docs["text"]) >= threshold)
