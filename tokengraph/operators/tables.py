@@ -143,14 +143,14 @@ def value_shapes(value: Column) -> dict[str, Column]:
     }
 
 
-def column_types(rows: DataFrame, key: list[str]) -> DataFrame:
-    """(key…, col_idx, header, entity_type) from the first rows of each table.
+def column_types(rows: DataFrame, key: list[str], sample_rows: int | None = None) -> DataFrame:
+    """(key…, col_idx, header, entity_type) from all rows of each table, or from its first ``sample_rows``.
 
-    ``rows``: key…, row_idx (0 = first data row), headers, cells. Only the sample rows pass the filter, so a group is
-    at most the sample size however long the table is.
+    ``rows``: key…, row_idx (0 = first data row), headers, cells. Shares are combined before the shuffle, so a long table
+    costs its scan. ``K.SAMPLE_ROWS`` gives the types that a reader of only the first rows would give.
     """
     cells = (
-        rows.filter(F.col("row_idx") < K.SAMPLE_ROWS)
+        (rows if sample_rows is None else rows.filter(F.col("row_idx") < sample_rows))
         .select(*key, "headers", F.posexplode("cells").alias("col_idx", "value"))
         .withColumn("header", F.get("headers", F.col("col_idx")))
         .filter(F.col("header").isNotNull())

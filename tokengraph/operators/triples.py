@@ -64,7 +64,7 @@ def clause_fact(clause: Column, match: str = "word") -> Column:
         after = F.substring(clause, v["pos"] + F.length(v["phrase"]), F.length(clause))
         rest = strip_chars(py_trim(after), ".!?,")
         plain = py_trim(F.regexp_replace(rest, r"(?i)\s+department\b", ""))
-        literal = F.when(v["predicate"] == "HAS_ADDRESS", rest).when(F.length(plain) < 1000, plain)
+        literal = F.when(v["predicate"] == "HAS_ADDRESS", rest).otherwise(plain)
         return F.when(
             v.isNotNull(),
             F.struct(

@@ -26,7 +26,7 @@ TYPED_OBJECTS = {
     "HAS_SSN": "US_SSN", "HAS_SALARY": "SALARY", "HAS_EMAIL": "EMAIL_ADDRESS", "HAS_PHONE": "PHONE_NUMBER",
     "REPORTS_TO": "PERSON",
 }
-NATION_ORD = 1_000_000_000_000
+NATION_ORD = 1_000_000_000_000  # places the nations after the people; what a fact is about is in ``about``
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,14 +41,20 @@ def _s(c: Column) -> Column:
     return c.cast("string")
 
 
+def padded(key: Column, width: int) -> Column:
+    """Leading zeros up to ``width``; longer numbers stay whole."""
+    return F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(width) - F.length(_s(key)), F.lit(0))), _s(key))
+
+
 def person_name(key: Column) -> Column:
-    letters = F.translate(F.lpad(_s(key), 7, "0"), "0123456789", "abcdefghij")
+    letters = F.translate(padded(key, 7), "0123456789", "abcdefghij")
     return F.concat(_pick(FIRST_NAMES, key), F.lit(" K"), letters)
 
 
 def ssn(key: Column) -> Column:
+    """One number per person for the first hundred million keys, all that this number range holds."""
     return F.concat(
-        _s(900 + key % 100), F.lit("-"), F.lpad(_s(F.floor(key / 100) % 100), 2, "0"), F.lit("-"), F.lpad(_s(key % 10000), 4, "0")
+        _s(900 + F.floor(key / 1000000) % 100), F.lit("-"), F.lpad(_s(F.floor(key / 10000) % 100), 2, "0"), F.lit("-"), F.lpad(_s(key % 10000), 4, "0")
     )
 
 
@@ -102,7 +108,7 @@ def staff_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("name").alias("subject"), "doc_id", "namespace", "classification", "k", F.explode(items).alias("f")
     ).select(
         "subject", F.col("f.predicate").alias("predicate"), F.col("f.object").alias("object"), "doc_id", "namespace",
-        "classification", (F.col("k") * 20 + F.col("f.i")).alias("ord"),
+        "classification", (F.col("k") * 20 + F.col("f.i")).alias("ord"), F.lit("person").alias("about"),
     ).filter(F.col("object").isNotNull())
     nations = (
         table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -114,6 +120,7 @@ def staff_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.concat(F.lit("hr.r"), _s(F.col("n_regionkey"))).alias("namespace"),
             _pick(K.CLASSIFICATIONS, F.col("n_nationkey")).alias("classification"),
             (F.lit(NATION_ORD) + F.col("n_nationkey")).alias("ord"),
+            F.lit("nation").alias("about"),
         )
     )
     return personal.unionByName(nations).withColumn(
@@ -127,7 +134,7 @@ def token_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.lit(None).cast("string")
     for predicate, entity_type in TYPED_OBJECTS.items():
         kind = F.when(p == predicate, entity_type).otherwise(kind)
-    facts = staff_facts(spark, sf_dir).filter(F.col("ord") < NATION_ORD).withColumn("kind", kind)
+    facts = staff_facts(spark, sf_dir).filter(F.col("about") == "person").withColumn("kind", kind)
     done = facts.select(
         entity_token(F.lit("PERSON"), F.col("subject"), KEY).alias("subject"),
         "predicate",
@@ -141,7 +148,7 @@ def staff_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vault input: every sensitive value of the staff facts with its token."""
     from tokengraph.functions.hashing import entity_digest, token_text
 
-    facts = staff_facts(spark, sf_dir).filter(F.col("ord") < NATION_ORD)
+    facts = staff_facts(spark, sf_dir).filter(F.col("about") == "person")
     kind = F.lit(None).cast("string")
     for predicate, entity_type in TYPED_OBJECTS.items():
         kind = F.when(F.col("predicate") == predicate, entity_type).otherwise(kind)
@@ -192,7 +199,7 @@ def keyword_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("s"), _s(F.col("s_suppkey"))).alias("query_id"),
         F.concat(
             F.lit("Show the salary for K"),
-            F.translate(F.lpad(_s(F.col("s_suppkey")), 7, "0"), "0123456789", "abcdefghij"),
+            F.translate(padded(F.col("s_suppkey"), 7), "0123456789", "abcdefghij"),
             F.lit(", please!"),
         ).alias("query_text"),
     )

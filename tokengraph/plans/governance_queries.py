@@ -10,7 +10,8 @@ from tokengraph.operators import guard
 from tokengraph.plans import derive as D
 from tokengraph.plans import sql as S
 from tokengraph.plans.graph_queries import _scratch
-from tokengraph.plans.registry import query
+from tokengraph.plans import text_queries  # noqa: F401  (its SQL is used again below)
+from tokengraph.plans.registry import ORACLES, query
 from tokengraph.sources import stores
 from tokengraph.streaming import ingest
 
@@ -149,14 +150,11 @@ def job_states(spark, sf):
     return ingest.job_states(_job_events(D.table(spark, sf, "events"))).select("job_id", "filename", "status", "stage", F.col("progress_pct").cast("bigint").alias("progress_pct"))
 
 
-@query("job_list", "SELECT job_id, row_number() OVER (ORDER BY created DESC, job_id) AS pos FROM (SELECT 'job-' || user_id AS job_id, min(ts) AS created FROM events GROUP BY user_id) ORDER BY pos LIMIT 50")
+@query("job_list", "SELECT 'job-' || user_id AS job_id, strftime(min(ts), '%Y-%m-%dT%H:%M:%S.%f') AS created FROM events GROUP BY user_id ORDER BY created DESC, job_id")
 def job_list(spark, sf):
-    """The 50 newest jobs, newest first."""
-    top = ingest.list_jobs(ingest.job_states(_job_events(D.table(spark, sf, "events")))).limit(50)
-    from pyspark.sql import Window
-
-    w = Window.orderBy(F.col("created_at").desc(), "job_id")
-    return top.select("job_id", F.row_number().over(w).cast("bigint").alias("pos"))
+    """All jobs, newest first."""
+    jobs = ingest.list_jobs(ingest.job_states(_job_events(D.table(spark, sf, "events"))))
+    return jobs.select("job_id", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("created"))
 
 
 @query("stream_jobs", _JOBS)
@@ -183,20 +181,19 @@ def _unique(base: str) -> str:
 
 
 
-@query("stream_ingest", S.sql(["seeded"], f"SELECT doc_id, len(regexp_extract_all({S.shadow('text')}, {S.q(K.EMAIL_PATTERN)}))::BIGINT AS emails FROM seeded"))
+@query("stream_ingest", ORACLES["tokenize_text"])
 def stream_ingest(spark, sf):
-    """Documents arriving as files: each micro-batch is detected and stored under its batch id."""
+    """Documents arriving as files: each micro-batch is detected, tokenized and stored under its batch id."""
     from tokengraph.operators import detect as DT
+    from tokengraph.operators import tokens
 
     base = _unique(_scratch(spark, "ingest", sf))
     D.seeded_text(spark, sf).write.parquet(f"{base}/in")
     source = spark.readStream.schema("doc_id bigint, text string").option("maxFilesPerTrigger", 100).parquet(f"{base}/in")
-    mail = [r for r in K.RECOGNIZERS if r[0] == "EMAIL_ADDRESS"]
 
     def work(batch):
-        found = DT.detect(batch, recognizers=mail)
-        return found.select("doc_id", F.size("entities").cast("bigint").alias("emails"))
+        return tokens.tokenize(DT.detect(batch), D.KEY).select("doc_id", "tokenized")
 
     q = ingest.run_ingestion(source, work, f"{base}/out", f"{base}/checkpoint")
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("doc_id", "emails")
+    return spark.read.parquet(f"{base}/out").select("doc_id", F.md5("tokenized").alias("text_hash"), F.length("tokenized").cast("bigint").alias("n"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tokengraph.functions import constants as K
@@ -240,7 +242,8 @@ def document_delete(spark, sf):
 
 
 def _scratch(spark, name: str, sf: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{spark.sparkContext.applicationId}-{abs(hash(sf)) % 10**8}"
+    """A folder of its own for every call: an earlier result may still be read lazily."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("roundtrip_graph", S.sql(["nodes", "edges"], "SELECT 'node' AS kind, id AS a, '' AS b, '' AS predicate, namespace FROM nodes UNION ALL SELECT 'edge', source, target, predicate, namespace FROM edges"))

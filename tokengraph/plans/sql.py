@@ -39,15 +39,19 @@ def token(entity_type: str, value: str) -> str:
     return f"list_transform([{digest(entity_type, value)}], lambda d: {token_from(entity_type, 'd')})[1]"
 
 
+def padded(key: str, width: int) -> str:
+    return f"(repeat('0', greatest({width} - length(({key})::VARCHAR), 0)) || ({key})::VARCHAR)"
+
+
 def person_name(key: str) -> str:
     return (
         f"({values_list(D.FIRST_NAMES)}[({key}) % 16 + 1] || ' K' || "
-        f"translate(lpad(({key})::VARCHAR, 7, '0'), '0123456789', 'abcdefghij'))"
+        f"translate({padded(key, 7)}, '0123456789', 'abcdefghij'))"
     )
 
 
 def ssn(key: str) -> str:
-    return f"((900 + {key} % 100)::VARCHAR || '-' || lpad(({key} // 100 % 100)::VARCHAR, 2, '0') || '-' || lpad(({key} % 10000)::VARCHAR, 4, '0'))"
+    return f"((900 + {key} // 1000000 % 100)::VARCHAR || '-' || lpad(({key} // 10000 % 100)::VARCHAR, 2, '0') || '-' || lpad(({key} % 10000)::VARCHAR, 4, '0'))"
 
 
 def shadow(text: str) -> str:
@@ -72,12 +76,12 @@ def fact_sentence(subject: str, predicate: str, value: str) -> str:
 
 def _facts_union() -> str:
     parts = [
-        f"SELECT name AS subject, {q(p)} AS predicate, {c} AS object, doc_id, namespace, classification, k * 20 + {i + 1} AS ord FROM staff"
+        f"SELECT name AS subject, {q(p)} AS predicate, {c} AS object, doc_id, namespace, classification, k * 20 + {i + 1} AS ord, 'person' AS about FROM staff"
         for i, (p, c) in enumerate(D.STAFF_FACTS)
     ]
     parts.append(
         "SELECT n_name, 'LOCATED_IN', r_name, 'NAT-' || n_nationkey, 'hr.r' || n_regionkey, "
-        f"{values_list(K.CLASSIFICATIONS)}[n_nationkey % 4 + 1], {D.NATION_ORD} + n_nationkey "
+        f"{values_list(K.CLASSIFICATIONS)}[n_nationkey % 4 + 1], {D.NATION_ORD} + n_nationkey, 'nation' "
         "FROM nation JOIN region ON n_regionkey = r_regionkey"
     )
     return " UNION ALL ".join(parts)
@@ -156,7 +160,7 @@ CTE: dict[str, tuple[list[str], str]] = {
     ),
     "kinded": (
         ["facts"],
-        f"SELECT *, {case_map('predicate', D.TYPED_OBJECTS)} AS kind FROM facts WHERE ord < {D.NATION_ORD}",
+        f"SELECT *, {case_map('predicate', D.TYPED_OBJECTS)} AS kind FROM facts WHERE about = 'person'",
     ),
     "tfacts": (
         ["kinded"],
@@ -197,7 +201,7 @@ CTE: dict[str, tuple[list[str], str]] = {
     ),
     "kwq": (
         [],
-        "SELECT 's' || s_suppkey AS query_id, 'Show the salary for K' || translate(lpad(s_suppkey::VARCHAR, 7, '0'), '0123456789', 'abcdefghij') "
+        "SELECT 's' || s_suppkey AS query_id, 'Show the salary for K' || translate(" + padded("s_suppkey", 7) + ", '0123456789', 'abcdefghij') "
         "|| ', please!' AS query_text FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'Where is ' || lower(n_name) || ' located?' FROM nation "
         "UNION ALL SELECT 'r' || r_regionkey, 'Is the quantum-teleporter of ' || lower(r_name) || 'xyz stored on Mars?' FROM region",
     ),

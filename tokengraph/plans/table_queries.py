@@ -94,7 +94,7 @@ def row_sentences(spark, sf):
     return tables.row_sentences(facts, ["table_name", "row_id"], "section").select("table_name", "row_id", "subject", "predicate", F.col("text").alias("sentence"))
 
 
-_SAMPLED = f"(SELECT * FROM cells WHERE row_id < {K.SAMPLE_ROWS})"
+_SAMPLED = "cells"
 
 
 @query(
@@ -117,7 +117,7 @@ _SAMPLED = f"(SELECT * FROM cells WHERE row_id < {K.SAMPLE_ROWS})"
     ),
 )
 def column_types(spark, sf):
-    """Typing looks at the first rows of a table by definition; row ids number the rows of each table from 0."""
+    """Types from all rows of each table."""
     rows = _wide_rows(spark, sf).withColumnRenamed("row_id", "row_idx")
     return tables.column_types(rows, ["table_name"]).withColumn("col_idx", F.col("col_idx").cast("bigint"))
 
@@ -160,7 +160,7 @@ def typed_spans(spark, sf):
 
 
 def _hinted(spark, sf):
-    facts = D.staff_facts(spark, sf).filter(F.col("ord") < D.NATION_ORD)
+    facts = D.staff_facts(spark, sf).filter(F.col("about") == "person")
     kind = F.when(F.col("predicate") == "HAS_RATING", K.PLAIN)
     for p, t in D.TYPED_OBJECTS.items():
         kind = F.when(F.col("predicate") == p, t).otherwise(kind)

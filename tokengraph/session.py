@@ -18,10 +18,13 @@ SETTINGS = {
 }
 
 
+INPUT_PARTITIONS = "spark.tokengraph.inputPartitions"
+
+
 def local_session(cores: str = "8", app: str = "tokengraph", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks. On a cluster, use the session you are given."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
-    base = {**SETTINGS, "spark.sql.shuffle.partitions": cores, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"}
+    base = {**SETTINGS, "spark.sql.shuffle.partitions": cores, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g", INPUT_PARTITIONS: cores}
     for k, v in {**base, **conf}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
@@ -45,20 +48,15 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-# Inputs between these sizes may sit in fewer row groups than there are cores; spreading them costs a small shuffle.
-SPREAD_FROM, SPREAD_TO = 64 << 10, 1 << 30
-
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a small input; an input beyond ``SPREAD_TO`` is returned as it is.
+    """Repartition an input to the number in ``spark.tokengraph.inputPartitions``, whatever its size; as it is if unset.
 
-    Span search is heavy per byte, and a small file is often one row group, which is one task. Large inputs have
-    enough splits and must not be shuffled, so the size the planner knows decides.
+    Span search is heavy per byte, and a small file is often one row group, which is one task. ``local_session`` sets the
+    number to the cores; leave it unset on a cluster, where files have enough splits and texts should not be shuffled.
     """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if SPREAD_FROM <= size <= SPREAD_TO:
-        return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    return df
+    n = df.sparkSession.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
 
 
 def cut(df: DataFrame) -> DataFrame:
