@@ -75,3 +75,40 @@ def test_same_input_in_any_partitioning_gives_the_same_graph(spark):
     one, many = (flows.ingest_documents(f.repartition(n), KEY, AES) for n in (1, 5))
     pick = lambda d: sorted(map(tuple, G.export_edges(d.edges).collect()))
     assert pick(one) == pick(many)
+
+
+def test_clashing_tokens_return_their_own_values(spark, monkeypatch):
+    """With tokens of four bits almost everything clashes; every value still comes back as itself."""
+    from tokengraph.functions import hashing
+    from tokengraph.operators import tokens
+
+    def short(entity_type, digest, extra=None):
+        tail = F.upper(F.substring(digest, 3, 1))
+        return F.concat(F.lit("⟦AA_"), hashing.normal_type(entity_type), F.lit("_"), tail, F.lit("000000"), *([F.upper(extra)] if extra is not None else []), F.lit("⟧"))
+
+    monkeypatch.setattr(hashing, "token_text", short)
+    monkeypatch.setattr(tokens, "token_text", short)
+    names = [f"Osric {a}{b}ell" for a in "BDFGKLMN" for b in "aeio"]
+    body = "\n".join(f"{n} has SSN 9{i:02d}-41-{1000 + i}." for i, n in enumerate(names))
+    head = HEADER.replace("    - PERSON\n    - SSN\n", ALL)
+    first = flows.ingest_documents(files(spark, head + body), KEY, AES, edge_limit=None)
+    raw = V.unseal(first.vault, AES)
+    assert raw.count() == 2 * len(names) == raw.select("token").distinct().count()
+    back = V.reconstruct(first.sentences, raw.select("token", "value"), "sent_idx")
+    assert sorted(r.reconstructed for r in back.collect()) == sorted(body.split("\n"))
+    # A later batch lengthens its own tokens around the stored ones.
+    more = flows.ingest_documents(files(spark, head.replace("PAY-77", "PAY-78") + "Quill Zander has SSN 955-12-7777.\n" + body), KEY, AES, None, first.vault)
+    old = {r.value: r.token for r in raw.collect()}
+    new = {r.value: r.token for r in V.unseal(more.vault, AES).collect()}
+    assert all(new[v] == t for v, t in old.items()) and len(set(new.values())) == len(new) == len(old) + 2
+    q = spark.createDataFrame([("q", f"What is {names[5]}'s SSN?")], "query_id string, query_text string")
+    said, _ = flows.answer_questions(q, first.nodes, first.edges, first.vault, KEY, AES)
+    assert said.first().answer == f"{names[5]}'s SSN is 905-41-1005."
+
+
+def test_wide_tables_keep_one_place_per_sentence(spark):
+    head = "| Name | " + " | ".join(f"Extra {i}" for i in range(130)) + " |\n|" + " --- |" * 131 + "\n"
+    rows = "".join(f"| Wendel Arkwright{r} | " + " | ".join(f"v{r}x{i}" for i in range(130)) + " |\n" for r in range(3))
+    docs = spark.createDataFrame([("w", "Some prose.\n\n" + head + rows)], "doc_id string, body string")
+    got = flows.document_sentences(docs)
+    assert got.count() == 3 * 130 + 1 == got.select("sent_idx").distinct().count()

@@ -11,16 +11,19 @@ from tokengraph.functions.text import contains_any, first_word_hit, literal_arra
 from tokengraph.operators import graph as G
 from tokengraph.operators import vault as V
 from tokengraph.operators.detect import detect, explode_entities
-from tokengraph.operators.tokens import find_tokens, tokenize
+from tokengraph.operators.tokens import find_tokens, settle, tokenize
 from tokengraph.session import cut
 
 
-def prepare_queries(queries: DataFrame, key: TokenKey, store: bool = True) -> DataFrame:
+def prepare_queries(queries: DataFrame, key: TokenKey, store: bool = True, changed: DataFrame | None = None) -> DataFrame:
     """Add ``entities``, ``tokenized``, ``tokens``, ``keywords``, ``department``, ``depth`` to (query_id, query_text).
 
     The result is joined many times downstream, so it is materialised in the shared folder unless ``store`` is off.
+    ``changed`` (hmac_digest, token) holds the lengthened tokens of the vault.
     """
     done = tokenize(detect(queries, "query_text"), key, "query_text")
+    if changed is not None:
+        done = settle(done, changed, ["query_id"], "query_text")
     low = F.lower("tokenized")
     ready = (
         done.withColumn("tokens", F.array_distinct(find_tokens(F.col("tokenized"))))

@@ -76,14 +76,19 @@ def apply_policy(
     return df.withColumn(out, F.when(choice == "PASSTHROUGH", F.col(text)).otherwise(rewritten))
 
 
-def token_dictionary(entities: DataFrame) -> DataFrame:
+def token_dictionary(entities: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """(entity_type, hmac_digest, token) over all entities, with clashing tokens lengthened.
 
     Equal tokens of different digests are found by counting distinct digests per token; all members of a clash get
-    the next four digest characters that tell them apart, so the result does not depend on arrival order.
+    the next four digest characters that tell them apart, so the result does not depend on arrival order. If no four do,
+    they get eight, and if those are equal as well the query fails: two values never share a token.
+    ``stored`` (entity_type, hmac_digest, token) keeps its tokens; new members of a clash are lengthened around it.
     """
-    base = entities.select(normal_type(F.col("entity_type")).alias("entity_type"), "hmac_digest").distinct()
-    base = base.withColumn("token", token_text(F.col("entity_type"), F.col("hmac_digest")))
+    cols = ["entity_type", "hmac_digest"]
+    base = entities.select(normal_type(F.col("entity_type")).alias("entity_type"), "hmac_digest")
+    if stored is not None:
+        base = base.unionByName(stored.select(*cols))
+    base = base.distinct().withColumn("token", token_text(F.col("entity_type"), F.col("hmac_digest")))
     slices = [11 + 4 * i for i in range(13)]
     clashes = (
         base.groupBy("token")
@@ -91,24 +96,37 @@ def token_dictionary(entities: DataFrame) -> DataFrame:
             F.count("*").alias("n"),
             # Distinct digests sharing 40 bits: a handful at most, and only counts leave the aggregate.
             *[F.size(F.collect_set(F.substring("hmac_digest", s, 4))).alias(f"d{s}") for s in slices],
+            F.size(F.collect_set(F.substring("hmac_digest", 11, 8))).alias("d8"),
         )
         .filter("n > 1")
     )
-    offset = F.coalesce(*[F.when(F.col(f"d{s}") == F.col("n"), F.lit(s)) for s in slices])
+    offset = F.coalesce(*[F.when(F.col(f"d{s}") == F.col("n"), F.lit(s)) for s in slices], F.when(F.col("d8") == F.col("n"), F.lit(0)), F.raise_error("token clash that eight more digits do not resolve").cast("int"))
     chosen = clashes.select("token", offset.alias("slice"))
-    return base.join(chosen, "token", "left").select(
-        "entity_type",
-        "hmac_digest",
-        F.when(F.col("slice").isNull(), F.col("token"))
-        .otherwise(token_text(F.col("entity_type"), F.col("hmac_digest"), F.expr("substring(hmac_digest, slice, 4)")))
-        .alias("token"),
+    extra = F.when(F.col("slice") == 0, F.substring("hmac_digest", 11, 8)).otherwise(F.expr("substring(hmac_digest, slice, 4)"))
+    found = base.join(chosen, "token", "left").select(
+        *cols,
+        F.when(F.col("slice").isNull(), F.col("token")).otherwise(token_text(F.col("entity_type"), F.col("hmac_digest"), extra)).alias("token"),
     )
+    if stored is None:
+        return found
+    kept = stored.select(*cols, F.col("token").alias("_kept"))
+    return found.join(kept, cols, "left").select(*cols, F.coalesce("_kept", "token").alias("token"))
 
 
-def token_clashes(entities: DataFrame) -> DataFrame:
-    """Tokens that stand for more than one digest before repair."""
-    base = entities.select(
-        F.coalesce(F.col("token"), token_text(F.col("entity_type"), F.col("hmac_digest"))).alias("token"),
-        "hmac_digest",
-    ).distinct()
-    return base.groupBy("token").agg(F.count("*").alias("digests")).filter("digests > 1")
+def lengthened(dictionary: DataFrame) -> DataFrame:
+    """(hmac_digest, token) of the few entries whose token is not the plain one: what ``settle`` has to change."""
+    plain = token_text(F.col("entity_type"), F.col("hmac_digest"))
+    return dictionary.filter(F.col("token") != plain).select("hmac_digest", "token").distinct()
+
+
+def settle(df: DataFrame, changed: DataFrame, keys: list[str], text: str = "text", entities: str = "entities", out: str = "tokenized") -> DataFrame:
+    """Use the dictionary's tokens in already tokenized rows: ``changed`` (hmac_digest, token) is as small as the clashes.
+
+    Only the digests of the rows travel; a row asks for its own entities, so what returns to it is bounded by the row.
+    """
+    asked = df.select(*keys, F.explode(F.array_distinct(F.transform(entities, lambda e: e["hmac_digest"]))).alias("hmac_digest"))
+    found = asked.join(changed, "hmac_digest").groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("hmac_digest", "token"))).alias("_map"))
+    joined = df.join(found, keys, "left")
+    renamed = F.transform(entities, lambda e: e.withField("token", F.coalesce(F.try_element_at(F.col("_map"), e["hmac_digest"]), e["token"])))
+    done = joined.withColumn(entities, F.when(F.col("_map").isNull(), F.col(entities)).otherwise(renamed))
+    return done.withColumn(out, F.when(F.col("_map").isNull(), F.col(out)).otherwise(replace_spans(F.col(text), F.col(entities), lambda e: e["token"]))).drop("_map")

@@ -40,17 +40,26 @@ def document_sentences(docs: DataFrame) -> DataFrame:
     key = ["doc_id", "table_idx", "row_idx"]
     rows = segment.table_rows(docs, "doc_id", "body").filter("row_idx > 0")
     facts = tables.expand_facts(tables.unpivot_rows(rows, key), key)
-    worded = tables.row_sentences(facts, key)
-    # Table sentences follow the prose: their ordinal is built from table, row, column and part, not from a ranking.
-    place = ((F.col("table_idx") + 1).cast("bigint") * 1_000_000 + F.col("row_idx")) * 10_000 + F.col("col_idx") * 100 + F.col("part_idx")
+    worded = cut(tables.row_sentences(facts, key))
+    prose = cut(prose)
+    # Table sentences follow the prose. Their place is built from table, row, column and part with the widths found in
+    # the data, so no table is too wide or long for it and neighbouring sentences stay neighbours in the blocks of a scan.
+    w = worded.agg(*[F.coalesce(F.max(c), F.lit(0)).cast("bigint").alias(c) for c in ("row_idx", "col_idx", "part_idx")]).first()
+    after = prose.agg(F.coalesce(F.max("sent_idx"), F.lit(0))).first()[0] + 1
+    place = F.col("table_idx").cast("bigint")
+    for c in ("row_idx", "col_idx", "part_idx"):
+        place = place * (w[c] + 1) + F.col(c)
     return prose.select("doc_id", F.col("sent_idx").cast("bigint").alias("sent_idx"), "text").unionByName(
-        worded.select("doc_id", place.alias("sent_idx"), "text")
+        worded.select("doc_id", (place + after).alias("sent_idx"), "text")
     )
 
 
-def ingest_documents(files: DataFrame, key: TokenKey, vault_key: bytes, edge_limit: int | None = K.EDGE_LIMIT) -> Ingested:
+def ingest_documents(files: DataFrame, key: TokenKey, vault_key: bytes, edge_limit: int | None = K.EDGE_LIMIT, stored: DataFrame | None = None) -> Ingested:
     """Header + body files (path, content) to vault, graph and registry.
 
+    ``stored`` is the sealed vault so far: its tokens stay as they are, and new values whose token would clash with one of
+    them, or with each other, get longer tokens before any text is rewritten.
+
     The tokenized sentences are materialised once; vault, triples and counts all read that table. With ``edge_limit``
     the graph is checked before anything is returned for publishing.
     """
@@ -65,7 +74,10 @@ def ingest_documents(files: DataFrame, key: TokenKey, vault_key: bytes, edge_lim
     )
     meta = docs.select("doc_id", "categories", "min_confidence")
     found = DT.detect(document_sentences(docs).join(meta, "doc_id"), categories="categories", min_confidence="min_confidence")
-    done = cut(tokens.tokenize(found, key).select("doc_id", "sent_idx", "entities", F.col("tokenized").alias("text")))
+    place = ["doc_id", "sent_idx"]
+    raw = cut(tokens.tokenize(found, key).select(*place, "text", "entities", "tokenized"))
+    changed = cut(tokens.lengthened(tokens.token_dictionary(DT.explode_entities(raw, *place), stored)))
+    done = cut(tokens.settle(raw, changed, place).select(*place, "entities", F.col("tokenized").alias("text")))
 
     # A total order over all entities and triples: documents by id, then sentence, then position.
     ents = DT.explode_entities(done, "doc_id", "sent_idx").withColumn("ord", F.struct("doc_id", "sent_idx", "entity_idx"))
@@ -96,7 +108,7 @@ def ingest_documents(files: DataFrame, key: TokenKey, vault_key: bytes, edge_lim
 
 def answer_questions(queries: DataFrame, nodes: DataFrame, edges: DataFrame, vault: DataFrame, key: TokenKey, vault_key: bytes) -> tuple[DataFrame, DataFrame]:
     """(answers, blocked audit rows) for (query_id, query_text); answers carry plain values again."""
-    prepared = R.prepare_queries(queries, key)
+    prepared = R.prepare_queries(queries, key, changed=tokens.lengthened(vault))
     _, reached, subgraph = R.retrieve(prepared, nodes, edges)
     sub = cut(subgraph)
     unsafe = cut(guard.unsafe_queries(R.build_context(reached, sub, nodes)))
