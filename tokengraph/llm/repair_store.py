@@ -12,6 +12,7 @@ ids; ``base + i`` is rule ``i``. All arrays are little-endian.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
@@ -20,13 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, pre_tokenizers
 
 from tokengraph.llm import common as C
 from tokengraph.llm.word_table_bpe import load
 from tokengraph.session import shared_dir
 
 SHARD_TOKENS = 1 << 19
-ROUNDS, RULES_PER_ROUND, LEAST_COUNT = 12, 1024, 6
+ROUNDS, RULES_PER_ROUND, LEAST_COUNT = 6, 2048, 8
 CHUNK = re.compile(r"[^\t-\r ]+")
 
 
@@ -36,25 +38,27 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS,
     In a round the most frequent pairs are taken in order of count as long as no symbol stands left in one and right in
     another of them, so replacing them together equals replacing them one after the other.
     """
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.uint32)
     last = np.zeros(len(seq) + 1, bool)
     last[ends - 1] = True  # an empty document marks the symbol before it, or the extra last place
     last = last[:-1] if len(seq) else np.zeros(0, bool)
-    doc_of_symbol = np.searchsorted(ends, np.arange(len(seq)), side="right")
+    doc_of_symbol = np.repeat(np.arange(len(ends), dtype=np.int32), np.diff(ends, prepend=0))
     rules: list[tuple[int, int]] = []
     lengths: list[int] = []
     room = 65536 - base
     for _ in range(rounds):
         if len(seq) < 2 or len(rules) >= room:
             break
-        codes = (seq[:-1] << 20) | seq[1:]
+        codes = (seq[:-1] << np.uint32(16)) | seq[1:]
         inside = ~last[:-1]
-        found, counts = np.unique(codes[inside], return_counts=True)
+        found = np.sort(codes[inside])
+        new = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1], [True]])) if len(found) else np.zeros(1, int)
+        counts, found = np.diff(new), found[new[:-1]]
         often = np.flatnonzero(counts >= least)
-        often = often[np.lexsort((found[often], -counts[often]))][: 4 * per_round]
+        often = often[np.argsort(-counts[often], kind="stable")][: 4 * per_round]
         lefts, rights, taken = set(), set(), []
         for code in found[often].tolist():
-            a, b = code >> 20, code & 0xFFFFF
+            a, b = code >> 16, code & 0xFFFF
             if a in rights or b in lefts or (a == b and (a in lefts or a in rights)):
                 continue
             lefts.add(a)
@@ -64,23 +68,27 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS,
                 break
         if not taken:
             break
-        order = np.sort(np.array(taken, np.int64))
-        at = np.searchsorted(order, codes)
-        at[at == len(order)] = 0
-        hit = (order[at] == codes) & inside
-        twin = hit & (seq[:-1] == seq[1:])
+        order = np.sort(np.array(taken, np.uint32))
+        may = np.zeros((2, 1 << 16), bool)
+        may[0, order >> np.uint32(16)], may[1, order & np.uint32(0xFFFF)] = True, True
+        where = np.flatnonzero(may[0, seq[:-1]] & may[1, seq[1:]] & inside)
+        which = np.minimum(np.searchsorted(order, codes[where]), len(order) - 1)
+        pick = order[which] == codes[where]
+        where, which = where[pick], which[pick]
+        twin = seq[where] == seq[where + 1]
         if twin.any():  # in a run of one symbol every second pair counts
-            place = np.arange(len(hit))
-            begin = np.maximum.accumulate(np.where(twin & ~np.concatenate([[False], twin[:-1]]), place, -1))
-            hit &= ~(twin & ((place - begin) % 2 == 1))
-        where = np.flatnonzero(hit)
+            place = np.arange(len(where))
+            joined = np.concatenate([[False], twin[1:] & twin[:-1] & (where[1:] == where[:-1] + 1)])
+            begin = np.maximum.accumulate(np.where(joined, -1, place))
+            pick = ~twin | ((place - begin) % 2 == 0)
+            where, which = where[pick], which[pick]
         size = {i: n for i, n in enumerate(lengths, base)}
         symbol = base + len(rules)
         for code in order.tolist():
-            a, b = code >> 20, code & 0xFFFFF
+            a, b = code >> 16, code & 0xFFFF
             rules.append((a, b))
             lengths.append(size.get(a, 1) + size.get(b, 1))
-        seq[where] = symbol + at[where]
+        seq[where] = (symbol + which).astype(np.uint32)
         last[where] = last[where + 1]
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
@@ -121,22 +129,50 @@ def shard(part: int, seq: int, ids: list, arrays: list[np.ndarray], base: int) -
 
 
 class Encoder:
-    """Ids of texts. White space parts words in this vocabulary, so each stretch between is encoded once and kept."""
+    """Ids of texts. White space parts words in this vocabulary, so each stretch between is encoded once and kept.
 
-    MOST = 1_000_000
+    Stretches of plain letters with marks behind are two words of the tokenizer each. Such words need no normalisation but
+    lower case; they are encoded many at once and told apart by the pieces that end a word. All others are encoded alone.
+    """
+
+    MOST, TOGETHER = 300_000, 1000
+    # No letter here turns into more than one when lower-cased, and no mark is part of a contraction.
+    PLAIN = re.compile("([A-Za-z" + "".join(map(chr, (*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x130), *range(0x131, 0x250)))) + r"]+)([,.!?;:*%&#$|]*)")
 
     def __init__(self, tokenizer_json: str):
-        self.tokenizer, self.known = load(tokenizer_json), {}
+        self.tokenizer, self.known, self.plain = load(tokenizer_json), {}, {}
+        bare = json.loads(tokenizer_json) | {"normalizer": None, "added_tokens": []}
+        suffix = bare["model"]["end_of_word_suffix"]
+        self.bare = Tokenizer.from_str(json.dumps(bare))
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends_word = np.zeros(1 << 16, bool)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+
+    def encode(self, words: list[str]) -> None:
+        groups = [words[i : i + self.TOGETHER] for i in range(0, len(words), self.TOGETHER)]
+        for group, e in zip(groups, self.bare.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint16)
+            ends = (2 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            data = ids.tobytes()
+            self.plain.update((w, data[a:z]) for w, a, z in zip(group, [0, *ends], ends, strict=False))
+
+    def learn(self, new: list[str]) -> None:
+        parts = [(c, m[1].lower(), m[2]) if (m := self.PLAIN.fullmatch(c)) else (c, None, None) for c in new]
+        alone = [c for c, a, _ in parts if a is None]
+        self.known.update((c, np.array(e.ids, np.uint16).tobytes()) for c, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)))
+        plain = self.plain
+        self.encode(list({w for _, a, z in parts if a is not None for w in (a, z) if w and w not in plain}))
+        plain[""] = b""
+        self.known.update((c, plain[a] + plain[z]) for c, a, z in parts if a is not None)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         split = [CHUNK.findall(t) for t in texts]
-        new = list({c for s in split for c in s if c not in self.known})
-        for i in range(0, len(new), 10_000):
-            some = new[i : i + 10_000]
-            self.known.update((c, np.array(e.ids, np.uint16).tobytes()) for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)))
+        new = set().union(*split).difference(self.known)
+        if new:
+            self.learn(list(new))
         out = [np.frombuffer(b"".join(map(self.known.__getitem__, s)), np.uint16) for s in split]
         if len(self.known) > self.MOST:
-            self.known = {}
+            self.known, self.plain = {}, {}
         return out
 
 
