@@ -113,6 +113,12 @@ def test_chain_with_base_name_and_retention(spark):
     assert got[2] == "the CFO was offered a retention bonus equal to 100% of base salary upon deal close."
 
 
+def test_retention_value_with_a_comma_stays_whole(spark):
+    facts = [("CFO", "HAS_RETENTION_BONUS", "40% of base, payable in two parts at close")]
+    got = ask(spark, "What retention terms were offered to the CFO?", facts=facts)
+    assert got == ["the CFO was offered a retention bonus equal to 40% of base, payable in two parts at close."]
+
+
 def test_no_facts_no_empty_answer(spark):
     q = spark.createDataFrame([("q", "What is X?")], "query_id string, query_text string").withColumn("tokenized", F.col("query_text"))
     edges = G.edges_from(triple_rows(spark, FACTS)).select(F.lit("other").alias("query_id"), "*")

@@ -162,6 +162,15 @@ def test_delimiters_quotes_and_blank_rows(spark, tmp_path, sep):
     assert rows == [("Linnea Dubois", f"$85{sep}000", "h@x.com"), ("Petra Quist", "$9", "j@x.com")]
 
 
+def test_broken_lines_short_rows_and_repeated_headers(spark, tmp_path):
+    (tmp_path / "r.csv").write_text('Name;Salary;Salary;Note\nLinnea Dubois;$1;$2;"first, line\nsecond; line"\nPetra Quist\nIvo Marchetti;$3;;x\n')
+    rows = delimited.read_cells(spark, str(tmp_path))
+    assert rows.first().headers == ["Name", "Salary", "Salary", "Note"]
+    assert sorted(r.cells for r in rows.collect()) == [["Ivo Marchetti", "$3", "", "x"], ["Linnea Dubois", "$1", "$2", "first, line\nsecond; line"], ["Petra Quist", "", "", ""]]
+    facts = TB.unpivot_rows(rows.withColumn("k", F.lit(1)), ["k"]).filter("predicate = 'HAS_SALARY'")
+    assert sorted((r.subject, r.value) for r in facts.collect()) == [("Ivo Marchetti", "$3"), ("Linnea Dubois", "$2")]
+
+
 def test_latin1_and_empty_tables(spark, tmp_path):
     (tmp_path / "l.csv").write_bytes("Name,City\nRenée,Orléans\n".encode("latin-1"))
     assert delimited.read_table(spark, str(tmp_path)).first().Name == "Renée"

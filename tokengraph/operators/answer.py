@@ -66,6 +66,7 @@ def fact_index(facts: DataFrame) -> DataFrame:
             "predicate",
             F.get("_v", F.lit(0)).alias("first_value"),
             F.array_join("_v", ", ").alias("vals"),
+            F.col("_v").alias("all_values"),
             "first_ord",
         )
     )
@@ -233,7 +234,7 @@ def list_items(questions: DataFrame, index: DataFrame) -> DataFrame:
         F.max(p.isin("HAS_REASON", "PROMOTED_TO") & F.contains(F.lower(vals), F.lit("promotion"))).alias("m"),
         F.max(
             (p == "HAS_RATING")
-            & F.exists(F.split(vals, ", "), lambda r: F.startswith(r, F.coalesce("rating", F.lit("\u0000"))))
+            & F.exists("all_values", lambda r: F.startswith(r, F.coalesce("rating", F.lit("\u0000"))))
         ).alias("r"),
         F.max(F.when(p == F.col("intent"), vals)).alias("asked"),
         held("HAS_REASON").alias("reason"),
@@ -303,11 +304,11 @@ def retention_answers(questions: DataFrame, index: DataFrame, per_chunk: int = 1
         order = F.when(F.col("subject") == role, F.lit(i)).otherwise(order)
     for role in K.EXECUTIVE_ROLES:
         named = named | ((F.col("subject") == role) & F.col("_t").rlike(rf"\b{role.lower()}\b"))
-    rows = rows.select("query_id", "subject", "first_value", "vals", "first_ord", named.alias("_named"), order.alias("_o"))
+    rows = rows.select("query_id", "subject", "first_value", "all_values", "first_ord", named.alias("_named"), order.alias("_o"))
     any_named = rows.groupBy("query_id").agg(F.max("_named").alias("_any"))
     used = rows.join(any_named, "query_id").filter(F.col("_named") | ~F.col("_any"))
     rank = F.struct(F.when(F.col("_any"), F.col("_o")).otherwise(F.lit(0)).alias("r"), F.col("first_ord").alias("o"))
-    percent = F.get(F.filter(F.split("vals", ", "), lambda v: F.contains(v, F.lit("%"))), F.lit(0))
+    percent = F.get(F.filter("all_values", lambda v: F.contains(v, F.lit("%"))), F.lit(0))
     is_token = F.size(find_tokens(F.col("subject"))) > 0
     is_role = F.col("subject").isin(K.EXECUTIVE_ROLES)
     got = used.groupBy("query_id").agg(

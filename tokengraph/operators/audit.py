@@ -54,11 +54,15 @@ def _fold(rows: Column, first_prev: Column) -> Column:
     return F.aggregate(rows, zero, step, lambda acc: acc["out"])
 
 
-def chain_entries(events: DataFrame, segment: int = SEGMENT, genesis: str = K.GENESIS) -> DataFrame:
+def chain_entries(events: DataFrame, segment: int = SEGMENT, genesis: str = K.GENESIS, head: tuple[int, str] | None = None) -> DataFrame:
     """(seq, segment, prev_hash, entry_hash) for events (seq, event_type, details, ts). One shuffle of the texts.
 
     A segment is a fixed range of ``seq``, so a group has at most ``segment`` entries whatever the data looks like.
+    ``head`` (seq, entry_hash) is the last stored entry: the segment it left open goes on from it.
     """
+    first = F.lit(genesis)
+    if head is not None and (head[0] + 1) % segment:
+        first = F.when(F.col("segment") == head[0] // segment, F.lit(head[1])).otherwise(first)
     parts = events.select(
         F.floor(F.col("seq") / segment).cast("bigint").alias("segment"),
         F.struct(
@@ -70,7 +74,7 @@ def chain_entries(events: DataFrame, segment: int = SEGMENT, genesis: str = K.GE
             F.concat(F.lit('", "timestamp": '), json_string(F.col("ts")), F.lit("}")).alias("tail"),
         ).alias("e"),
     )
-    folded = parts.groupBy("segment").agg(_fold(F.array_sort(F.collect_list("e")), F.lit(genesis)).alias("es"))
+    folded = parts.groupBy("segment").agg(F.array_sort(F.collect_list("e")).alias("es")).withColumn("es", _fold(F.col("es"), first))
     return folded.select("segment", F.explode("es").alias("e")).select("e.seq", "segment", "e.prev_hash", "e.entry_hash")
 
 
@@ -120,6 +124,40 @@ def verify_contents(entries: DataFrame) -> DataFrame:
     return entries.withColumn("content_valid", F.sha2(text, 256) == F.col("entry_hash"))
 
 
+def append_events(log: DataFrame, events: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """The new entries of a stored log, in its shape: ``events`` (seq from 0 on, ts, event_type, details) follow its last one."""
+    last = log.agg(F.max(F.struct("seq", "entry_hash")).alias("h")).first()["h"]
+    head = None if last is None else (last["seq"], last["entry_hash"])
+    fresh = events.withColumn("seq", F.col("seq") + (0 if head is None else head[0] + 1))
+    chained = chain_entries(fresh, segment, head=head).select("seq", "prev_hash", "entry_hash")
+    return fresh.join(chained, "seq").select("seq", "ts", "event_type", "details", "prev_hash", "entry_hash")
+
+
+def root_of(log: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """(n, end_hash) of a stored log: what is kept beside it. No row for an empty log."""
+    top = log.agg(F.max("seq")).first()[0]
+    if top is None:
+        return log.select(F.lit(0).cast("bigint").alias("n"), F.lit("").alias("end_hash")).limit(0)
+    placed = log.select("seq", "entry_hash", F.floor(F.col("seq") / segment).cast("bigint").alias("segment"))
+    return seal(placed, top, segment).select("n", "end_hash")
+
+
+def log_status(log: DataFrame, root: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """(entries, valid): links, contents, every ``seq`` from 0 on exactly once, and the root kept beside the log.
+
+    Links and contents alone do not show a missing or exchanged segment or a cut tail; the root does.
+    """
+    checked = verify_contents(verify_links(log, segment))
+    once = log.groupBy("seq").agg(F.count("*").alias("k")).agg(F.max("k").alias("k"))
+    state = log.agg(F.count("*").alias("entries"), F.min("seq").alias("low"), F.max("seq").alias("high"))
+    held = checked.agg(F.coalesce(F.every(F.col("chain_valid") & F.col("content_valid")), F.lit(False)).alias("ok"))
+    now = root_of(log, segment).select(F.col("n").alias("n_now"), F.col("end_hash").alias("root_now"))
+    kept = root.agg(F.max("n").alias("n"), F.max("end_hash").alias("root"))
+    whole = state.join(held, F.lit(True)).join(once, F.lit(True)).join(kept, F.lit(True)).join(now, F.lit(True), "left")  # one row each
+    valid = F.col("ok") & (F.col("k") == 1) & (F.col("low") == 0) & (F.col("high") == F.col("entries") - 1) & (F.col("n") == F.col("n_now")) & (F.col("root") == F.col("root_now"))
+    return whole.select("entries", F.coalesce(valid, F.lit(False)).alias("valid"))
+
+
 def chain_status(verified: DataFrame) -> DataFrame:
     """(entries, valid): valid only when there is an entry and every check holds."""
     checks = [c for c in ("chain_valid", "content_valid") if c in verified.columns]

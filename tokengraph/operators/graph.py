@@ -146,30 +146,18 @@ def adjacency(edges: DataFrame) -> DataFrame:
 def expand(seeds: DataFrame, adj: DataFrame, depth: int, keys: list[str], limit: str | None = None) -> DataFrame:
     """Nodes within ``depth`` hops of each seed: (keys…, node, hop) with the smallest hop.
 
-    ``seeds``: keys…, node[, limit]. One lazy plan: each hop joins only the rows found in the hop before, and a
-    combinable minimum drops nodes seen earlier; nothing is collected and no lineage has to be cut. ``limit`` names a
+    ``seeds``: keys…, node[, limit]. One lazy plan: each hop shuffles and joins only the rows found in the hop before, and
+    a combinable minimum drops nodes seen earlier; nothing is collected and no lineage has to be cut. ``limit`` names a
     column with a smaller depth per seed.
     """
     extra = [limit] if limit else []
     reach = seeds.select(*keys, *extra, "node").distinct().withColumn("hop", F.lit(0))
     for hop in range(1, depth + 1):
-        open_row = F.col("hop") == hop - 1
+        frontier = reach.filter(F.col("hop") == hop - 1)
         if limit:
-            open_row = open_row & (F.col(limit) >= hop)
-        # Rows that are done get a key no node has and pass the outer join unmatched; the hash spreads them.
-        done = F.concat(F.lit("\u0000"), F.xxhash64(*keys, "node").cast("string"))
-        staged = reach.withColumn("_at", F.when(open_row, F.col("node")).otherwise(done))
-        stepped = staged.join(adj.select(F.col("node").alias("_at"), "neighbour"), "_at", "left")
-        both = F.array(
-            F.struct(F.col("node").alias("node"), F.col("hop").alias("hop")),
-            F.struct(F.col("neighbour").alias("node"), F.lit(hop).alias("hop")),
-        )
-        reach = (
-            stepped.select(*keys, *extra, F.explode(both).alias("_r"))
-            .filter(F.col("_r.node").isNotNull())
-            .groupBy(*keys, *extra, F.col("_r.node").alias("node"))
-            .agg(F.min("_r.hop").alias("hop"))
-        )
+            frontier = frontier.filter(F.col(limit) >= hop)
+        stepped = frontier.join(adj, "node").select(*keys, *extra, F.col("neighbour").alias("node"), F.lit(hop).alias("hop"))
+        reach = reach.unionByName(stepped).groupBy(*keys, *extra, "node").agg(F.min("hop").alias("hop"))
     return reach.select(*keys, "node", "hop")
 
 

@@ -235,7 +235,7 @@ def _index(spark, sf):
 
 @query("fact_index", S.sql(["fidx"], "SELECT query_id, subject, predicate, vals, first_value FROM fidx"))
 def fact_index(spark, sf):
-    return A.fact_index(_retrieved(spark, sf)[5]).drop("first_ord")
+    return A.fact_index(_retrieved(spark, sf)[5]).drop("first_ord", "all_values")
 
 
 @query("target_subjects", S.sql(["qtarget"], "SELECT query_id, subject FROM qtarget WHERE subject IS NOT NULL"))

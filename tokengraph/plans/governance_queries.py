@@ -98,9 +98,47 @@ def audit_verify(spark, sf):
     return AU.verify_contents(AU.verify_links(bad, _SEG)).select("seq", "chain_valid", "content_valid")
 
 
-@query("audit_status", S.sql(["audit"], "SELECT count(*) AS entries, true AS valid FROM audit"))
+_EVENTS = "(SELECT count(*) FROM events)"
+_KEPT = {
+    "intact": f"{_EVENTS}", "removed segment": f"{_EVENTS} - {_SEG}", "exchanged segments": f"{_EVENTS}", "cut tail": f"{_EVENTS} - 7", "repeated entry": f"{_EVENTS} + 1",
+}
+
+
+@query("audit_status", " UNION ALL ".join(f"SELECT '{k}' AS log, ({n})::BIGINT AS entries, {str(k == 'intact').lower()} AS valid" for k, n in _KEPT.items()))
 def audit_status(spark, sf):
-    return AU.chain_status(AU.verify_contents(AU.verify_links(_log(spark, sf), _SEG)))
+    """The stored log and four ways to tamper with it that leave every link inside a segment as it was."""
+    log = _log(spark, sf)
+    root = AU.root_of(log, _SEG)
+    top = log.agg(F.max("seq")).first()[0]
+    seq, part = F.col("seq"), F.floor(F.col("seq") / _SEG)
+    other = F.when(part == 1, seq + _SEG).when(part == 2, seq - _SEG).otherwise(seq)
+    logs = {
+        "intact": log, "removed segment": log.filter(part != 3), "exchanged segments": log.withColumn("seq", other),
+        "cut tail": log.filter(seq <= top - 7), "repeated entry": log.unionByName(log.filter(seq == 5)),
+    }
+    out = None
+    for name, one in logs.items():
+        row = AU.log_status(one, root, _SEG).select(F.lit(name).alias("log"), "entries", "valid")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("audit_append", S.sql(["chain"], "SELECT seq, prev_hash, entry_hash FROM chain"))
+def audit_append(spark, sf):
+    """A third of the events is stored, the rest is appended; the log is as if it had been chained at once."""
+    events = D.audit_events(spark, sf)
+    cut_at = events.agg(F.floor(F.max("seq") / 3)).first()[0]
+    path = _scratch(spark, "appended", sf)
+    AU.append_events(stores.read_audit(spark, _empty(spark, path, events)), events.filter(F.col("seq") < cut_at), _SEG).write.mode("append").json(path)
+    rest = events.filter(F.col("seq") >= cut_at).withColumn("seq", F.col("seq") - cut_at)
+    AU.append_events(stores.read_audit(spark, path), rest, _SEG).write.mode("append").json(path)
+    return stores.read_audit(spark, path).select("seq", "prev_hash", "entry_hash")
+
+
+def _empty(spark, path, events):
+    """An audit folder without entries yet."""
+    events.limit(0).select("seq").write.json(path)
+    return path
 
 
 @query("roundtrip_audit", S.sql(["chain"], "SELECT a.seq, ts, event_type, details, prev_hash, entry_hash FROM audit a JOIN chain USING (seq)"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tokengraph.functions import constants as K
@@ -300,7 +302,7 @@ def expanded_facts(spark, sf):
 )
 def csv_scan(spark, sf):
     """All customers written as semicolon text, read back with the delimiter found in the data."""
-    path = f"{shared_dir(spark)}/csv-{spark.sparkContext.applicationId}-{abs(hash(sf)) % 10**8}"
+    path = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
     rows = D.table(spark, sf, "customer").select(
         F.col("c_custkey").cast("string").alias("id"),
         F.concat(F.lit(" "), "c_name", F.lit(" ")).alias("name"),
