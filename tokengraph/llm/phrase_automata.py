@@ -110,12 +110,20 @@ def schema(**kinds) -> pa.Schema:
 
 
 PACKET = schema(bucket=pa.int32(), block=pa.int64(), hashes=pa.binary(), places=pa.binary(), ids=pa.binary(), ends=pa.binary())
-REPLY = schema(block=pa.int64(), owner=pa.int64(), n=pa.int64(), found=pa.binary())
+REPLY = schema(block=pa.int64(), owners=pa.binary(), counts=pa.binary(), found=pa.binary())
 ASKED = schema(block=pa.int64(), target=pa.int64(), runs=pa.binary())
 PHRASES = schema(block=pa.int64(), ids=pa.binary(), texts=pa.binary())
 MADE = schema(doc_id=pa.int64(), n_words=pa.int64(), n_removed=pa.int64(), kept=pa.string(), removed=pa.binary())
 
 
+def spans_of(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of every stretch of equal keys."""
+    if not len(keys):
+        return []
+    cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])).tolist()
+    return list(zip(cuts, cuts[1:]))
+
+
 def fingerprints(blocks: DataFrame, n_buckets: int, window: int) -> DataFrame:
     def run(batches):
         for r in C.rows_of(batches, 1):
@@ -131,15 +139,20 @@ def fingerprints(blocks: DataFrame, n_buckets: int, window: int) -> DataFrame:
             order = np.argsort(bucket.astype(np.uint16) if n_buckets < 1 << 16 else bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=np.uint64))
             ids, ends = C.pack(deltas(b.ids)), C.pack(deltas(b.ends))
+            made: list[list] = [[] for _ in PACKET]
             for k in np.flatnonzero(np.diff(cuts)).tolist():
                 pick = order[cuts[k] : cuts[k + 1]]
-                yield pa.RecordBatch.from_pylist([{"bucket": k, "block": r["block"], "hashes": planes(h[pick], HASH_BYTES), "places": planes(deltas(at[pick] * 2 + again[pick]).astype(np.uint32), 4), "ids": ids, "ends": ends}], schema=PACKET)
+                row = (k, r["block"], planes(h[pick], HASH_BYTES), planes(deltas(at[pick] * 2 + again[pick]).astype(np.uint32), 4), ids, ends)
+                for column, value in zip(made, row):
+                    column.append(value)
+            if made[0]:
+                yield C.batch(PACKET, made)
 
     return blocks.mapInArrow(run, "bucket int, block bigint, hashes binary, places binary, ids binary, ends binary")
 
 
 def earlier(packets: DataFrame) -> DataFrame:
-    """Per block and owner block: where windows of the block stand in a document with a smaller id of the owner block."""
+    """One row per bucket and block: which windows of the block stand where in a document with a smaller id of another."""
 
     def run(batches):
         for _, rows in C.in_groups(C.rows_of(batches, 8), lambda r: r["bucket"]):
@@ -169,39 +182,53 @@ def earlier(packets: DataFrame) -> DataFrame:
             owner = order[np.maximum.accumulate(np.where(lead, np.arange(len(order)), 0))]
             pick = doc[owner] < doc[order]
             order, owner = order[pick], owner[pick]
-            pairs = source[order].astype(np.int64) * len(names) + source[owner]
-            by = np.lexsort((place[order], pairs))
-            order, owner, pairs = order[by], owner[by], pairs[by]
-            cuts = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1], [True]])) if len(pairs) else np.zeros(1, int)
-            for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            target, theirs = source[order], source[owner]
+            by = np.lexsort((place[order], theirs, target))
+            order, owner, target, theirs = order[by], owner[by], target[by], theirs[by]
+            made: list[list] = [[] for _ in REPLY]
+            for a, z in spans_of(target):
                 t, o = place[order[a:z]], place[owner[a:z]]
-                found = C.pack(np.concatenate([deltas(t * 2 + again[order[a:z]]), deltas(o - t)]).astype(np.int32))
-                yield pa.RecordBatch.from_pylist([{"block": names[source[order[a]]], "owner": names[source[owner[a]]], "n": z - a, "found": found}], schema=REPLY)
+                parts = spans_of(theirs[a:z])
+                made[0].append(names[target[a]])
+                made[1].append(C.pack(np.array([names[theirs[a + x]] for x, _ in parts], np.int64)))
+                made[2].append(C.pack(np.array([y - x for x, y in parts], np.int32)))
+                made[3].append(C.pack(np.concatenate([deltas(t * 2 + again[order[a:z]]), deltas(o - t)]).astype(np.int32)))
+            yield C.batch(REPLY, made)
 
-    return packets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "block bigint, owner bigint, n bigint, found binary")
+    return packets.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "block bigint, owners binary, counts binary, found binary")
 
 
 def passages(replies: DataFrame, window: int) -> DataFrame:
-    """Windows in a row as passages: per owner block and asking block, first words there and lengths in words."""
+    """Windows in a row as passages: one row per owner block and asking block, with first words there and lengths in words."""
 
     def run(batches):
-        for (block, owner), rows in C.in_groups(C.rows_of(batches, 64), lambda r: (r["block"], r["owner"])):
-            both = [C.unpack(r["found"], np.int32).reshape(2, -1).astype(np.int64).cumsum(axis=1) for r in rows]
-            at, shift = np.concatenate(both, axis=1)
-            order = np.lexsort((at, shift))
-            at, shift = at[order], shift[order]
+        for block, rows in C.in_groups(C.rows_of(batches, 64), lambda r: r["block"]):
+            at, shift, owner = [], [], []
+            for r in rows:
+                both = C.unpack(r["found"], np.int32).reshape(2, -1).astype(np.int64).cumsum(axis=1)
+                at.append(both[0])
+                shift.append(both[1])
+                owner.append(np.repeat(C.unpack(r["owners"], np.int64), C.unpack(r["counts"], np.int32)))
+            at, shift, owner = map(np.concatenate, (at, shift, owner))
+            order = np.lexsort((at, shift, owner))
+            at, shift, owner = at[order], shift[order], owner[order]
             single = (at & 1).astype(bool)
             at >>= 1
             begin = np.ones(len(at), bool)
-            begin[1:] = (shift[1:] != shift[:-1]) | (at[1:] != at[:-1] + 1)
+            begin[1:] = (owner[1:] != owner[:-1]) | (shift[1:] != shift[:-1]) | (at[1:] != at[:-1] + 1)
             first = np.flatnonzero(begin)
             n = np.diff(np.append(first, len(at))) + window - 1
-            alone = (at + shift)[single]
-            runs = np.stack([np.append(at[first] + shift[first], alone), np.append(n, np.full(len(alone), window))])
+            alone = np.flatnonzero(single)
+            runs = np.stack([np.append(owner[first], owner[alone]), np.append((at + shift)[first], (at + shift)[alone]), np.append(n, np.full(len(alone), window))])
             runs = np.unique(runs, axis=1)
-            yield pa.RecordBatch.from_pylist([{"block": owner, "target": block, "runs": C.pack(runs)}], schema=ASKED)
-
-    return replies.repartition("block", "owner").sortWithinPartitions("block", "owner").mapInArrow(run, "block bigint, target bigint, runs binary")
+            made: list[list] = [[] for _ in ASKED]
+            for a, z in spans_of(runs[0]):
+                made[0].append(int(runs[0, a]))
+                made[1].append(block)
+                made[2].append(C.pack(runs[1:, a:z]))
+            yield C.batch(ASKED, made)
+
+    return replies.repartition("block").sortWithinPartitions("block").mapInArrow(run, "block bigint, target bigint, runs binary")
 
 
 def confirmed(blocks: DataFrame, asked: DataFrame, window: int) -> DataFrame:
