@@ -1,9 +1,9 @@
 """Documents whose sets of word n-grams are nearly equal, joined by prefix trees.
 
-Equal sets are one representative. Representatives meet only where they share an n-gram within their prefixes: with the
-n-grams of every set in one global order (those seen often in a sample last, then by hash), two sets of the wanted
-similarity share one among the first ``n - least + 1`` of theirs. Each representative lives in the tree of its most
-shared prefix n-gram and is sent to the trees in which the others it shares one with live. A tree stores its sets in the
+Equal sets are one representative. Representatives meet only where they agree in a whole part of their sets: the range of
+hashes is cut into one part more than two linked sets of such a size can differ in n-grams, so they agree in at least one,
+and common passages alone make no one meet. Each representative lives in one tree, that of its near copies as far as the
+agreeing parts tell, and is sent to the trees in which others that it agrees with live. A tree stores its sets in the
 order of their frequency there, so near copies share long paths; it is walked with the partial overlap so far, and a
 branch is left as soon as the lengths below it can no longer reach the threshold. Links become components in rounds of
 smallest labels over tables.
@@ -11,6 +11,9 @@ smallest labels over tables.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -20,10 +23,7 @@ from pyspark.sql import functions as F
 from tokengraph.llm import common as C
 
 SIZE, PERCENT = 3, 90
-SAMPLE_DOCS, OFTEN = 4_000, 8
-"""N-grams found ``OFTEN`` times or more among about ``SAMPLE_DOCS`` sampled documents come last in the global order. The
-sample decides how fast the join is, never what it finds."""
-TREE_SETS = 1_500
+TREE_SETS, BUCKET_ENTRIES = 1_500, 2_000_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -44,17 +44,41 @@ def least_overlap(n: int, m: int, percent: int = PERCENT) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
-def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n - -(-percent * n // 100) + 1 if n else 0
+@cache
+def class_starts(percent: int, most: int) -> list[int]:
+    """Sizes at which size classes begin: sets that link are in one class or in neighbouring ones."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(out[-1] * 100 // percent + 1)
+    return out
+
 
+@cache
+def parts_of(level: int, percent: int) -> int:
+    """Parts for sets of class ``level`` and the next: one more than two linked ones can differ in n-grams."""
+    starts = class_starts(percent, 1 << 40)
+    most = starts[level + 2] - 1
+    return 2 * most * (100 - percent) // (100 + percent) + 1
 
-def in_global_order(h: np.ndarray, often: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Hashes sorted by (times seen in the sample, hash)."""
-    if not len(often):
-        return h
-    at = np.minimum(np.searchsorted(often, h), len(often) - 1)
-    seen = np.where(often[at] == h, rank[at], 0)
-    return h[np.lexsort((h, seen))]
+
+def signatures(h: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """A hash for each part of a set of ascending hashes, in the partition of its size class and of the class below."""
+    n = len(h)
+    if not n:
+        return np.empty(0, np.uint64)
+    own = bisect_right(class_starts(percent, 1 << 40), n) - 1
+    mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed ^ (mixed >> np.uint64(31)))])
+    out = []
+    for level in range(max(0, own - 1), own + 1):
+        parts = parts_of(level, percent)
+        inner = np.arange(1, parts, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // parts)
+        cuts = np.concatenate([[0], np.searchsorted(h, inner), [n]])
+        s = sums[cuts[1:]] - sums[cuts[:-1]] + np.diff(cuts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+        s += np.arange(parts, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(level * 0x165667B19E3779F9 % (1 << 64))
+        s = (s ^ (s >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        out.append(s ^ (s >> np.uint64(32)))
+    return np.concatenate(out)
 
 
 class Tree:
@@ -168,56 +192,97 @@ class Tree:
         self.hit[ranks] = False
 
 
-def sets_of(docs: DataFrame, size: int, percent: int, often) -> DataFrame:
-    """``doc_id, n, set_key, prefix``: size, digest and prefix of the set of every row (digest null for an empty set)."""
+def sets_of(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """``doc_id, n, set_key, parts``: size, digest and signatures of the set of every row (digest null for an empty set)."""
 
     def run(batches):
-        hot, rank = often.value
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
                 b = whole.slice(i, 256)
-                n, keys, prefixes = [], [], []
+                n, keys, parts = [], [], []
                 for t in b.column("text").to_pylist():
                     h = grams(t, size)
                     n.append(len(h))
                     keys.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
-                    prefixes.append(in_global_order(h, hot, rank)[: prefix_length(len(h), percent)].view(np.int64))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))], names=["doc_id", "n", "set_key", "prefix"])
+                    parts.append(signatures(h, percent).tobytes())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(parts, pa.binary())], names=["doc_id", "n", "set_key", "parts"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, set_key binary, prefix array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, set_key binary, parts binary")
 
 
-def often_seen(docs: DataFrame, size: int, sample_docs: int, often: int) -> tuple[np.ndarray, np.ndarray]:
-    n = docs.count()
-    share = min(1.0, sample_docs / max(1, n))
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+def agreeing(reps: DataFrame, n_buckets: int) -> DataFrame:
+    """``doc_id, n, g, c``: the signatures that more than one representative has, with their number.
 
-    def run(batches):
-        for r in C.rows_of(batches):
-            h = grams(r["text"], size).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h)], names=["g"])
+    Signatures are dealt to buckets as packed arrays and sorted there.
+    """
 
-    rows = some.mapInArrow(run, "g bigint").groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") >= often)
-    got = rows.toPandas()  # at most the sampled n-grams over ``often``
-    h = got["g"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], got["c"].to_numpy(np.int64)[order]
+    def deal(batches):
+        for whole in batches:
+            for i in range(0, whole.num_rows, 2048):
+                b = whole.slice(i, 2048)
+                parts = [np.frombuffer(x, np.uint64) for x in b.column("parts").to_pylist()]
+                row = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+                g = np.concatenate(parts)
+                ids, n = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("n").to_numpy(zero_copy_only=False)
+                bucket = g % np.uint64(n_buckets)
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=np.uint64))
+                made: list[list] = [[], [], [], []]
+                for k in np.flatnonzero(np.diff(cuts)).tolist():
+                    own = order[cuts[k] : cuts[k + 1]]
+                    rows, at = np.unique(row[own], return_inverse=True)
+                    for column, value in zip(made, (k, g[own].tobytes(), C.pack(at.astype(np.uint16)), C.pack(np.stack([ids[rows], n[rows]]).astype(np.int64)))):
+                        column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(made[0], pa.int32()), *[pa.array(m, pa.binary()) for m in made[1:]]], names=["bucket", "g", "at", "docs"])
+
+    def meet(batches):
+        for _, rows in C.in_groups(C.rows_of(batches, 16), lambda r: r["bucket"]):
+            g, doc, n = [], [], []
+            for r in rows:
+                docs = C.unpack(r["docs"], np.int64).reshape(2, -1)
+                at = C.unpack(r["at"], np.uint16)
+                g.append(np.frombuffer(r["g"], np.uint64))
+                doc.append(docs[0][at])
+                n.append(docs[1][at])
+            g, doc, n = map(np.concatenate, (g, doc, n))
+            order = np.argsort(g, kind="stable")
+            s = g[order]
+            group = np.cumsum(np.concatenate([[0], (s[1:] != s[:-1]).astype(np.int64)]))
+            c = np.bincount(group)[group]
+            pick = c > 1
+            order, c = order[pick], c[pick]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[order]), pa.array(n[order]), pa.array(g[order].view(np.int64)), pa.array(c)], names=["doc_id", "n", "g", "c"])
+
+    dealt = reps.select("doc_id", "n", "parts").mapInArrow(deal, "bucket int, g binary, at binary, docs binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "doc_id bigint, n bigint, g bigint, c bigint")
+
+
+def homes(shared: DataFrame) -> DataFrame:
+    """``doc_id, home``: near copies mostly get the same home.
+
+    First the part that most others agree in; then, as an edit may have hit just that one, the home that most of the own
+    parts stand for, a part standing for the home of most documents that have it.
+    """
+    first = shared.groupBy("doc_id").agg(F.max(F.struct("c", "g"))["g"].alias("home"))
+    stands = shared.select("doc_id", "g").join(first, "doc_id").groupBy("g", "home").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "home"))["home"].alias("home"))
+    votes = shared.select("doc_id", "g").join(stands, "g").groupBy("doc_id", "home").agg(F.count("*").alias("k"))
+    return votes.groupBy("doc_id").agg(F.max(F.struct("k", "home"))["home"].alias("home"))
 
 
 def links(docs: DataFrame, reps: DataFrame, size: int, percent: int, tree_sets: int) -> DataFrame:
     """``doc_id, label``: representatives linked in some tree, with the smallest they were found together with there."""
-    tokens = C.cut(reps.select("doc_id", F.explode("prefix").alias("g")))
-    counts = tokens.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") > 1)
-    shared = C.cut(tokens.join(counts, "g").select("doc_id", "g", "c"))
-    # home: the prefix n-gram shared with most others, which near copies mostly have in common; busy homes are cut into parts
-    home = shared.groupBy("doc_id").agg(F.max(F.struct("c", "g"))["g"].alias("home"))
+    entries = reps.agg(F.sum(F.length("parts"))).first()[0] or 0
+    shared = C.cut(agreeing(reps, max(1, -(-entries // (8 * BUCKET_ENTRIES)))))
+    home = C.cut(homes(shared))
     crowd = home.groupBy("home").agg(F.count("*").alias("k"))
     parts = F.ceil(F.col("k") / tree_sets).cast("int")
     home = C.cut(home.join(crowd, "home").select("doc_id", "home", F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("part")))
-    at = shared.select("doc_id", "g").join(home, "doc_id").select("g", "home", "part").distinct()
-    visits = shared.select("doc_id", "g").join(at, "g").select("doc_id", "home", "part").distinct()
-    stays = home.withColumn("lives", F.lit(0))
-    seats = stays.unionByName(visits.withColumn("lives", F.lit(1))).groupBy("doc_id").agg(F.collect_list(F.struct("home", "part", "lives")).alias("seats"))
+    at = shared.join(home, "doc_id").groupBy("g", "home", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    alike = (F.col("low") * percent <= F.col("n") * 100) & (F.col("high") * 100 >= F.col("n") * percent)
+    visits = shared.join(at, "g").where(alike).select("doc_id", "home", "part").distinct()
+    seats = C.cut(home.withColumn("lives", F.lit(0)).unionByName(visits.withColumn("lives", F.lit(1))))
+    visited = seats.groupBy("home", "part").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where(F.col("a") != F.col("z")).select("home", "part")
+    seats = seats.join(visited, ["home", "part"]).groupBy("doc_id").agg(F.collect_list(F.struct("home", "part", "lives")).alias("seats"))
 
     def seat(batches):
         for r in C.rows_of(batches, 16):
@@ -269,17 +334,16 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, tree_sets: int = TREE_SETS, sample_docs: int = SAMPLE_DOCS, often: int = OFTEN) -> DataFrame:
+def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, tree_sets: int = TREE_SETS) -> DataFrame:
     """``doc_id, n_shingles, component_id``: one row per input row.
 
     A null or empty text has an empty set and is its own component, as is a row without an id (component null). Rows that
     share an id are one node: their sets are all compared. Equal sets are linked. Other columns are not carried.
     """
     src = C.texts(docs)
-    hot = src.sparkSession.sparkContext.broadcast(often_seen(src, size, sample_docs, often))
-    made = C.cut(sets_of(src, size, percent, hot))
+    made = C.cut(sets_of(src, size, percent))
     usable = made.where("set_key is not null and doc_id is not null")
-    reps = C.cut(usable.groupBy("set_key").agg(F.min(F.struct("doc_id", "prefix")).alias("r")).select("set_key", "r.doc_id", "r.prefix"))
+    reps = C.cut(usable.groupBy("set_key").agg(F.min(F.struct("doc_id", "n", "parts")).alias("r")).select("set_key", "r.doc_id", "r.n", "r.parts"))
     same_set = usable.select("set_key", "doc_id").join(reps.select("set_key", F.col("doc_id").alias("label")), "set_key").where("doc_id != label").select("doc_id", "label")
     edges = links(src.where("doc_id is not null"), reps, size, percent, tree_sets).unionByName(same_set)
     found = components(edges)
