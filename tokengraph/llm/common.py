@@ -55,8 +55,8 @@ def unpack(b: bytes, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), dtype=dtype)
 
 
-def squeeze(b: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(b)
+def squeeze(b: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(b)
 
 
 def expand(b: bytes) -> bytes:
