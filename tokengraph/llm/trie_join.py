@@ -1,8 +1,8 @@
 """Documents whose sets of word n-grams are nearly equal, joined by prefix trees.
 
-Equal sets are one representative. Representatives meet only where they agree in a whole part of their sets: the range of
+Equal sets are linked by their digest. Documents meet only where they agree in a whole part of their sets: the range of
 hashes is cut into one part more than two linked sets of such a size can differ in n-grams, so they agree in at least one,
-and common passages alone make no one meet. Each representative lives in one tree, that of its near copies as far as the
+and common passages alone make no one meet. Each document lives in one tree, that of its near copies as far as the
 agreeing parts tell, and is sent to the trees in which others that it agrees with live. A tree stores its sets in the
 order of their frequency there, so near copies share long paths; it is walked with the partial overlap so far, and a
 branch is left as soon as the lengths below it can no longer reach the threshold. Links become components in rounds of
@@ -192,38 +192,42 @@ class Tree:
         self.hit[ranks] = False
 
 
-def sets_of(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """``doc_id, n, set_key, parts``: size, digest and signatures of the set of every row (digest null for an empty set)."""
+def sets_of(docs: DataFrame, size: int) -> DataFrame:
+    """``doc_id, n, set_key``: size and digest of the set of every row (digest null for an empty set)."""
 
     def run(batches):
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
                 b = whole.slice(i, 256)
-                n, keys, parts = [], [], []
-                for t in b.column("text").to_pylist():
-                    h = grams(t, size)
-                    n.append(len(h))
-                    keys.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
-                    parts.append(signatures(h, percent).tobytes())
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(parts, pa.binary())], names=["doc_id", "n", "set_key", "parts"])
+                sets = [grams(t, size) for t in b.column("text").to_pylist()]
+                keys = [xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None for h in sets]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(h) for h in sets], pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "n", "set_key"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, set_key binary, parts binary")
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, set_key binary")
 
 
-def agreeing(reps: DataFrame, n_buckets: int) -> DataFrame:
-    """``doc_id, n, g, c``: the signatures that more than one representative has, with their number.
+def agreeing(docs: DataFrame, size: int, percent: int, n_buckets: int) -> DataFrame:
+    """``doc_id, n, g, c``: the signatures that more than one document has, with their number.
 
+    Of equal sets among 2,048 neighbouring rows only the first is sent, so a group of copies is a few rows per task.
     Signatures are dealt to buckets as packed arrays and sorted there.
     """
 
     def deal(batches):
         for whole in batches:
             for i in range(0, whole.num_rows, 2048):
-                b = whole.slice(i, 2048)
-                parts = [np.frombuffer(x, np.uint64) for x in b.column("parts").to_pylist()]
-                row = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-                g = np.concatenate(parts)
-                ids, n = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("n").to_numpy(zero_copy_only=False)
+                b, seen, ids, sizes, parts = whole.slice(i, 2048), set(), [], [], []
+                for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                    h = grams(t, size)
+                    key = h.tobytes() if len(h) < 4 else xxhash.xxh3_128_digest(h.tobytes())
+                    if len(h) and key not in seen:
+                        seen.add(key)
+                        ids.append(d)
+                        sizes.append(len(h))
+                        parts.append(signatures(h, percent))
+                if not parts:
+                    continue
+                row, g, docs = np.repeat(np.arange(len(parts)), [len(x) for x in parts]), np.concatenate(parts), np.array([ids, sizes], np.int64)
                 bucket = g % np.uint64(n_buckets)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=np.uint64))
@@ -231,7 +235,7 @@ def agreeing(reps: DataFrame, n_buckets: int) -> DataFrame:
                 for k in np.flatnonzero(np.diff(cuts)).tolist():
                     own = order[cuts[k] : cuts[k + 1]]
                     rows, at = np.unique(row[own], return_inverse=True)
-                    for column, value in zip(made, (k, g[own].tobytes(), C.pack(at.astype(np.uint16)), C.pack(np.stack([ids[rows], n[rows]]).astype(np.int64)))):
+                    for column, value in zip(made, (k, g[own].tobytes(), C.pack(at.astype(np.uint16)), C.pack(docs[:, rows]))):
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(made[0], pa.int32()), *[pa.array(m, pa.binary()) for m in made[1:]]], names=["bucket", "g", "at", "docs"])
 
@@ -253,7 +257,7 @@ def agreeing(reps: DataFrame, n_buckets: int) -> DataFrame:
             order, c = order[pick], c[pick]
             yield pa.RecordBatch.from_arrays([pa.array(doc[order]), pa.array(n[order]), pa.array(g[order].view(np.int64)), pa.array(c)], names=["doc_id", "n", "g", "c"])
 
-    dealt = reps.select("doc_id", "n", "parts").mapInArrow(deal, "bucket int, g binary, at binary, docs binary")
+    dealt = docs.mapInArrow(deal, "bucket int, g binary, at binary, docs binary")
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "doc_id bigint, n bigint, g bigint, c bigint")
 
 
@@ -269,10 +273,11 @@ def homes(shared: DataFrame) -> DataFrame:
     return votes.groupBy("doc_id").agg(F.max(F.struct("k", "home"))["home"].alias("home"))
 
 
-def links(docs: DataFrame, reps: DataFrame, size: int, percent: int, tree_sets: int) -> DataFrame:
-    """``doc_id, label``: representatives linked in some tree, with the smallest they were found together with there."""
-    entries = reps.agg(F.sum(F.length("parts"))).first()[0] or 0
-    shared = C.cut(agreeing(reps, max(1, -(-entries // (8 * BUCKET_ENTRIES)))))
+def links(docs: DataFrame, grams_in_all: int, size: int, percent: int, tree_sets: int) -> DataFrame:
+    """``doc_id, label``: documents linked in some tree, with the smallest they were found together with there."""
+    # about this many signatures: two partitions of a set, each of a part per possible difference
+    entries = grams_in_all * 5 * (100 - percent) // (100 + percent)
+    shared = C.cut(agreeing(docs, size, percent, max(1, -(-entries // BUCKET_ENTRIES))))
     home = C.cut(homes(shared))
     crowd = home.groupBy("home").agg(F.count("*").alias("k"))
     parts = F.ceil(F.col("k") / tree_sets).cast("int")
@@ -292,7 +297,8 @@ def links(docs: DataFrame, reps: DataFrame, size: int, percent: int, tree_sets:
                 some = r["seats"][i : i + 64]
                 yield pa.RecordBatch.from_arrays([pa.array([s["home"] for s in some], pa.int64()), pa.array([s["part"] for s in some], pa.int32()), pa.array([s["lives"] for s in some], pa.int32()), pa.array([r["doc_id"]] * len(some), pa.int64()), pa.array([h] * len(some), pa.binary())], names=["home", "part", "lives", "doc_id", "grams"])
 
-    seated = docs.join(seats, "doc_id").mapInArrow(seat, "home bigint, part int, lives int, doc_id bigint, grams binary")
+    # the seats grow with the input: never broadcast, the same plan at every size
+    seated = docs.join(seats.hint("merge"), "doc_id").mapInArrow(seat, "home bigint, part int, lives int, doc_id bigint, grams binary")
 
     def walk(batches):
         for _, rows in C.in_groups(C.rows_of(batches, 64), lambda r: (r["home"], r["part"])):
@@ -341,11 +347,12 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, tree_sets: i
     share an id are one node: their sets are all compared. Equal sets are linked. Other columns are not carried.
     """
     src = C.texts(docs)
-    made = C.cut(sets_of(src, size, percent))
+    made = C.cut(sets_of(src, size))
     usable = made.where("set_key is not null and doc_id is not null")
-    reps = C.cut(usable.groupBy("set_key").agg(F.min(F.struct("doc_id", "n", "parts")).alias("r")).select("set_key", "r.doc_id", "r.n", "r.parts"))
-    same_set = usable.select("set_key", "doc_id").join(reps.select("set_key", F.col("doc_id").alias("label")), "set_key").where("doc_id != label").select("doc_id", "label")
-    edges = links(src.where("doc_id is not null"), reps, size, percent, tree_sets).unionByName(same_set)
+    first = usable.groupBy("set_key").agg(F.min("doc_id").alias("label"), F.max("doc_id").alias("last")).where("label != last").drop("last")
+    same_set = usable.select("set_key", "doc_id").join(first, "set_key").where("doc_id != label").select("doc_id", "label")
+    total = usable.agg(F.sum("n")).first()[0] or 0
+    edges = links(src.where("doc_id is not null"), total, size, percent, tree_sets).unionByName(same_set)
     found = components(edges)
     return made.join(found, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
