@@ -109,7 +109,7 @@ def schema(**kinds) -> pa.Schema:
     return pa.schema(list(kinds.items()))
 
 
-PACKET = schema(bucket=pa.int32(), block=pa.int64(), hashes=pa.binary(), places=pa.binary(), ids=pa.binary(), ends=pa.binary())
+PACKET = schema(bucket=pa.int32(), block=pa.int64(), hashes=pa.binary(), places=pa.binary(), ids=pa.binary(), docs=pa.binary())
 REPLY = schema(block=pa.int64(), owners=pa.binary(), counts=pa.binary(), found=pa.binary())
 ASKED = schema(block=pa.int64(), target=pa.int64(), runs=pa.binary())
 PHRASES = schema(block=pa.int64(), ids=pa.binary(), texts=pa.binary())
@@ -138,17 +138,19 @@ def fingerprints(blocks: DataFrame, n_buckets: int, window: int) -> DataFrame:
             bucket = ((h >> np.uint64(56)) << np.uint64(24) ^ (h >> np.uint64(32) & np.uint64(0xFFFFFF))) % np.uint64(n_buckets)
             order = np.argsort(bucket.astype(np.uint16) if n_buckets < 1 << 16 else bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=np.uint64))
-            ids, ends = C.pack(deltas(b.ids)), C.pack(deltas(b.ends))
+            doc = b.doc_at(at)
             made: list[list] = [[] for _ in PACKET]
             for k in np.flatnonzero(np.diff(cuts)).tolist():
                 pick = order[cuts[k] : cuts[k + 1]]
-                row = (k, r["block"], planes(h[pick], HASH_BYTES), planes(deltas(at[pick] * 2 + again[pick]).astype(np.uint32), 4), ids, ends)
+                docs, local = np.unique(doc[pick], return_inverse=True)  # only documents with a window here
+                places = planes(deltas(at[pick] * 2 + again[pick]).astype(np.uint32), 4)
+                row = (k, r["block"], planes(h[pick], HASH_BYTES), places, C.pack(deltas(b.ids[docs])), C.pack(deltas(local.astype(np.int64)).astype(np.uint8)))
                 for column, value in zip(made, row):
                     column.append(value)
             if made[0]:
                 yield C.batch(PACKET, made)
 
-    return blocks.mapInArrow(run, "bucket int, block bigint, hashes binary, places binary, ids binary, ends binary")
+    return blocks.mapInArrow(run, "bucket int, block bigint, hashes binary, places binary, ids binary, docs binary")
 
 
 def earlier(packets: DataFrame) -> DataFrame:
@@ -163,7 +165,7 @@ def earlier(packets: DataFrame) -> DataFrame:
                 at >>= 1
                 h.append(from_planes(r["hashes"], HASH_BYTES))
                 place.append(at)
-                doc.append(np.cumsum(C.unpack(r["ids"], np.int64))[np.searchsorted(np.cumsum(C.unpack(r["ends"], np.int64)), at, side="right")])
+                doc.append(np.cumsum(C.unpack(r["ids"], np.int64))[np.cumsum(C.unpack(r["docs"], np.uint8), dtype=np.int64)])
                 source.append(np.full(len(at), len(names), np.int32))
                 names.append(r["block"])
             h, place, doc, source, again = map(np.concatenate, (h, place, doc, source, again))
