@@ -28,8 +28,7 @@ from tokengraph.llm.word_table_bpe import load
 from tokengraph.session import shared_dir
 
 SHARD_TOKENS = 1 << 19
-ROUNDS, RULES_PER_ROUND, LEAST_COUNT = 6, 2048, 8
-CHUNK = re.compile(r"[^\t-\r ]+")
+ROUNDS, RULES_PER_ROUND, LEAST_COUNT = 5, 2048, 8
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, base: int, rounds: int = ROUNDS, per_round: int = RULES_PER_ROUND, least: int = LEAST_COUNT):
@@ -135,7 +134,7 @@ class Encoder:
     lower case; they are encoded many at once and told apart by the pieces that end a word. All others are encoded alone.
     """
 
-    MOST, TOGETHER = 300_000, 1000
+    MOST, TOGETHER = 500_000, 1000
     # No letter here turns into more than one when lower-cased, and no mark is part of a contraction.
     PLAIN = re.compile("([A-Za-z" + "".join(map(chr, (*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x130), *range(0x131, 0x250)))) + r"]+)([,.!?;:*%&#$|]*)")
 
@@ -156,17 +155,19 @@ class Encoder:
             data = ids.tobytes()
             self.plain.update((w, data[a:z]) for w, a, z in zip(group, [0, *ends], ends, strict=False))
 
-    def learn(self, new: list[str]) -> None:
-        parts = [(c, m[1].lower(), m[2]) if (m := self.PLAIN.fullmatch(c)) else (c, None, None) for c in new]
+    def learn(self, new: list[bytes]) -> None:
+        fits = self.PLAIN.fullmatch
+        parts = [(c, m[1].lower(), m[2]) if (m := fits(c.decode("utf-8", "surrogatepass"))) else (c, None, None) for c in new]
         alone = [c for c, a, _ in parts if a is None]
-        self.known.update((c, np.array(e.ids, np.uint16).tobytes()) for c, e in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)))
+        found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "surrogatepass") for c in alone], add_special_tokens=False)
+        self.known.update((c, np.array(e.ids, np.uint16).tobytes()) for c, e in zip(alone, found))
         plain = self.plain
         self.encode(list({w for _, a, z in parts if a is not None for w in (a, z) if w and w not in plain}))
         plain[""] = b""
         self.known.update((c, plain[a] + plain[z]) for c, a, z in parts if a is not None)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [CHUNK.findall(t) for t in texts]
+        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]  # at ASCII white space
         new = set().union(*split).difference(self.known)
         if new:
             self.learn(list(new))
