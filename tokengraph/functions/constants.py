@@ -45,7 +45,6 @@ RECOGNIZERS = [
     ("LOCATION", STREET_PATTERN, 0.90),
 ]
 # Scores of the same four shapes when they are registered as add-ons to a model-based detector.
-CUSTOM_RECOGNIZER_SCORES = {"SALARY": 0.90, "PROJECT_CODE": 0.95, "EMPLOYEE_ID": 0.95, "LOCATION": 0.95}
 
 PERSON_STOP_PHRASES = [
     "senior engineer", "junior engineer", "software engineer", "staff engineer",
@@ -61,7 +60,6 @@ ENTITY_CATEGORIES = [
     "ORGANIZATION", "SALARY", "PROJECT_CODE", "EMPLOYEE_ID",
 ]
 CATEGORY_ALIASES = {"SSN": "US_SSN", "EMAIL": "EMAIL_ADDRESS", "PHONE": "PHONE_NUMBER"}
-DEFAULT_CATEGORIES = ["PERSON", "EMAIL", "PHONE", "SSN", "SALARY", "LOCATION", "ORGANIZATION", "CREDIT_CARD"]
 DEFAULT_MIN_CONFIDENCE = 0.85
 CLASSIFICATIONS = ["PUBLIC", "INTERNAL", "CONFIDENTIAL", "RESTRICTED"]
 REDACTION_POLICIES = ["TOKENIZE", "REDACT", "PASSTHROUGH"]
@@ -144,7 +142,6 @@ SENTENCE_TEMPLATES = {
     "HAS_WEBSITE": "{subj} has website {val}.",
 }
 # A separator row under a table header, and one separator cell.
-TABLE_SEPARATOR_LINE = r"^\s*\|?\s*(?::?-+:?\s*\|)+\s*(?::?-+:?\s*)?\|?\s*$"
 TABLE_SEPARATOR_CELL = r"^:?-+:?$"
 
 # --- fixed values: composite cells ----------------------------------------------------------------------------------
