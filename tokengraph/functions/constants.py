@@ -44,7 +44,6 @@ RECOGNIZERS = [
     ("ORGANIZATION", ORG_TEXT_PATTERN, 0.90),
     ("LOCATION", STREET_PATTERN, 0.90),
 ]
-# Scores of the same four shapes when they are registered as add-ons to a model-based detector.
 
 PERSON_STOP_PHRASES = [
     "senior engineer", "junior engineer", "software engineer", "staff engineer",
