@@ -153,7 +153,11 @@ def test_linked_sets_agree_in_a_part():
             y = np.unique(np.concatenate([x[r.permutation(len(x))[: len(x) - k // 2]], r.randint(0, 1 << 62, k - k // 2, dtype=np.int64).astype(np.uint64) * np.uint64(4)]))
             same = len(np.intersect1d(x, y))
             if 100 * same >= percent * (len(x) + len(y) - same):
-                assert len(np.intersect1d(trie_join.signatures(x, percent), trie_join.signatures(y, percent)))
+                (a, la, na), (b, lb, nb) = trie_join.signatures(x, percent), trie_join.signatures(y, percent)
+                both = np.intersect1d(a, b)
+                level = min(la.max(), lb.max())  # the class of the smaller set
+                for s, levels, needs in ((a, la, na), (b, lb, nb)):
+                    assert np.isin(s[levels == level], both).sum() >= needs[levels == level].max() >= 1
 
 
 def lines_left(texts: dict):

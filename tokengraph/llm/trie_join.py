@@ -61,24 +61,40 @@ def parts_of(level: int, percent: int) -> int:
     return 2 * most * (100 - percent) // (100 + percent) + 1
 
 
-def signatures(h: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """A hash for each part of a set of ascending hashes, in the partition of its size class and of the class below."""
+def most_differences(n: int, percent: int = PERCENT) -> int:
+    """N-grams in which a set of ``n`` and any set that links with it differ at most."""
+    return (100 - percent) * (n + n * 100 // percent) // (100 + percent)
+
+
+def signatures(h: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A hash for each part of a set of ascending hashes, in the partition of its size class and of the class below, with
+    the class and the number of them that any linked set of that partition has as well.
+
+    A differing n-gram spoils one part. There are more parts than differences, by a quarter, and empty parts count only
+    where too few are filled to be sure of one without them.
+    """
     n = len(h)
-    if not n:
-        return np.empty(0, np.uint64)
+    out, levels, needs = [], [], []
     own = bisect_right(class_starts(percent, 1 << 40), n) - 1
     mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed ^ (mixed >> np.uint64(31)))])
-    out = []
-    for level in range(max(0, own - 1), own + 1):
-        parts = parts_of(level, percent)
+    for level in range(max(0, own - 1), own + 1) if n else ():
+        least = parts_of(level, percent)
+        parts = least + least // 4 + 1
         inner = np.arange(1, parts, dtype=np.uint64) * np.uint64(((1 << 64) - 1) // parts)
         cuts = np.concatenate([[0], np.searchsorted(h, inner), [n]])
+        filled = np.diff(cuts) > 0
         s = sums[cuts[1:]] - sums[cuts[:-1]] + np.diff(cuts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
         s += np.arange(parts, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(level * 0x165667B19E3779F9 % (1 << 64))
         s = (s ^ (s >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        out.append(s ^ (s >> np.uint64(32)))
-    return np.concatenate(out)
+        s ^= s >> np.uint64(32)
+        sure = int(filled.sum()) - most_differences(n, percent)
+        if filled.sum() >= least:  # so at least one filled part is left unspoiled, and the other set sends it, too
+            s = s[filled]
+        out.append(s)
+        levels.append(np.full(len(s), level, np.int16))
+        needs.append(np.full(len(s), max(1, sure), np.int32))
+    return tuple(np.concatenate(x) if x else np.empty(0, kind) for x, kind in ((out, np.uint64), (levels, np.int16), (needs, np.int32)))
 
 
 class Tree:
@@ -207,7 +223,9 @@ def sets_of(docs: DataFrame, size: int) -> DataFrame:
 
 
 def agreeing(docs: DataFrame, size: int, percent: int, n_buckets: int) -> DataFrame:
-    """``doc_id, n, g, c``: the signatures that more than one document has, with their number.
+    """``doc_id, n, g, level, need, c``: the signatures that more than one document has, with their number ``c``.
+
+    Documents with fewer of them than any linked document would share with them are left out.
 
     Of equal sets among 2,048 neighbouring rows only the first is sent, so a group of copies is a few rows per task.
     Signatures are dealt to buckets as packed arrays and sorted there.
@@ -227,7 +245,14 @@ def agreeing(docs: DataFrame, size: int, percent: int, n_buckets: int) -> DataFr
                         parts.append(signatures(h, percent))
                 if not parts:
                     continue
-                row, g, docs = np.repeat(np.arange(len(parts)), [len(x) for x in parts]), np.concatenate(parts), np.array([ids, sizes], np.int64)
+                # one row per document and level: id, size, level, signatures a linked document has as well
+                row, docs, k = [], [], -1
+                for d, n, (s, level, need) in zip(ids, sizes, parts):
+                    new = np.concatenate([[True], level[1:] != level[:-1]])
+                    row.append(np.cumsum(new) + k)
+                    k = int(row[-1][-1])
+                    docs.append(np.stack([np.full(new.sum(), d), np.full(new.sum(), n), level[new], need[new]]).astype(np.int64))
+                row, g, docs = np.concatenate(row), np.concatenate([s for s, _, _ in parts]), np.concatenate(docs, axis=1)
                 bucket = g % np.uint64(n_buckets)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=np.uint64))
@@ -241,24 +266,22 @@ def agreeing(docs: DataFrame, size: int, percent: int, n_buckets: int) -> DataFr
 
     def meet(batches):
         for _, rows in C.in_groups(C.rows_of(batches, 16), lambda r: r["bucket"]):
-            g, doc, n = [], [], []
+            g, doc = [], []
             for r in rows:
-                docs = C.unpack(r["docs"], np.int64).reshape(2, -1)
-                at = C.unpack(r["at"], np.uint16)
                 g.append(np.frombuffer(r["g"], np.uint64))
-                doc.append(docs[0][at])
-                n.append(docs[1][at])
-            g, doc, n = map(np.concatenate, (g, doc, n))
+                doc.append(C.unpack(r["docs"], np.int64).reshape(4, -1)[:, C.unpack(r["at"], np.uint16)])
+            g, doc = np.concatenate(g), np.concatenate(doc, axis=1)
             order = np.argsort(g, kind="stable")
             s = g[order]
             group = np.cumsum(np.concatenate([[0], (s[1:] != s[:-1]).astype(np.int64)]))
             c = np.bincount(group)[group]
             pick = c > 1
             order, c = order[pick], c[pick]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[order]), pa.array(n[order]), pa.array(g[order].view(np.int64)), pa.array(c)], names=["doc_id", "n", "g", "c"])
+            doc = doc[:, order]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[0]), pa.array(doc[1]), pa.array(g[order].view(np.int64)), pa.array(doc[2]), pa.array(doc[3]), pa.array(c)], names=["doc_id", "n", "g", "level", "need", "c"])
 
     dealt = docs.mapInArrow(deal, "bucket int, g binary, at binary, docs binary")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "doc_id bigint, n bigint, g bigint, c bigint")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "doc_id bigint, n bigint, g bigint, level bigint, need bigint, c bigint")
 
 
 def homes(shared: DataFrame) -> DataFrame:
@@ -276,15 +299,18 @@ def homes(shared: DataFrame) -> DataFrame:
 def links(docs: DataFrame, grams_in_all: int, size: int, percent: int, tree_sets: int) -> DataFrame:
     """``doc_id, label``: documents linked in some tree, with the smallest they were found together with there."""
     # about this many signatures: two partitions of a set, each of a part per possible difference
-    entries = grams_in_all * 5 * (100 - percent) // (100 + percent)
-    shared = C.cut(agreeing(docs, size, percent, max(1, -(-entries // BUCKET_ENTRIES))))
+    entries = grams_in_all * 6 * (100 - percent) // (100 + percent)
+    found = C.cut(agreeing(docs, size, percent, max(1, -(-entries // BUCKET_ENTRIES))))
+    enough = found.groupBy("doc_id", "n", "level").agg(F.count("*").alias("k"), F.max("need").alias("need")).where("k >= need").select("doc_id", "n", "level")
+    shared = C.cut(found.join(enough, ["doc_id", "n", "level"]))
     home = C.cut(homes(shared))
     crowd = home.groupBy("home").agg(F.count("*").alias("k"))
     parts = F.ceil(F.col("k") / tree_sets).cast("int")
     home = C.cut(home.join(crowd, "home").select("doc_id", "home", F.pmod(F.xxhash64("doc_id"), parts).cast("int").alias("part")))
     at = shared.join(home, "doc_id").groupBy("g", "home", "part").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     alike = (F.col("low") * percent <= F.col("n") * 100) & (F.col("high") * 100 >= F.col("n") * percent)
-    visits = shared.join(at, "g").where(alike).select("doc_id", "home", "part").distinct()
+    agree = shared.join(at, "g").where(alike).groupBy("doc_id", "n", "level", "home", "part").agg(F.count("*").alias("k"), F.max("need").alias("need"))
+    visits = agree.where("k >= need").select("doc_id", "home", "part").distinct()
     seats = C.cut(home.withColumn("lives", F.lit(0)).unionByName(visits.withColumn("lives", F.lit(1))))
     visited = seats.groupBy("home", "part").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where(F.col("a") != F.col("z")).select("home", "part")
     seats = seats.join(visited, ["home", "part"]).groupBy("doc_id").agg(F.collect_list(F.struct("home", "part", "lives")).alias("seats"))
