@@ -191,6 +191,37 @@ def test_line_chunk_boundaries_resist_shifts():
     assert len(a & b) >= len(a) - 4
 
 
+def stretches_left(texts: dict):
+    """Lines outside all stretches of two or more lines, not all blank, that an earlier text or place has; by comparing places."""
+    lines = {i: t.split("\n") for i, t in texts.items()}
+    out = {}
+    for i, own in lines.items():
+        gone = set()
+        for j, other in lines.items():
+            for a in range(len(own)) if j <= i else ():
+                for b in range(len(other) if j < i else a):
+                    n = 0
+                    while a + n < len(own) and b + n < len(other) and (j < i or b + n < a) and own[a + n] == other[b + n]:
+                        n += 1
+                    if n > 1 and any(x.strip() for x in own[a : a + n]):
+                        gone |= set(range(a, a + n))
+        out[i] = "\n".join(x for k, x in enumerate(own) if k not in gone)
+    return out
+
+
+def test_repeated_stretches_go_whole(spark):
+    r = random.Random(6)
+    passages = [[f"passage {k} line {i}" for i in range(2 + k % 4)] for k in range(10)]
+    passages += [["x", "x"], ["before", "", "", "", "after"]]
+    texts = {i: "\n".join(x for k in range(r.randint(1, 4)) for x in [f"own {i} {k}", *r.choice(passages), f"more {i} {k}"]) for i in range(40)}
+    texts |= {40: "z\nz\nz", 41: "y\ny\ny\ny", 42: "n\nx\nx\nx", 43: "\n\n\n", 44: "\n\n\n"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.text for r in line_chunks.report(docs).collect()}
+    assert got == stretches_left(texts)
+    assert got[40] == "z\nz\nz" and got[41] == "y\ny" and got[42] == "n" and got[44] == "\n\n\n"
+    assert sum("passage" in x for t in got.values() for x in t.split("\n")) == sum(map(len, passages[:10]))
+
+
 def test_line_chunks_odd(odd_docs, no_docs):
     made = line_chunks.deduplicated(odd_docs)
     assert made.columns == odd_docs.columns and made.count() == odd_docs.count()

@@ -1,8 +1,9 @@
-"""Repeated stretches of lines, found by content-defined chunks.
+"""Repeated stretches of lines, found by their pairs of neighbouring lines.
 
-A rolling hash over the hashes of neighbouring lines decides where a chunk ends, so an insertion moves only the boundaries
-near it. Chunks of two lines or more that occur again anywhere are removed after their bytes were compared with the first
-occurrence (smallest id, then place), which stays.
+Every pair of neighbouring lines is a chunk of its own, so a stretch of two lines or more is found wherever it begins and
+ends and whatever stands around it: its lines are those of its pairs. A line that lies in a chunk which occurs earlier
+(smaller id, then place; without a shared line, in one document) is removed after the bytes were compared with the first
+occurrence. An equal line always stays at an earlier place; a first occurrence can lose lines only to repeats of its own.
 """
 
 from __future__ import annotations
@@ -20,30 +21,30 @@ from pyspark.sql import types as T
 
 from tokengraph.llm import common as C
 
-SPAN, DIVISOR, LEAST_LINES = 2, 3, 2
+LEAST_LINES = 2
 KEY = "__line_chunk_key"
 
 
-def chunks(text: str, span: int = SPAN, divisor: int = DIVISOR, least: int = LEAST_LINES) -> list[tuple[int, int, bytes]]:
-    """``(first line, number of lines, bytes)`` of the chunks that may be removed; one of blank lines only never is."""
+def chunks(text: str) -> list[tuple[int, int, bytes]]:
+    """``(first line, number of lines, bytes)`` of the chunks that may be removed; one of blank lines only never is.
+
+    Two lines with several blank ones between them are a chunk too, so that a repeated stretch goes with the blank lines
+    inside it. Of several blank lines at the edge of a stretch the outer ones stay. No two chunks of a run of equal lines
+    share the run's second line, so that a run is no repeat of itself; three equal lines are one chunk with the bytes of two.
+    """
     lines = text.encode("utf-8", "surrogatepass").split(b"\n")
-    n = len(lines)
-    if n < least:
-        return []
-    h = np.fromiter((xxhash.xxh64_intdigest(x) for x in lines), np.uint64, n)
-    rolled = np.zeros(n, np.uint64)
-    for j in range(span):  # the hash at line i covers lines i - span + 1 .. i
-        rolled[j:] = rolled[j:] * np.uint64(0x9E3779B97F4A7C15) + h[: n - j] * np.uint64(0xC2B2AE3D27D4EB4F)
-    rolled ^= rolled >> np.uint64(31)
-    ends = np.flatnonzero(rolled % np.uint64(divisor) == 0) + 1
-    ends = np.append(ends, n) if not len(ends) or ends[-1] != n else ends
-    out, a = [], 0
-    for b in ends.tolist():
-        if b - a >= least:
-            data = b"\n".join(lines[a:b])
-            if data.strip():
-                out.append((a, b - a, data))
-        a = b
+    out, last = [], -1  # the last line that is not blank
+    for i, line in enumerate(lines):
+        blank = not line.strip()
+        if i > 1 and not blank and lines[i - 2] == lines[i - 1] == line and (i == 2 or lines[i - 3] != line):
+            if lines[i + 1 : i + 2] != [line]:
+                out[-1] = (i - 2, 3, out[-1][2])
+        elif i and not (blank and last < i - 1):
+            out.append((i - 1, LEAST_LINES, lines[i - 1] + b"\n" + line))
+        if not blank:
+            if 0 <= last < i - LEAST_LINES:
+                out.append((last, i - last + 1, b"\n".join(lines[last : i + 1])))
+            last = i
     return out
 
 
@@ -72,9 +73,9 @@ def removals(docs: DataFrame) -> DataFrame:
 
     def fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in C.rows_of(batches):
-            at = {a: d for a, _, d in chunks(r["text"])}
-            rows = [w for w in r["wanted"] if w["line"] in at]
-            yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"]] * len(rows), pa.int64()), *[pa.array([w[c] for w in rows], t) for c, t in (("line", pa.int64()), ("lines", pa.int64()), ("hash", pa.binary()), ("is_first", pa.bool_()))], pa.array([at[w["line"]] for w in rows], pa.binary())], names=["doc_id", "line", "lines", "hash", "is_first", "data"])
+            at = {(a, n): d for a, n, d in chunks(r["text"])}
+            rows = [w for w in r["wanted"] if (w["line"], w["lines"]) in at]
+            yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"]] * len(rows), pa.int64()), *[pa.array([w[c] for w in rows], t) for c, t in (("line", pa.int64()), ("lines", pa.int64()), ("hash", pa.binary()), ("is_first", pa.bool_()))], pa.array([at[w["line"], w["lines"]] for w in rows], pa.binary())], names=["doc_id", "line", "lines", "hash", "is_first", "data"])
 
     data = C.cut(src.join(wanted, "doc_id").mapInArrow(fetched, "doc_id bigint, line bigint, lines bigint, hash binary, is_first boolean, data binary"))
     kept = data.where("is_first").select("hash", F.col("data").alias("kept")).distinct()
