@@ -2,8 +2,9 @@
 
 Words become templates: a number, a name or a unit is replaced by a typed placeholder, everything else is lower-cased
 without the marks around it. Windows of template words of the benchmark are hashed and joined with those of every document.
-Along a run of matching windows the words behind the placeholders must map one to one, which catches a question asked
-again with other numbers and leaves alone texts that merely have numbers in the same places.
+Along a run of matching windows each word of the item behind a placeholder must have one word of the text, which catches a
+question asked again with other numbers and leaves alone texts that merely have numbers in the same places. Windows of the
+case-folded words themselves are joined beside them, so ten equal words are found whatever their case and their neighbours.
 """
 
 from __future__ import annotations
@@ -42,24 +43,33 @@ def template(word: str) -> str | None:
     return low
 
 
+def folded(word: str) -> str:
+    return word.strip(MARKS).casefold()
+
+
 class Coder:
-    """Template codes of the words of a text, each distinct word worked out once per task."""
+    """Codes of the words of a text, each distinct word worked out once per task: a row of template words, one of folded words."""
 
     MOST = 500_000
 
     def __init__(self):
         self.known: dict[str, int] = {}
+        self.exact: dict[str, int] = {}
 
     def __call__(self, text: str) -> tuple[list[str], np.ndarray]:
         words = WORD.findall(text)
-        known = self.known
+        known, exact = self.known, self.exact
         if len(known) > self.MOST:
             known.clear()
+            exact.clear()
         for w in words:
             if w not in known:
                 t = template(w)
                 known[w] = 0 if t is None else xxhash.xxh64_intdigest(t) | 1
-        codes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+                exact[w] = 0 if t is None else xxhash.xxh64_intdigest(folded(w)) | 1
+        codes = np.empty((2, len(words)), np.uint64)
+        for row, code in enumerate((known, exact)):
+            codes[row] = np.fromiter(map(code.__getitem__, words), np.uint64, len(words))
         return words, codes
 
 
@@ -76,7 +86,8 @@ def hashes(codes: np.ndarray, window: int) -> np.ndarray:
 class Index:
     """Windows of benchmark items by hash. Items of equal words are one entry under the smallest id.
 
-    An item shorter than the window is one window of its own length if it has ``literals`` literal words.
+    An item shorter than the window is one window of its own length: of folded words always, of template words if it has
+    ``literals`` literal ones.
     """
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW, literals: int = LITERALS):
@@ -84,24 +95,25 @@ class Index:
         self.window, self.literals = window, literals
         seen: dict[tuple, int] = {}
         self.items: list[tuple[int, list[str], list[str]]] = []
-        found: dict[int, list] = {}
+        found: dict[tuple[int, int], list] = {}
         for i, text in sorted(items):
             words, codes = coder(text)
-            words, codes = [w for w, c in zip(words, codes.tolist()) if c], codes[codes > 0]
+            at = np.flatnonzero(codes[0])
+            words, codes = [words[k] for k in at.tolist()], codes[:, at]
             if not words or seen.setdefault(tuple(words), i) != i:
                 continue
             shapes = [template(w) for w in words]
-            if len(words) < window and sum(s[0] != "\x00" for s in shapes) < literals:
-                continue
             place = len(self.items)
             self.items.append((i, words, shapes))
             size = min(window, len(words))
-            for q, h in enumerate(hashes(codes, size).tolist()):
-                found.setdefault(size, []).append((h, place, q))
+            for row in (0,):
+                if row or size == window or sum(s[0] != "\x00" for s in shapes) >= literals:
+                    for q, h in enumerate(hashes(codes[row], size).tolist()):
+                        found.setdefault((row, size), []).append((h, place, q))
         self.tables = {}
-        for size, rows in found.items():
+        for key, rows in found.items():
             rows.sort()
-            self.tables[size] = (np.array([h for h, _, _ in rows], np.uint64), [(p, q) for _, p, q in rows], self.sieve(rows))
+            self.tables[key] = (np.array([h for h, _, _ in rows], np.uint64), [(p, q) for _, p, q in rows], self.sieve(rows))
 
     @staticmethod
     def sieve(rows: list) -> np.ndarray:
@@ -111,11 +123,11 @@ class Index:
 
     def matches(self, words: list[str], codes: np.ndarray) -> list[tuple[int, int, int, int, bool]]:
         """``(item, first word, words, changed slots, exact)`` of each leak; places count the words of the text."""
-        at = np.flatnonzero(codes)
-        codes = codes[at]
-        runs: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        for size, (keys, places, sieve) in self.tables.items():
-            h = hashes(codes, size)
+        at = np.flatnonzero(codes[0])
+        codes = codes[:, at]
+        runs: dict[tuple[int, int, int], list[tuple[int, int]]] = {}
+        for (row, size), (keys, places, sieve) in self.tables.items():
+            h = hashes(codes[row], size)
             near = np.flatnonzero(sieve[h >> np.uint64(44)]) if len(h) else h
             if not len(near):
                 continue
@@ -123,9 +135,9 @@ class Index:
             high = np.searchsorted(keys, h[near], "right")
             for p, a, b in zip(near.tolist(), low.tolist(), high.tolist()):
                 for place, q in places[a:b]:
-                    runs.setdefault((place, p - q), []).append((p, size))
+                    runs.setdefault((place, p - q, row), []).append((p, size))
         best: dict[int, tuple] = {}
-        for (place, shift), hits in sorted(runs.items()):
+        for (place, shift, row), hits in sorted(runs.items()):
             item, theirs, shapes = self.items[place]
             hits.sort()
             begin = 0
@@ -135,28 +147,44 @@ class Index:
                 a, b = hits[begin][0], hits[k - 1][0] + hits[k - 1][1]
                 begin = k
                 own = [words[i] for i in at[a:b].tolist()]
-                found = self.consistent(own, theirs[a - shift : b - shift], shapes[a - shift : b - shift])
-                if found:
-                    made = (item, int(at[a]), int(at[b - 1]) - int(at[a]) + 1, *found)
+                for c, d, changed in self.parts(own, theirs[a - shift : b - shift], shapes[a - shift : b - shift], bool(row), hits[k - 1][1]):
+                    made = (item, int(at[a + c]), int(at[a + d - 1]) - int(at[a + c]) + 1, changed, changed == 0)
                     if item not in best or made[2] > best[item][2]:
                         best[item] = made
         return sorted(best.values())
 
-    def consistent(self, own: list[str], theirs: list[str], shapes: list[str]) -> tuple[int, bool] | None:
-        """Changed slots and whether all words are equal; None if slots do not map one to one or too few words are literal."""
-        there, back, changed, literal = {}, {}, 0, 0
-        for mine, other, shape in zip(own, theirs, shapes):
-            if template(mine) != shape:  # two templates with one hash
-                return None
-            if shape[0] != "\x00":
-                literal += 1
-                continue
-            x, y = other.strip(MARKS).lower(), mine.strip(MARKS).lower()
-            if there.setdefault((shape, x), y) != y or back.setdefault((shape, y), x) != x:
-                return None
-            changed += x != y
-        exact = changed == 0
-        return (changed, exact) if exact or literal >= self.literals else None
+    def parts(self, own: list[str], theirs: list[str], shapes: list[str], exact: bool, size: int) -> list[tuple[int, int, int]]:
+        """``(begin, end, changed slots)`` of the longest parts of a run in which each slot of the item has one value.
+
+        A part of equal words counts from one window. One with changed slots needs literal words enough, and two windows
+        where it is not the whole run: by chance some part of any run agrees.
+        """
+        n, begin, cuts = len(own), 0, []
+        values: dict[tuple[str, str], tuple[str, int]] = {}
+        literal, changed = [0], [0]
+        for k, (mine, other, shape) in enumerate(zip(own, theirs, shapes)):
+            x, y = folded(other), folded(mine)
+            slot = shape[0] == "\x00"
+            literal.append(literal[-1] + (not slot))
+            changed.append(changed[-1] + (slot and x != y))
+            after = begin
+            if x != y if exact else template(mine) != shape:  # two words with one hash
+                after = k + 1
+            elif slot and not exact:
+                value, last = values.get((shape, x), (y, -1))
+                after = max(begin, last + 1) if value != y else begin
+                values[shape, x] = (y, k)
+            if after > begin:
+                cuts.append((begin, k))
+                begin = after
+        cuts.append((begin, n))
+        out = []
+        for a, b in cuts:
+            slots = changed[b] - changed[a]
+            least = size if not slots or b - a == n else 2 * self.window
+            if b - a >= least and (not slots or literal[b] - literal[a] >= self.literals):
+                out.append((a, b, slots))
+        return out
 
 
 TYPE = "array<struct<item_id: bigint, first_word: bigint, n_words: bigint, changed_slots: bigint, exact: boolean>>"
