@@ -106,7 +106,7 @@ class Index:
             place = len(self.items)
             self.items.append((i, words, shapes))
             size = min(window, len(words))
-            for row in (0,):
+            for row in (0, 1):
                 if row or size == window or sum(s[0] != "\x00" for s in shapes) >= literals:
                     for q, h in enumerate(hashes(codes[row], size).tolist()):
                         found.setdefault((row, size), []).append((h, place, q))
