@@ -478,6 +478,20 @@ def test_host_paths(spark):
     assert host_paths.extract(df.limit(0)).collect() == []
 
 
+def test_host_paths_keep_articles_with_side_words(spark):
+    text = "<p>Running text of the article, long enough to stand out, number {n}</p><p>and one more paragraph of it, with a comma</p>"
+    forms = [
+        "<article class='post category-social'>{}</article>",
+        "<div id='how-search-works'>{}</div>",
+        "<div class='content sidebar-right'><div class='story'>{}</div></div>",
+        "<form><div class='inner'>{}</div></form>",
+    ]
+    rest = "<div class='related'><p>Other story</p></div><nav>Menu</nav>"
+    pages = [(100 * k + n, f"http://h{k}.example/{n}", f"<html><body>{form.format(text.format(n=n))}{rest if k < 3 else ''}</body></html>") for k, form in enumerate(forms) for n in range(5)]
+    for r in host_paths.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect():
+        assert r.text == f"Running text of the article, long enough to stand out, number {r.page_id % 100}\nand one more paragraph of it, with a comma"
+
+
 def test_queries_are_registered():
     assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 11)}
 

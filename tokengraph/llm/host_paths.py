@@ -1,6 +1,6 @@
 """Main text of web pages by the container paths that the pages of a host agree on.
 
-Each page's containers are scored by the running text below them. A page votes for the generalised tag-class path of its
+Each page's containers are scored by the running text below them (half of it where side words in a class or id are around). A page votes for the generalised tag-class path of its
 best containers, votes are added up per host in Spark, and every page is extracted again with the paths that won on its
 host; a page that has none of them keeps its own best container.
 """
@@ -34,6 +34,11 @@ SIDE_WORDS = frozenset(
 PREFIXES = frozenset("has with no without is".split())
 NEVER_SIDE = frozenset(("html", "body", "main"))
 WHOLE = frozenset(("article", "main"))
+SIDE_WEIGHT = 0.5
+
+
+def running(block: str, linked: int) -> float:
+    return max(0.0, len(block) - 2.0 * linked) * (1 + block.count(",") / 20)
 
 
 def attributes(raw: str) -> dict[str, str]:
@@ -47,6 +52,13 @@ def is_side(tag: str, attrs: dict[str, str]) -> bool:
         return True
     if "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
+    return False
+
+
+def has_side_words(tag: str, attrs: dict[str, str]) -> bool:
+    """Whether class or id tell of something beside the article; a hint only, as themes name layouts and topics so too."""
+    if tag in NEVER_SIDE:
+        return False
     for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
         words = re.split(r"[-_:]+", name)
         if words[0] not in PREFIXES and not SIDE_WORDS.isdisjoint(words):
@@ -61,13 +73,20 @@ def step(tag: str, attrs: dict[str, str]) -> str:
 
 
 class Page:
-    """Blocks of running text in page order, each with the numbers of the containers around it."""
+    """Blocks of running text in page order, each with the numbers of the containers around it.
+
+    Left out are blocks below what is not the article by element, role or style, and below containers with side words
+    unless these are an article or hold most of the running text; all stay where nothing else is left.
+    """
 
     def __init__(self, html: str):
         self.paths: list[str] = []
         self.tags: list[str] = []
         self.blocks: list[tuple[tuple[int, ...], str, int]] = []
-        stack: list[tuple[str, int, bool]] = []  # tag, number of the container, inside something that is not the article
+        self.weights: list[float] = []
+        found: list[tuple[tuple, bool, tuple[int, ...]]] = []
+        hints: list[bool] = []  # per container with side words: whether it is an article
+        stack: list[tuple[str, int, bool, tuple[int, ...]]] = []  # tag, number of the container, inside something that is not the article, hints around
         chain: tuple[int, ...] = ()
         text: list[str] = []
         linked, in_link = 0, False
@@ -76,10 +95,9 @@ class Page:
         def flush():
             nonlocal linked
             if text:
-                if not (stack and stack[-1][2]):
-                    block = " ".join(unescape("".join(text)).split())
-                    if block:
-                        self.blocks.append((chain, block, min(linked, len(block))))
+                block = " ".join(unescape("".join(text)).split())
+                if block:
+                    found.append(((chain, block, min(linked, len(block))), *(stack[-1][2:] if stack else (False, ()))))
                 text.clear()
             linked = 0
 
@@ -87,7 +105,7 @@ class Page:
             nonlocal chain
             flush()
             del stack[keep:]
-            chain = tuple(n for _, n, _ in stack if n >= 0)
+            chain = tuple(n for _, n, _, _ in stack if n >= 0)
 
         while at < end:
             m = TOKEN.search(html, at)
@@ -140,22 +158,41 @@ class Page:
                 continue
             attrs = attributes(raw)
             side = bool(stack and stack[-1][2]) or is_side(tag, attrs)
+            around = stack[-1][3] if stack else ()
+            kind = {"article": "article", "main": "main"}.get(attrs.get("role", "").lower(), tag)
+            if not side and has_side_words(tag, attrs):
+                around += (len(hints),)
+                hints.append(kind in WHOLE)
             number = -1
             if not side and tag not in SCOPED:
                 number = len(self.paths)
                 above = self.paths[chain[-1]] + "/" if chain else ""
                 self.paths.append(above + step(tag, attrs))
-                self.tags.append({"article": "article", "main": "main"}.get(attrs.get("role", "").lower(), tag))
-            stack.append((tag, number, side))
+                self.tags.append(kind)
+            stack.append((tag, number, side, around))
             if number >= 0:
                 chain += (number,)
         flush()
+        self.choose(found, hints)
+
+    def choose(self, found: list, hints: list[bool]) -> None:
+        held, total = [0.0] * len(hints), 0.0
+        for (_, block, linked), side, around in found:
+            if not side:
+                own = running(block, linked)
+                total += own
+                for h in around:
+                    held[h] += own
+        kept = [whole or x > total / 2 for whole, x in zip(hints, held)]
+        left = [x for x in found if not x[1] and all(kept[h] for h in x[2])] or [x for x in found if not x[1]] or found
+        self.blocks = [x[0] for x in left]
+        self.weights = [SIDE_WEIGHT if x[1] or x[2] else 1.0 for x in left]
 
     def scores(self) -> Counter:
         """Running text per container: whole for the nearest container, half for the next, and so on outwards."""
         found: Counter = Counter()
-        for chain, block, linked in self.blocks:
-            own = max(0.0, len(block) - 2.0 * linked) * (1 + block.count(",") / 20)
+        for (chain, block, linked), weight in zip(self.blocks, self.weights):
+            own = weight * running(block, linked)
             for up, number in enumerate(reversed(chain[-4:])):
                 found[number] += own / 2**up
         return found
