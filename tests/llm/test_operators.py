@@ -454,6 +454,16 @@ def test_secret_network_learns(spark):
     assert sum(got[i].n_added for i in range(300, 600)) <= 15
 
 
+def test_rare_secrets_are_all_learnt_from(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(0, 60_000, 1, 4).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2000 == 7, F.concat(F.lit("x token = "), F.md5(F.col("id").cast("string")))).otherwise(F.concat(F.lit("see page/of/number/"), "id")).alias("text"))
+    rows = secret_cnn.labelled_findings(docs, most=500)
+    assert len({r.value for r in rows if r.label == 1}) == 30 >= secret_cnn.LEAST_LABELLED
+    assert len({r.value for r in rows if r.label == 0}) == 500
+    assert secret_cnn.trained(rows) is not None
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a = "</p><p>no";</script></head><body class="has-sidebar"><header>Top</header>
 <nav><ul><li><a href="/a">Menu one</a><li>Menu two</ul></nav><div class="cookie-notice">We use cookies</div>
 <div class="wrap-{n}"><div class="story story-{n}"><h2>Head &eacute;{n}</h2><p>First, long paragraph of running text number {n} &amp; more<br>after it<p>Second <b>bold
