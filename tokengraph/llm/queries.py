@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tokengraph.llm import common as C
+from tokengraph.llm import oracle_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -104,3 +105,10 @@ def op1_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     made = deduplicate(C.table(spark, sf_dir, "documents"))
     return made.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op12_merkle_veb", oracle_sql.MERKLE)
+def op12_merkle_veb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokengraph.llm.merkle_veb import prove_all
+
+    return prove_all(C.table(spark, sf_dir, "documents"))
