@@ -35,3 +35,28 @@ proofs AS (SELECT run, pos, sha256(coalesce(string_agg(sibling, '' ORDER BY step
 SELECT b.doc_id, b.leaf, s.subroot, r.h AS root, coalesce(p.proof_sha256, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
 FROM base b JOIN subroots s USING (run) JOIN (SELECT h FROM top WHERE n = 1) r ON true LEFT JOIN proofs p ON p.run = b.run AND p.pos = b.pos
 JOIN folds f ON f.run = b.run AND f.pos = b.pos AND f.step = coalesce(p.n, 0)"""
+
+
+def _nearest(r: int) -> str:
+    """Every part with its nearest entry of codebook ``r``."""
+    return f"""d{r} AS MATERIALIZED (SELECT x.id, x.p, c.e, list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM x JOIN c{r} c ON x.p = c.p),
+a{r} AS MATERIALIZED (SELECT id, p, min({{'d': d, 'e': e}}) AS m FROM d{r} GROUP BY 1, 2)"""
+
+
+def _moved(r: int) -> str:
+    """Codebook ``r + 1`` from the parts of each entry."""
+    return f"""s{r} AS (SELECT p, e, i, mean AS v FROM (SELECT a.p, a.m.e AS e, u.i AS i, (sum(x.v[u.i]) - ((sum(x.v[u.i]) % count(*)) + count(*)) % count(*)) // count(*) AS mean
+  FROM a{r} a JOIN x ON x.id = a.id AND x.p = a.p CROSS JOIN (SELECT unnest(range(1, w + 1)) AS i FROM dims) u GROUP BY ALL)),
+c{r + 1} AS MATERIALIZED (SELECT c.p, c.e, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN (SELECT p, e, list(v::BIGINT ORDER BY i) AS v FROM s{r} GROUP BY 1, 2) m ON m.p = c.p AND m.e = c.e)"""
+
+
+VECTOR_CODES = """WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, v) - 1 AS id, vec_id, label, v FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda c: floor(c::DOUBLE * 1024)::BIGINT) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)),
+dims AS (SELECT len(v) // 4 AS w FROM kept LIMIT 1),
+x AS MATERIALIZED (SELECT id, p, v[p * w + 1 : (p + 1) * w] AS v FROM kept, dims, range(4) r(p)),
+c0 AS MATERIALIZED (SELECT p, id AS e, v FROM x WHERE id < 256),
+""" + ",\n".join(_nearest(r) + ",\n" + _moved(r) for r in range(4)) + ",\n" + _nearest(4) + """,
+digest AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY p, e)) AS s FROM c4),
+codes AS (SELECT id, string_agg(printf('%02x', m.e), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM a4 GROUP BY 1)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, s AS codebooks_sha256 FROM codes JOIN kept USING (id), digest"""

@@ -112,3 +112,10 @@ def op12_merkle_veb(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tokengraph.llm.merkle_veb import prove_all
 
     return prove_all(C.table(spark, sf_dir, "documents"))
+
+
+@query("op13_vector_codes", oracle_sql.VECTOR_CODES)
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokengraph.llm.vector_codes import report
+
+    return report(C.table(spark, sf_dir, "embeddings"))
