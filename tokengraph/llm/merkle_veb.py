@@ -242,10 +242,10 @@ def _digests(column: pa.Array) -> np.ndarray:
 
 
 def above_blocks(made: Forest, above: DataFrame) -> DataFrame:
-    """(run, block, above) of the lowest tier: the path from the root of each subtree to the top of everything.
+    """(run, block, subroot, above) of the lowest tier: the root of the run, and the path from the root of each subtree to the top.
 
-    ``above``: run, above, the path from the root of a run on. Tiers are read from the top; a tier's paths are one row
-    for each subtree below it.
+    ``above``: run, subroot, above, the path from the root of a run on. Only the one top subtree of a run meets it by
+    the run; all others get theirs from the subtree above, by run and block, so a run that holds most rows stays spread.
     """
     paths, step = None, made.step
 
@@ -254,8 +254,8 @@ def above_blocks(made: Forest, above: DataFrame) -> DataFrame:
             nodes = np.frombuffer(r["nodes"], np.uint8).reshape(-1, DIGEST)
             inside = pack_path(*siblings(nodes, r["height"], r["n"], np.arange(r["n"])))
             first = r["block"] << step
-            columns = [pa.array([r["run"]] * r["n"]), pa.array(range(first, first + r["n"]), pa.int64()), pa.array([p + r["above"] for p in inside], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["run", "block", "above"])
+            columns = [pa.array([r["run"]] * r["n"]), pa.array(range(first, first + r["n"]), pa.int64()), pa.array([r["subroot"]] * r["n"], pa.binary()), pa.array([p + r["above"] for p in inside], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["run", "block", "subroot", "above"])
 
     for tier in reversed(made.tiers):
         top = tier.filter(F.col("total") <= 1 << step).select("run", "block").join(above, "run")
@@ -263,7 +263,7 @@ def above_blocks(made: Forest, above: DataFrame) -> DataFrame:
         if tier is made.tiers[0]:
             return paths
         whole = tier.select("run", "block", "n", "height", "nodes").join(paths, ["run", "block"])
-        paths = C.cut(whole.mapInArrow(below, "run string, block long, above binary"))
+        paths = C.cut(whole.mapInArrow(below, "run string, block long, subroot binary, above binary"))
     raise ValueError("a forest has one tier at least")
 
 
@@ -279,18 +279,19 @@ class Manifest:
         return self.rows.roots()
 
     def run_paths(self) -> DataFrame:
-        """(run, above): from the root of each run to the root of everything."""
+        """(run, subroot, above): the root of each run and the path from there to the root of everything."""
         names = self.runs.tiers[0]
-        one = names.sparkSession.createDataFrame([("", b"")], "run string, above binary")
+        one = names.sparkSession.createDataFrame([("", self.root or b"", b"")], "run string, subroot binary, above binary")
         whole = names.select("run", "block", "n", "height", "nodes", "items").join(above_blocks(self.runs, one), ["run", "block"])
 
         def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in C.rows_of(batches, 1):
                 nodes = np.frombuffer(r["nodes"], np.uint8).reshape(-1, DIGEST)
                 paths = pack_path(*siblings(nodes, r["height"], r["n"], np.arange(r["n"])))
-                yield pa.RecordBatch.from_arrays([pa.array([i["name"] for i in r["items"]]), pa.array([p + r["above"] for p in paths], pa.binary())], names=["run", "above"])
+                columns = [pa.array([i["name"] for i in r["items"]]), pa.array([i["leaf"] for i in r["items"]], pa.binary()), pa.array([p + r["above"] for p in paths], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["run", "subroot", "above"])
 
-        return whole.mapInArrow(spread, "run string, above binary")
+        return whole.mapInArrow(spread, "run string, subroot binary, above binary")
 
 
 def manifest(docs: DataFrame, step: int = HEIGHT) -> Manifest:
@@ -305,8 +306,7 @@ def manifest(docs: DataFrame, step: int = HEIGHT) -> Manifest:
 def proofs(made: Manifest) -> DataFrame:
     """One row per leaf: its digest, the roots, the digest of its siblings, and the root that the row, tampered or not, folds to."""
     run_paths = C.cut(made.run_paths())
-    paths = above_blocks(made.rows, run_paths)
-    whole = made.rows.tiers[0].join(paths, ["run", "block"]).join(made.subroots().withColumnRenamed("root", "subroot"), "run")
+    whole = made.rows.tiers[0].join(above_blocks(made.rows, run_paths), ["run", "block"])
     root = (made.root or b"").hex()
     schema = pa.schema([("doc_id", pa.int64()), *((c, pa.string()) for c in ("leaf", "subroot", "root", "proof_sha256", "folded_root")), ("verified", pa.bool_())])
 
