@@ -119,3 +119,10 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tokengraph.llm.vector_codes import report
 
     return report(C.table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_license_rules")
+def op11_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tokengraph.llm.license_scan import scan
+
+    return scan(C.table(spark, sf_dir, "documents")).drop("found")
