@@ -1,4 +1,4 @@
-"""Every registered query against its SQL on the smallest tables."""
+"""Every registered query that has SQL against it on the smallest tables."""
 
 import duckdb
 import pytest
@@ -20,7 +20,7 @@ def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", list(entry_module.queries()))
+@pytest.mark.parametrize("name", list(entry_module.oracle_sql()))
 def test_query_matches_sql(spark, duck, sf, name):
     df = entry_module.queries()[name](spark, sf)
     sql = entry_module.oracle_sql()[name]
