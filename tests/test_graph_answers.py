@@ -190,3 +190,60 @@ def test_keywords(spark):
 def test_injections(spark, text, labels):
     row = guard.scan_injections(spark.createDataFrame([(text,)], "text string")).first()
     assert row.violations == labels and row.is_safe == (not labels) and row.sanitized_text == (text if not labels else "")
+
+
+def plain_walk(edges, seed, depth):
+    """Smallest hops by a plain breadth-first search over (node, neighbour) steps."""
+    hops, frontier = {seed: 0}, [seed]
+    for hop in range(1, depth + 1):
+        frontier = sorted({n for f in frontier for n in edges.get(f, ()) if n not in hops})
+        hops.update(dict.fromkeys(frontier, hop))
+    return hops
+
+
+@pytest.mark.parametrize("depth", [0, 1, 3])
+def test_many_seeds_in_one_walk(spark, depth):
+    """200 seeds (four blocks of bits) of different depths on a random graph with a hub, against one search per seed."""
+    import random
+
+    from tokengraph.operators import traverse as T
+
+    r = random.Random(depth)
+    pairs = {(f"n{r.randrange(300)}", f"n{r.randrange(300)}") for _ in range(500)} | {(f"n{i}", "hub") for i in range(0, 300, 3)} | {("hub", "n1")}
+    steps = {}
+    for a, b in pairs:
+        steps.setdefault(a, set()).add(b)
+    adj = spark.createDataFrame(sorted(pairs), "node string, neighbour string").repartition(5)
+    asked = [(f"n{i}", i % (depth + 1)) for i in range(200)] + [("n5", depth), (None, 1)]
+    seeds = spark.createDataFrame(asked, "node string, depth int").repartition(3)
+    done = T.walk(seeds, adj, depth)
+    numbers = {x.seed: x.node for x in done.seeds.collect()}
+    limits = {}
+    for node, d in asked:
+        limits[node] = max(d, limits.get(node, 0))
+    want = {(s, n): h for s in limits if s for n, h in plain_walk(steps, s, limits[s]).items()}
+    assert {(numbers[x.seed], x.node): x.hop for x in done.reached().collect()} == want
+    assert len(numbers) == 200
+    edges = spark.createDataFrame([(a, b, "P") for a, b in sorted(pairs)], "source string, target string, predicate string")
+    got = {(numbers[x.seed], x.source, x.target): x.level for x in done.edges(edges).collect()}
+    assert got == {(s, a, b): max(want[s, a], want[s, b]) for s in limits if s for a, b in pairs if (s, a) in want and (s, b) in want}
+
+
+def test_bit_places(spark):
+    from tokengraph.operators.traverse import bit_places
+
+    masks = [0, 1, -1, -(1 << 63), (1 << 62) | 5, 0xF0F0F0F0F0F0F0F]
+    rows = spark.createDataFrame([(m,) for m in masks], "m bigint").select("m", bit_places(F.col("m")).alias("p")).collect()
+    assert all(r.p == [i for i in range(64) if (r.m >> i) & 1] for r in rows)
+
+
+def test_questions_share_a_seed_with_other_depths(spark):
+    """Two questions about one person with depths 1 and 2, one question with two seeds: each edge once per question."""
+    edges = G.edges_from(triple_rows(spark, [("a", "P", "b"), ("b", "P", "c"), ("c", "P", "d"), ("x", "P", "b")]))
+    nodes = G.nodes_from(triple_rows(spark, [("a", "P", "b"), ("b", "P", "c"), ("c", "P", "d"), ("x", "P", "b")]))
+    seeds = spark.createDataFrame([("q1", "a", 1), ("q2", "a", 2), ("q3", "a", 1), ("q3", "x", 1), ("q4", "nobody", 2)], "query_id string, node string, depth int")
+    done = G.walk_graph(edges, nodes, seeds, 3)
+    sub = sorted((r.query_id, r.source, r.target) for r in G.induced_by(seeds, done, edges, ["query_id"], "depth").collect())
+    assert sub == [("q1", "a", "b"), ("q2", "a", "b"), ("q2", "b", "c"), ("q2", "x", "b"), ("q3", "a", "b"), ("q3", "x", "b")]
+    reach = sorted((r.query_id, r.node, r.hop) for r in G.reached_by(seeds, done, ["query_id"], "depth").collect())
+    assert [x for x in reach if x[0] in ("q1", "q3")] == [("q1", "a", 0), ("q1", "b", 1), ("q3", "a", 0), ("q3", "b", 1), ("q3", "x", 0)]

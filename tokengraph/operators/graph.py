@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tokengraph.functions import constants as K
 from tokengraph.functions.ordered import chunked_text, nth_per_group
 from tokengraph.operators.tokens import token_type
+from tokengraph.operators.traverse import Walk, walk
+from tokengraph.session import cut
 
 EDGE_COLUMNS = ["source", "target", "predicate", "source_sentence", "doc_id", "namespace", "classification", "ord"]
 
@@ -143,35 +145,39 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return pairs.select(F.explode(steps).alias("s")).select("s.node", "s.neighbour").distinct()
 
 
-def expand(seeds: DataFrame, adj: DataFrame, depth: int, keys: list[str], limit: str | None = None) -> DataFrame:
-    """Nodes within ``depth`` hops of each seed: (keys…, node, hop) with the smallest hop.
+def walk_graph(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int) -> Walk:
+    """Bounded breadth-first walk from (node, depth) seeds that exist in the graph; unknown seeds give nothing."""
+    known = seeds.join(nodes.select(F.col("id").alias("node")), "node", "left_semi")
+    return walk(known, cut(adjacency(edges)), depth)
 
-    ``seeds``: keys…, node[, limit]. One lazy plan: each hop shuffles and joins only the rows found in the hop before, and
-    a combinable minimum drops nodes seen earlier; nothing is collected and no lineage has to be cut. ``limit`` names a
-    column with a smaller depth per seed.
-    """
-    extra = [limit] if limit else []
-    reach = seeds.select(*keys, *extra, "node").distinct().withColumn("hop", F.lit(0))
-    for hop in range(1, depth + 1):
-        frontier = reach.filter(F.col("hop") == hop - 1)
-        if limit:
-            frontier = frontier.filter(F.col(limit) >= hop)
-        stepped = frontier.join(adj, "node").select(*keys, *extra, F.col("neighbour").alias("node"), F.lit(hop).alias("hop"))
-        reach = reach.unionByName(stepped).groupBy(*keys, *extra, "node").agg(F.min("hop").alias("hop"))
-    return reach.select(*keys, "node", "hop")
+
+def asked(seeds: DataFrame, done: Walk, keys: list[str], limit: str | None = None) -> DataFrame:
+    """(keys…, _limit, _seed): who asks for which walked seed by its number, and how deep."""
+    deep = F.col(limit) if limit else F.lit(done.depth)
+    return seeds.select(*keys, "node", deep.alias("_limit")).distinct().join(done.seeds.select("node", F.col("seed").alias("_seed")), "node").select(*keys, "_limit", "_seed")
 
 
 def k_hop(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int, keys: list[str], limit: str | None = None) -> DataFrame:
-    """Bounded breadth-first reach of seeds that exist in the graph; unknown seeds give nothing."""
-    known = seeds.join(nodes.select(F.col("id").alias("node")), "node", "left_semi")
-    return expand(known, adjacency(edges), depth, keys, limit)
+    """Nodes within ``depth`` hops of each seed: (keys…, node, hop) with the smallest hop; ``limit`` names a column with a smaller depth."""
+    start = seeds.select("node", (F.col(limit) if limit else F.lit(depth)).alias("depth"))
+    return reached_by(seeds, walk_graph(edges, nodes, start, depth), keys, limit)
+
+
+def reached_by(seeds: DataFrame, done: Walk, keys: list[str], limit: str | None = None) -> DataFrame:
+    """(keys…, node, hop) of (keys…, node[, limit]) seeds; a node that one key reaches from two seeds has the smaller hop."""
+    rows = asked(seeds, done, keys, limit).join(done.reached().withColumnRenamed("seed", "_seed"), "_seed").filter(F.col("hop") <= F.col("_limit"))
+    return rows.groupBy(*keys, "node").agg(F.min("hop").alias("hop"))
 
 
-def induced_edges(reach: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Edges with both ends reached by the same seed: keys… plus the edge columns."""
+def induced_by(seeds: DataFrame, done: Walk, edges: DataFrame, keys: list[str], limit: str | None = None) -> DataFrame:
+    """keys… and the edges with both ends reached by one seed of the keys; each edge once per keys."""
     cols = [c for c in EDGE_COLUMNS if c in edges.columns]
-    half = reach.select(*keys, F.col("node").alias("source")).join(edges.select(*cols), "source")
-    return half.join(reach.select(*keys, F.col("node").alias("target")), [*keys, "target"], "left_semi").select(*keys, *cols)
+    ends = ["source", "target", "predicate"]
+    # Only the three names of an edge go through the joins; its other columns come last, and as that join deals rows by
+    # the names, dropping the repeats of a question needs no further exchange.
+    rows = asked(seeds, done, keys, limit).join(done.edges(edges.select(*ends)).withColumnRenamed("seed", "_seed"), "_seed")
+    named = rows.filter(F.col("level") <= F.col("_limit")).select(*keys, *ends)
+    return compose(named.join(edges.select(*cols), ends).select(*keys, *cols), keys)
 
 
 def compose(per_seed: DataFrame, keys: list[str]) -> DataFrame:

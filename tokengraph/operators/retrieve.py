@@ -132,13 +132,12 @@ def find_seeds(prepared: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataF
 def retrieve(prepared: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(seeds, reached nodes per query, subgraph edges per query).
 
-    Seeds and reach are materialised: both ends of the induced edges and the node lines read the reach.
+    Every distinct seed is walked once, however many questions name it or list its department; the questions join last.
     """
     seeds = cut(find_seeds(prepared, nodes, edges))
-    start = seeds.withColumn("seed", F.col("node"))
-    reach = cut(G.k_hop(edges, nodes, start, max_depth, ["query_id", "seed"], limit="depth"))
-    sub = G.compose(G.induced_edges(reach, edges, ["query_id", "seed"]), ["query_id"])
-    return seeds, reach.select("query_id", "node").distinct(), sub
+    done = G.walk_graph(edges, nodes, seeds, max_depth)
+    reached = G.reached_by(seeds, done, ["query_id"], "depth").select("query_id", "node")
+    return seeds, reached, G.induced_by(seeds, done, edges, ["query_id"], "depth")
 
 
 def unmatched(prepared: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from tokengraph.plans import derive as D
 from tokengraph.plans import sql as S
 from tokengraph.plans import table_queries  # noqa: F401  (its SQL building blocks are used here)
 from tokengraph.plans.registry import query
-from tokengraph.session import cut, shared_dir
+from tokengraph.session import shared_dir
 from tokengraph.sources import stores
 
 # --- building -------------------------------------------------------------------------------------------------------
@@ -120,9 +120,8 @@ def khop_multi_seed(spark, sf):
     """Composed subgraphs of groups of seeds (grouped by the last letter)."""
     nodes, edges = D.staff_graph(spark, sf)
     seeds = _seeds(spark, sf).withColumn("grp", F.concat(F.lit("m"), F.substring("seed", -1, 1)))
-    reach = cut(G.k_hop(edges, nodes, seeds, 2, ["grp", "seed"]))
-    sub = G.compose(G.induced_edges(reach, edges, ["grp", "seed"]), ["grp"])
-    return sub.select("grp", "source", "target", "predicate")
+    done = G.walk_graph(edges, nodes, seeds.withColumn("depth", F.lit(2)), 2)
+    return G.induced_by(seeds, done, edges, ["grp"]).select("grp", "source", "target", "predicate")
 
 
 @query(
@@ -136,9 +135,10 @@ def khop_multi_seed(spark, sf):
 )
 def subgraph_context(spark, sf):
     nodes, edges = D.staff_graph(spark, sf)
-    reach = cut(G.k_hop(edges, nodes, _seeds(spark, sf), 2, ["seed"]))
-    named = reach.join(nodes.select(F.col("id").alias("node"), "namespace"), "node")
-    lines = G.context_lines(named, G.induced_edges(reach, edges, ["seed"]), ["seed"])
+    seeds = _seeds(spark, sf)
+    done = G.walk_graph(edges, nodes, seeds.withColumn("depth", F.lit(2)), 2)
+    named = G.reached_by(seeds, done, ["seed"]).join(nodes.select(F.col("id").alias("node"), "namespace"), "node")
+    lines = G.context_lines(named, G.induced_by(seeds, done, edges, ["seed"]), ["seed"])
     return lines.withColumn("section", F.col("section").cast("bigint"))
 
 
@@ -154,9 +154,10 @@ def subgraph_context(spark, sf):
 def context_blocks(spark, sf):
     """Rendered text blocks hold every line once."""
     nodes, edges = D.staff_graph(spark, sf)
-    reach = cut(G.k_hop(edges, nodes, _seeds(spark, sf), 2, ["seed"]))
-    named = reach.join(nodes.select(F.col("id").alias("node"), "namespace"), "node")
-    lines = G.context_lines(named, G.induced_edges(reach, edges, ["seed"]), ["seed"])
+    seeds = _seeds(spark, sf)
+    done = G.walk_graph(edges, nodes, seeds.withColumn("depth", F.lit(2)), 2)
+    named = G.reached_by(seeds, done, ["seed"]).join(nodes.select(F.col("id").alias("node"), "namespace"), "node")
+    lines = G.context_lines(named, G.induced_by(seeds, done, edges, ["seed"]), ["seed"])
     blocks = G.render_context(lines, ["seed"], per_chunk=10)
     head = F.when(F.col("chunk") != 0, 0).when(F.col("section") == 1, 39).otherwise(17)
     return blocks.groupBy("seed", F.col("section").cast("bigint").alias("section")).agg(
