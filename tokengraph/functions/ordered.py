@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokengraph.session import cut
+
 BLOCK = 4096
 
 
@@ -42,6 +44,25 @@ def carry_forward(
     )
 
 
+def number_rows(df: DataFrame, order: list[str], out: str, keys: list[str] | None = None) -> DataFrame:
+    """Add ``out``, the place from 0 of each row in ``order`` per ``keys`` (over all rows without keys), by many tasks.
+
+    Rows are dealt in ranges and numbered inside; the ranges' counts, a row per range and key, give each its offset. A key
+    that holds most rows is spread over ranges like any other, as long as ``order`` tells its rows apart.
+    """
+    keys = keys or []
+    kept = cut(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_at", F.monotonically_increasing_id()))
+    part, row = F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)).alias("_row")
+    placed = kept.select(*df.columns, part, row)
+    sizes = placed.groupBy(*keys, "_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_part").alias("_p"), (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_start"))
+    on = F.col("_part") == F.col("_p")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return placed.join(starts, on).select(*df.columns, (F.col("_start") + F.col("_row")).alias(out))
+
+
 def nth_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """The ``n`` first rows of every group. Spark trims each group to ``n`` rows before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)

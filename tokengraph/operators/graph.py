@@ -91,39 +91,39 @@ def degrees(edges: DataFrame) -> DataFrame:
     )
 
 
-def breaker_violations(edges: DataFrame, limit: int = K.EDGE_LIMIT) -> DataFrame:
+def breaker_violations(edges: DataFrame, limit: int = K.EDGE_LIMIT, stored: DataFrame | None = None, shares: int = 32) -> DataFrame:
     """(id, ord, edges_before) of the first edge of each subject that would be added at or above the limit.
 
-    Edges count at both ends, in ``ord`` order. The limit-th incident edge of each node comes from a bounded top-n per
-    node (trimmed before the shuffle), never from a running window over a hub.
+    Edges count at both ends, in ``ord`` order, behind the ``stored`` (id, degree) edges that a node has already. The edge
+    that fills a node comes from a bounded top-n: first in ``shares`` parts of the node's edges, trimmed before the
+    shuffle, then among what those leave, so a hub meets in one task with ``shares`` times the limit of rows at most.
     """
-    incident = edges.select(
-        F.explode(F.array("source", "target")).alias("id"), "ord", (F.col("source") == F.col("target")).alias("loop")
-    )
-    full = (
-        nth_per_group(incident, ["id"], [F.col("ord")], limit)
-        .filter(F.col("_rn") == limit)
-        .select("id", F.col("ord").alias("full_at"))
-    )
-    first = (
-        edges.select(F.col("source").alias("id"), "ord")
-        .join(full, "id")
-        .filter(F.col("ord") > F.col("full_at"))
-        .groupBy("id")
-        .agg(F.min("ord").alias("ord"))
-    )
-    before = (
-        incident.join(first.withColumnRenamed("ord", "_at"), "id")
-        .filter(F.col("ord") < F.col("_at"))
-        .groupBy("id")
-        .agg(F.count("*").alias("edges_before"))
-    )
-    return first.join(before, "id").select("id", "ord", "edges_before")
-
-
-def check_breaker(edges: DataFrame, limit: int = K.EDGE_LIMIT) -> DataFrame:
+    incident = edges.select(F.explode(F.array("source", "target")).alias("id"), "ord")
+    dealt = incident.withColumn("_share", F.pmod(F.xxhash64("ord"), F.lit(shares)))
+    few = nth_per_group(dealt, ["id", "_share"], [F.col("ord")], limit).select("id", "ord")
+    ranked = nth_per_group(few, ["id"], [F.col("ord")], limit)
+    own = edges.select(F.col("source").alias("id"), "ord")
+    if stored is None:
+        full = ranked.filter(F.col("_rn") == limit).select("id", F.col("ord").alias("full_at"))
+        first = own.join(full, "id").filter(F.col("ord") > F.col("full_at"))
+    else:
+        # A node with ``degree`` stored edges is full at its (limit - degree)-th new one, or before any.
+        kept = stored.select("id", "degree")
+        full = ranked.join(kept, "id", "left").filter(F.col("_rn") == F.greatest(F.lit(limit) - F.coalesce("degree", F.lit(0)), F.lit(1)))
+        full = full.select("id", F.col("ord").alias("full_at"), (F.coalesce("degree", F.lit(0)) >= limit).alias("_before"))
+        first = own.join(full, "id").filter(F.col("_before") | (F.col("ord") > F.col("full_at")))
+    first = first.groupBy("id").agg(F.min("ord").alias("ord"))
+    new = incident.join(first.withColumnRenamed("ord", "_at"), "id").filter(F.col("ord") < F.col("_at")).groupBy("id").agg(F.count("*").alias("_new"))
+    counted = first.join(new, "id", "left")
+    old = F.lit(0)
+    if stored is not None:
+        counted, old = counted.join(stored.select("id", "degree"), "id", "left"), F.coalesce("degree", F.lit(0))
+    return counted.select("id", "ord", (F.coalesce("_new", F.lit(0)) + old).cast("bigint").alias("edges_before"))
+
+
+def check_breaker(edges: DataFrame, limit: int = K.EDGE_LIMIT, stored: DataFrame | None = None) -> DataFrame:
     """Return ``edges`` or raise when an entity passes the limit; run it before publishing a new graph version."""
-    worst = breaker_violations(edges, limit).orderBy("ord").limit(1).collect()
+    worst = breaker_violations(edges, limit, stored).orderBy("ord").limit(1).collect()
     if worst:
         raise ValueError(
             f"graph contamination: entity {worst[0]['id']!r} reached {worst[0]['edges_before']} edges (limit {limit})"
@@ -131,6 +131,12 @@ def check_breaker(edges: DataFrame, limit: int = K.EDGE_LIMIT) -> DataFrame:
     return edges
 
 
+def add_degrees(stored: DataFrame, added: DataFrame, sign: int = 1) -> DataFrame:
+    """(id, degree) after edges were added, or with ``sign=-1`` removed; nodes without edges go."""
+    ends = added.select(F.explode(F.array("source", "target")).alias("id"), F.lit(sign).cast("bigint").alias("degree"))
+    return stored.select("id", "degree").unionByName(ends).groupBy("id").agg(F.sum("degree").alias("degree")).filter("degree > 0")
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     """Distinct (node, neighbour) steps: along every edge, and back unless the pair has a grouping predicate."""
     hub = F.col("predicate").isin(K.HUB_PREDICATES).cast("int")

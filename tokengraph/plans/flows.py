@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -9,14 +10,17 @@ from pyspark.sql import functions as F
 
 from tokengraph.functions import constants as K
 from tokengraph.functions.hashing import TokenKey
+from tokengraph.functions.ordered import number_rows
 from tokengraph.operators import answer as A
 from tokengraph.operators import detect as DT
 from tokengraph.operators import graph as G
 from tokengraph.operators import guard, registry, segment, tables, tokens, triples
 from tokengraph.operators import retrieve as R
 from tokengraph.operators import vault as V
+from tokengraph.operators.audit import append_events, json_string
 from tokengraph.session import cut
 from tokengraph.sources import documents as SD
+from tokengraph.sources.live import LiveStore
 
 
 @dataclass
@@ -32,6 +36,7 @@ class Ingested:
     nodes: DataFrame
     node_docs: DataFrame
     registry: DataFrame
+    entities: DataFrame
 
 
 def document_sentences(docs: DataFrame) -> DataFrame:
@@ -54,11 +59,14 @@ def document_sentences(docs: DataFrame) -> DataFrame:
     )
 
 
-def ingest_documents(files: DataFrame, key: TokenKey, vault_key: bytes, edge_limit: int | None = K.EDGE_LIMIT, stored: DataFrame | None = None) -> Ingested:
+def ingest_documents(
+    files: DataFrame, key: TokenKey, vault_key: bytes, edge_limit: int | None = K.EDGE_LIMIT, stored: DataFrame | Callable[[DataFrame], DataFrame] | None = None
+) -> Ingested:
     """Header + body files (path, content) to vault, graph and registry.
 
-    ``stored`` is the sealed vault so far: its tokens stay as they are, and new values whose token would clash with one of
-    them, or with each other, get longer tokens before any text is rewritten.
+    ``stored`` is the sealed vault so far, or gives the part of it that may clash with some entities: its tokens stay as
+    they are, and new values whose token would clash with one of them, or with each other, get longer tokens before any
+    text is rewritten.
 
     The tokenized sentences are materialised once; vault, triples and counts all read that table. With ``edge_limit``
     the graph is checked before anything is returned for publishing.
@@ -76,7 +84,8 @@ def ingest_documents(files: DataFrame, key: TokenKey, vault_key: bytes, edge_lim
     found = DT.detect(document_sentences(docs).join(meta, "doc_id"), categories="categories", min_confidence="min_confidence")
     place = ["doc_id", "sent_idx"]
     raw = cut(tokens.tokenize(found, key).select(*place, "text", "entities", "tokenized"))
-    changed = cut(tokens.lengthened(tokens.token_dictionary(DT.explode_entities(raw, *place), stored)))
+    seen = DT.explode_entities(raw, *place)
+    changed = cut(tokens.lengthened(tokens.token_dictionary(seen, stored(seen) if callable(stored) else stored)))
     done = cut(tokens.settle(raw, changed, place).select(*place, "entities", F.col("tokenized").alias("text")))
 
     # A total order over all entities and triples: documents by id, then sentence, then position.
@@ -103,9 +112,124 @@ def ingest_documents(files: DataFrame, key: TokenKey, vault_key: bytes, edge_lim
         nodes=G.nodes_from(edges.withColumnsRenamed({"source": "subject", "target": "object"})),
         node_docs=G.node_documents(owned),
         registry=reg,
+        entities=ents,
     )
 
 
+def ingested_events(registered: DataFrame) -> DataFrame:
+    """(seq, ts, event_type, details) of one DOCUMENT_INGESTED event per registry row, in order of the document id.
+
+    Details are JSON with sorted keys and spaces after separators, the form that entry hashes are taken of.
+    """
+    numbered = number_rows(registered.select("doc_id", "title", "entity_count", "triple_count"), ["doc_id"], "seq")
+    details = F.concat(
+        F.lit('{"doc_id": '), json_string(F.col("doc_id")), F.lit(', "entities_detected": '), F.col("entity_count").cast("string"),
+        F.lit(', "title": '), json_string(F.col("title")), F.lit(', "triples_extracted": '), F.col("triple_count").cast("string"), F.lit("}"),
+    )
+    return numbered.select("seq", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"), F.lit("DOCUMENT_INGESTED").alias("event_type"), details.alias("details"))
+
+
+def append_audit(store: LiveStore, events: DataFrame) -> tuple[DataFrame, list[int]]:
+    """New content of the buckets of the log that ``events`` (seq from 0 on) are appended to; only its last bucket is read."""
+    held = [b for n, b in store.buckets_of() if n == "audit"]
+    open_end = store.read("audit", [max(held)]) if held else store.read("audit", [])
+    fresh = cut(append_events(open_end, events))
+    buckets = store.touched("audit", fresh)
+    return store.read("audit", buckets).unionByName(fresh), buckets
+
+
+def ingest_batch(store: LiveStore, files: DataFrame, key: TokenKey, vault_key: bytes, batch: int, edge_limit: int | None = K.EDGE_LIMIT) -> Ingested | None:
+    """One batch of files into all stores, published together; None if the pointer names this batch or a later one.
+
+    Stored rows stay the first writers of tokens, edges and nodes. Of every table only the buckets that the batch touches
+    are read and written. The breaker counts stored and new edges; when it trips, nothing is published.
+    """
+    if store.pointer()[1] >= batch:
+        return None
+    made = ingest_documents(files, key, vault_key, None, stored=lambda seen: store.read("vault", store.touched("vault", seen)))
+    ents, node_docs = cut(made.entities), cut(made.node_docs)
+    changed: dict[str, tuple[DataFrame, list[int]]] = {}
+
+    def old(name: str, rows: DataFrame) -> tuple[DataFrame, list[int]]:
+        buckets = store.touched(name, rows)
+        return store.read(name, buckets), buckets
+
+    def add(name: str, rows: DataFrame, keys: list[str]) -> None:
+        kept, buckets = old(name, rows)
+        changed[name] = (kept.unionByName(rows.join(kept, keys, "left_anti").select(*kept.columns)), buckets)
+
+    kept, buckets = old("vault", ents)
+    changed["vault"] = (V.merge(kept, ents, vault_key), buckets)
+    add("references", V.references(ents), ["token", "doc_id"])
+    add("node_docs", node_docs, ["id", "doc_id"])
+
+    ends = ["source", "target", "predicate"]
+    edges = made.edges.withColumn("ord", F.struct(F.lit(batch).cast("bigint").alias("batch"), "ord.doc_id", "ord.sent_idx", "ord.triple_idx"))
+    kept, buckets = old("edges", edges)
+    added = cut(edges.join(kept, ends, "left_anti").select(*kept.columns))
+    changed["edges"] = (kept.unionByName(added), buckets)
+    sides = added.select(F.explode(F.array("source", "target")).alias("id"))
+    kept, buckets = old("degrees", sides)
+    if edge_limit is not None:
+        G.check_breaker(added, edge_limit, kept)
+    changed["degrees"] = (G.add_degrees(kept, added), buckets)
+    add("nodes", G.nodes_from(added.withColumnsRenamed({"source": "subject", "target": "object"})), ["id"])
+
+    registered = cut(made.registry)
+    kept, buckets = old("registry", registered)
+    changed["registry"] = (registry.upsert_registry(kept, registered).select(*kept.columns), buckets)
+    changed["audit"] = append_audit(store, ingested_events(registered))
+    store.commit(batch, changed)
+    return made
+
+
+def delete_from_store(store: LiveStore, doc_ids: DataFrame) -> DataFrame:
+    """Take documents out of all stores, and return (metric, value) counts; a DOCUMENT_DELETED event goes to the log.
+
+    Edges, node documents, tokens and registry rows are found by their document; a node goes when its stored degree falls
+    to zero and no document is left for it, so no other edge has to be read. Only buckets with something to remove are
+    written.
+    """
+    gone = cut(doc_ids.select("doc_id").distinct())
+    changed: dict[str, tuple[DataFrame, list[int]]] = {}
+    counts = []
+
+    def leave(name: str, dead: DataFrame, keys: list[str]) -> DataFrame:
+        buckets = store.touched(name, dead)
+        kept = store.read(name, buckets).join(dead.select(*keys).distinct(), keys, "left_anti").select(*store.read(name, []).columns)
+        changed[name] = (kept, buckets)
+        return kept
+
+    edges = cut(store.read("edges").join(gone, "doc_id", "left_semi").select(*store.read("edges", []).columns))
+    docs = cut(store.read("node_docs").join(gone, "doc_id", "left_semi").select("id", "doc_id"))
+    tokens_gone = cut(store.read("vault").join(gone, F.col("first_doc_id") == F.col("doc_id"), "left_semi").select("token", "entity_type", "hmac_digest"))
+    leave("edges", edges, ["source", "target", "predicate"])
+    leave("vault", tokens_gone, ["token"])
+    leave("references", cut(store.read("references").join(gone, "doc_id", "left_semi")), ["token", "doc_id"])
+    registered = cut(store.read("registry").join(gone, "doc_id", "left_semi"))
+    leave("registry", registered, ["doc_id"])
+    leave("node_docs", docs, ["id", "doc_id"])
+
+    ends = cut(docs.select("id").unionByName(edges.select(F.explode(F.array("source", "target")).alias("id"))).distinct())
+    buckets = store.touched("degrees", ends)
+    degrees = cut(G.add_degrees(store.read("degrees", buckets), edges, -1))
+    changed["degrees"] = (degrees, buckets)
+    left = store.read("node_docs").join(ends, "id", "left_semi").join(gone, "doc_id", "left_anti").select("id")
+    dead = cut(ends.join(degrees, "id", "left_anti").join(left, "id", "left_anti").join(store.read("nodes", store.touched("nodes", ends)), "id", "left_semi"))
+    leave("nodes", dead, ["id"])
+    for metric, rows in (("documents_removed", registered), ("edges_removed", edges), ("nodes_removed", dead), ("tokens_purged", tokens_gone)):
+        counts.append(rows.agg(F.count("*").alias("value")).select(F.lit(metric).alias("metric"), "value"))
+    found = counts[0]
+    for c in counts[1:]:
+        found = found.unionByName(c)
+    found = cut(found)
+    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    event = registry.deletion_event(found).select(F.lit(0).cast("bigint").alias("seq"), stamp.alias("ts"), "event_type", "details")
+    changed["audit"] = append_audit(store, event)
+    store.commit(store.pointer()[1], changed)
+    return found
+
+
 def answer_questions(queries: DataFrame, nodes: DataFrame, edges: DataFrame, vault: DataFrame, key: TokenKey, vault_key: bytes) -> tuple[DataFrame, DataFrame]:
     """(answers, blocked audit rows) for (query_id, query_text); answers carry plain values again."""
     prepared = R.prepare_queries(queries, key, changed=tokens.lengthened(vault))
