@@ -6,6 +6,7 @@ from tokengraph.plans import (  # noqa: F401
     answer_queries,
     governance_queries,
     graph_queries,
+    store_queries,
     table_queries,
     text_queries,
 )

@@ -261,6 +261,25 @@ def staff_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", (k * 3 + F.col("i")).alias("sent_idx"), "text")
 
 
+PER_DOCUMENT = 100
+
+
+def staff_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(n, doc_id, path, content): header + body files with the prose of 100 people each, a sentence per paragraph."""
+    n = F.floor(F.col("sent_idx") / (3 * PER_DOCUMENT)).cast("bigint")
+    bodies = (
+        staff_sentences(spark, sf_dir).select(n.alias("n"), F.struct("sent_idx", "text").alias("s"))
+        .groupBy("n").agg(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["text"]), "\n\n").alias("body"))
+    )
+    doc_id = F.concat(F.lit("STF-"), padded(F.col("n"), 7))
+    head = F.concat(
+        F.lit('---\nokf_version: "1.0"\ndocument:\n  id: "'), doc_id, F.lit('"\n  title: "Staff '), _s(F.col("n")),
+        F.lit('"\n  classification: "INTERNAL"\n  department: "People"\n  author: "a@b.example"\n  created: "2026-07-15"\nprivacy:\n  entity_categories:\n'),
+        F.lit("    - PERSON\n    - SSN\n    - SALARY\n    - EMAIL\n  min_confidence: 0.85\ngraph:\n  namespace: \"staff.files\"\n---\n"),
+    )
+    return bodies.select("n", doc_id.alias("doc_id"), F.concat(F.lit("/staff/"), doc_id, F.lit(".md")).alias("path"), F.concat(head, "body").alias("content"))
+
+
 def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, ts, event_type, details): the event stream as audit entries; event ids are the dense sequence."""
     return table(spark, sf_dir, "events").select(

@@ -179,6 +179,7 @@ def ingest_batch(store: LiveStore, files: DataFrame, key: TokenKey, vault_key: b
     kept, buckets = old("registry", registered)
     changed["registry"] = (registry.upsert_registry(kept, registered).select(*kept.columns), buckets)
     changed["audit"] = append_audit(store, ingested_events(registered))
+    add("rejects", cut(made.rejects.withColumn("batch", F.lit(batch).cast("bigint"))), ["path", "batch"])
     store.commit(batch, changed)
     return made
 

@@ -47,6 +47,7 @@ TABLES = {
         "doc_id string, title string, classification string, department string, author string, created date, entity_count bigint, triple_count bigint",
         lambda: F.col("doc_id"),
     ),
+    "rejects": LiveTable("path string, reasons array<string>, batch bigint", lambda: F.col("path")),
     "audit": LiveTable(
         "seq bigint, ts string, event_type string, details string, prev_hash string, entry_hash string",
         lambda: F.floor(F.col("seq") / ENTRIES_PER_BUCKET).cast("int"),

@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tokengraph.functions import constants as K
+from tokengraph.functions.hashing import TokenKey
+from tokengraph.plans import flows
+from tokengraph.sources.live import LiveStore
+
 JOB_SCHEMA = "job_id string, seq bigint, filename string, status string, stage string, progress_pct int, error string, ts timestamp"
 
 
@@ -39,6 +44,21 @@ def run_ingestion(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def run_store_ingestion(
+    source: DataFrame, store: LiveStore, key: TokenKey, vault_key: bytes, checkpoint: str, edge_limit: int | None = K.EDGE_LIMIT, available_now: bool = True
+) -> StreamingQuery:
+    """The whole ingestion per micro-batch of (path, content): vault, graph, registry and log, published under its batch id.
+
+    The store's pointer names the last batch, so one that is replayed after a failure is either finished or skipped.
+    """
+
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        flows.ingest_batch(store, batch, key, vault_key, batch_id, edge_limit)
+
+    writer = source.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def progress(done: int, total: int) -> int:
     """Percent shown while sentences are tokenized."""
     return 35 + int(done / total * 35)
