@@ -114,3 +114,33 @@ def test_numbers_follow_the_order(spark):
         mine = sorted((x["n"], x["v"]) for x in got if x["k"] == k)
         assert [n for n, _ in mine] == list(range(len(mine))) and [v for _, v in mine] == sorted(v for a, v in data if a == k)
     assert number_rows(df.limit(0), ["v"], "n").count() == 0
+
+
+def test_jobs_time_out_resume_and_take_events_in_any_order(spark, tmp_path):
+    from tokengraph.streaming import jobs
+
+    assert [jobs.percent("tokenizing", i, 10) for i in (0, 3, 10)] == [35, 45, 70] and jobs.percent("tokenizing", 1, 0) == 35
+
+    def event(job, seq, stage, minute, done=None, total=None, error=None):
+        return (job, seq, f"{job}.md", stage, done, total, error, f"2026-01-01 {minute // 60:02d}:{minute % 60:02d}:00")
+
+    lots = [
+        [event("a", 3, "tokenizing", 30, 4, 10), event("a", 1, "queued", 10), event("b", 1, "queued", 5), event("c", 9, "completed", 9), event("clock", 1, "queued", 60)],
+        [event("a", 2, "parsing", 20), event("c", 8, "building_graph", 8), event("d", 1, "queued", 62), event("d", 1, "queued", 62), event("clock", 2, "parsing", 160)],
+        [event("b", 2, "parsing", 210), event("d", 2, "failed", 211, error="broken"), event("clock", 3, "completed", 400)],
+    ]
+    seen = []
+    for lot in lots:
+        rows = spark.createDataFrame(lot, jobs.EVENTS.replace("ts timestamp", "ts string")).withColumn("ts", F.col("ts").cast("timestamp"))
+        rows.write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(jobs.EVENTS).parquet(str(tmp_path / "in"))
+        jobs.run_tracking(source, str(tmp_path / "out"), str(tmp_path / "checkpoint"), 3600, "1 hour").awaitTermination()
+        seen.append({r["job_id"]: r for r in jobs.job_table(spark, str(tmp_path / "out")).collect()})
+    assert (seen[0]["a"]["stage"], seen[0]["a"]["progress_pct"], seen[0]["a"]["status"]) == ("tokenizing", 49, "processing")
+    assert seen[0]["c"]["status"] == seen[1]["c"]["status"] == "completed"
+    # The second lot moves the watermark to 1:40: a (0:30 and an hour) and b have failed, d (1:02) has not.
+    assert {j: seen[1][j]["status"] for j in "abd"} == {"a": "failed", "b": "failed", "d": "queued"}
+    assert seen[1]["a"]["error"] == "no progress for 3600 seconds" and seen[1]["a"]["progress_pct"] == 100
+    # b reports again, and then says nothing until the clock is far ahead.
+    assert (seen[2]["d"]["status"], seen[2]["d"]["error"]) == ("failed", "broken")
+    assert (seen[2]["b"]["status"], seen[2]["b"]["updated_at"].hour, seen[2]["clock"]["status"]) == ("failed", 3, "completed")

@@ -212,6 +212,46 @@ def stream_jobs(spark, sf):
     return spark.read.parquet(f"{out}/state")
 
 
+# Seven events in a row are a job: one of four stops after its fifth event, one of four fails. A day without news is a time-out.
+_LOTS = """jev AS (SELECT event_id // 7 AS j, event_id % 7 AS step, event_id, ts FROM events)"""
+_JOB_STAGES = ["queued", "parsing", "tokenizing", "tokenizing", "tokenizing", "building_graph", "completed"]
+_DAY = 86400
+_PROGRESS = f"""WITH {_LOTS},
+  told AS (SELECT *, CASE WHEN step = 6 AND j % 4 = 2 THEN 'failed' ELSE {S.values_list(_JOB_STAGES)}[step + 1] END AS stage FROM jev WHERE NOT (j % 4 = 3 AND step > 4)),
+  last AS (SELECT j, arg_max(stage, event_id) AS stage, arg_max(step, event_id) AS step, max(ts) AS ts, min(ts) AS created FROM told GROUP BY 1),
+  timed AS (SELECT *, stage NOT IN ('completed', 'failed') AND epoch_ms(ts) + 2000 * {_DAY} <= (SELECT epoch_ms(max(ts)) FROM told) AS late FROM last)
+  SELECT 'job-' || j AS job_id, CASE WHEN late THEN 'failed' WHEN stage IN ('queued', 'completed', 'failed') THEN stage ELSE 'processing' END AS status, CASE WHEN late THEN 'failed' ELSE stage END AS stage,
+    CASE WHEN late THEN 100 WHEN stage = 'tokenizing' THEN 35 + ((step - 1) * 35) // 7 WHEN stage = 'queued' THEN 0 WHEN stage = 'parsing' THEN 15 WHEN stage = 'building_graph' THEN 80 ELSE 100 END::BIGINT AS progress_pct,
+    CASE WHEN late THEN 'no progress for {_DAY} seconds' WHEN stage = 'failed' THEN 'broken header' END AS error, strftime(created, '%Y-%m-%dT%H:%M:%S.%f') AS created FROM timed"""
+
+
+@query("job_progress", _PROGRESS)
+def job_progress(spark, sf):
+    """Jobs whose events come in two lots, out of order around the cut, some twice; stalled ones time out."""
+    from tokengraph.streaming import jobs
+
+    e = D.table(spark, sf, "events").select(F.col("event_id"), F.col("ts").cast("timestamp").alias("ts"))
+    job, step = F.floor(F.col("event_id") / 7), F.col("event_id") % 7
+    stage = F.when((step == 6) & (job % 4 == 2), "failed").otherwise(F.element_at(F.array(*[F.lit(x) for x in _JOB_STAGES]), (step + 1).cast("int")))
+    told = e.filter(~((job % 4 == 3) & (step > 4))).select(
+        F.concat(F.lit("job-"), job.cast("string")).alias("job_id"), F.col("event_id").alias("seq"), F.concat(F.lit("f"), job.cast("string"), F.lit(".md")).alias("filename"), stage.alias("stage"),
+        (step - 1).cast("bigint").alias("done"), F.lit(7).cast("bigint").alias("total"), F.when(stage == "failed", "broken header").alias("error"), "ts",
+    )
+    ends = e.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    middle = ends["low"] + (ends["high"] - ends["low"]) * 0.6
+    near = F.abs(F.unix_seconds("ts") - F.unix_seconds(F.lit(middle))) < _DAY // 2
+    swapped = near & (F.col("seq") % 7).isin(2, 5)  # these come early or late, within the delay
+    first = (F.col("ts") <= F.lit(middle)) != swapped
+    base = _unique(_scratch(spark, "job-events", sf))
+    again = told.filter(first & (F.col("seq") % 5 == 0))
+    for lot in (told.filter(first), told.filter(~first).unionByName(again)):
+        lot.write.mode("append").parquet(f"{base}/in")
+        source = spark.readStream.schema(jobs.EVENTS).parquet(f"{base}/in")
+        jobs.run_tracking(source, f"{base}/out", f"{base}/checkpoint", _DAY, "1 day").awaitTermination()
+    table = jobs.job_table(spark, f"{base}/out")
+    return table.select("job_id", "status", "stage", F.col("progress_pct").cast("bigint").alias("progress_pct"), "error", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("created"))
+
+
 def _unique(base: str) -> str:
     import uuid
 
