@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokengraph.functions import constants as K
 from tokengraph.functions.hashing import TokenKey
 from tokengraph.functions.ordered import number_rows
+from tokengraph.functions.text import py_trim
 from tokengraph.operators import answer as A
 from tokengraph.operators import detect as DT
 from tokengraph.operators import graph as G
@@ -18,9 +19,11 @@ from tokengraph.operators import guard, registry, segment, tables, tokens, tripl
 from tokengraph.operators import retrieve as R
 from tokengraph.operators import vault as V
 from tokengraph.operators.audit import append_events, json_string
+from tokengraph.operators.composite import header_predicate
 from tokengraph.session import cut
 from tokengraph.sources import documents as SD
 from tokengraph.sources.live import LiveStore
+from tokengraph.sources.many_tables import content_heads, read_tables
 
 
 @dataclass
@@ -39,38 +42,40 @@ class Ingested:
     entities: DataFrame
 
 
-def document_sentences(docs: DataFrame) -> DataFrame:
-    """(doc_id, sent_idx, text) of (doc_id, body): prose sentences, then one sentence per table fact."""
-    prose = segment.split_sentences(docs.select("doc_id", segment.without_tables(F.col("body")).alias("body")), "doc_id", "body")
-    key = ["doc_id", "table_idx", "row_idx"]
-    rows = segment.table_rows(docs, "doc_id", "body").filter("row_idx > 0")
+def document_sentences(docs: DataFrame, department: str | None = None, strip_headings: bool = True, parts: str | None = None) -> DataFrame:
+    """(doc_id, sent_idx, text) of (doc_id, body): prose sentences, then one sentence per table fact; places count from 0 per document.
+
+    ``parts`` names a column that orders several bodies of one document. ``department`` names a column that rows of a
+    table belong to when they state none.
+    """
+    base = docs.select("doc_id", "body", (F.col(parts) if parts else F.lit(0)).alias("part"), (F.col(department) if department else F.lit(None).cast("string")).alias("department"))
+    spans = base.withColumn("_key", F.struct("doc_id", "part", "department"))
+    prose = segment.split_sentences(spans.select("_key", segment.without_tables(F.col("body")).alias("body")), "_key", "body", strip_headings)
+    rows = segment.table_rows(spans, "_key", "body").filter("row_idx > 0").select("_key.*", "table_idx", "row_idx", "cells", "headers")
+    key = ["doc_id", "part", "department", "table_idx", "row_idx"]
     facts = tables.expand_facts(tables.unpivot_rows(rows, key), key)
-    worded = cut(tables.row_sentences(facts, key))
-    prose = cut(prose)
-    # Table sentences follow the prose. Their place is built from table, row, column and part with the widths found in
-    # the data, so no table is too wide or long for it and neighbouring sentences stay neighbours in the blocks of a scan.
-    w = worded.agg(*[F.coalesce(F.max(c), F.lit(0)).cast("bigint").alias(c) for c in ("row_idx", "col_idx", "part_idx")]).first()
-    after = prose.agg(F.coalesce(F.max("sent_idx"), F.lit(0))).first()[0] + 1
-    place = F.col("table_idx").cast("bigint")
-    for c in ("row_idx", "col_idx", "part_idx"):
-        place = place * (w[c] + 1) + F.col(c)
-    return prose.select("doc_id", F.col("sent_idx").cast("bigint").alias("sent_idx"), "text").unionByName(
-        worded.select("doc_id", (place + after).alias("sent_idx"), "text")
+    worded = tables.row_sentences(facts, ["doc_id", "part", "table_idx", "row_idx"], "department" if department else None)
+    zero = F.lit(0)
+    placed = prose.select("_key.doc_id", "text", zero.alias("kind"), F.col("_key.part").alias("part"), zero.alias("t"), zero.alias("r"), F.col("sent_idx").alias("c"), zero.alias("p")).unionByName(
+        worded.select("doc_id", "text", F.lit(1).alias("kind"), "part", F.col("table_idx").alias("t"), F.col("row_idx").alias("r"), F.col("col_idx").alias("c"), F.col("part_idx").alias("p"))
     )
+    return number_rows(placed, ["kind", "part", "t", "r", "c", "p"], "sent_idx", ["doc_id"]).select("doc_id", "sent_idx", "text")
 
 
-def ingest_documents(
-    files: DataFrame, key: TokenKey, vault_key: bytes, edge_limit: int | None = K.EDGE_LIMIT, stored: DataFrame | Callable[[DataFrame], DataFrame] | None = None
-) -> Ingested:
-    """Header + body files (path, content) to vault, graph and registry.
-
-    ``stored`` is the sealed vault so far, or gives the part of it that may clash with some entities: its tokens stay as
-    they are, and new values whose token would clash with one of them, or with each other, get longer tokens before any
-    text is rewritten.
+@dataclass
+class Prepared:
+    """What the sources make of their files: documents with settings, their sentences with known spans, and what was refused.
 
-    The tokenized sentences are materialised once; vault, triples and counts all read that table. With ``edge_limit``
-    the graph is checked before anything is returned for publishing.
+    ``docs``: doc_id, title, classification, department, author, created, namespace, categories, min_confidence.
     """
+
+    docs: DataFrame
+    sentences: DataFrame
+    rejects: DataFrame
+
+
+def prepare_documents(files: DataFrame) -> Prepared:
+    """Header + body files (path, content)."""
     good, rejects = SD.parse_documents(files)
     h = F.col("header")
     docs = cut(
@@ -80,8 +85,90 @@ def ingest_documents(
             DT.resolve_categories(h["entity_categories"]).alias("categories"), h["min_confidence"].alias("min_confidence"),
         )
     )
+    return Prepared(docs.drop("body"), _unhinted(document_sentences(docs)), rejects)
+
+
+def _unhinted(sentences: DataFrame) -> DataFrame:
+    return sentences.withColumn("hints", F.lit(None).cast("array<struct<start:int,end:int,entity_type:string>>"))
+
+
+# What is looked for in files that bring no settings of their own.
+DEFAULT_CATEGORIES = ["PERSON", "EMAIL", "PHONE", "SSN", "SALARY", "LOCATION", "ORGANIZATION", "CREDIT_CARD"]
+
+
+def _settings() -> list[Column]:
+    return [DT.resolve_categories(F.array(*[F.lit(c) for c in DEFAULT_CATEGORIES])).alias("categories"), F.lit(K.DEFAULT_MIN_CONFIDENCE).alias("min_confidence")]
+
+
+def prepare_tables(spark: SparkSession, path: str, department: str | None = None, author: str | None = None, classification: str | None = None) -> Prepared:
+    """Delimited tables below ``path``: a document per file, a sentence per fact, spans typed by their columns.
+
+    A column's type comes from its header and its first rows; facts unpacked from a composite cell bring their own.
+    """
+    rows, rejects = read_tables(spark, path)
+    rows = cut(rows)
+    name = F.regexp_replace(F.coalesce(F.try_url_decode("path"), "path"), r"^.*/", "")
+    docs = cut(
+        content_heads(spark, path).join(rows.filter("row_idx = 0").select("path"), "path").select(
+            "path", SD.document_id("CSV", name, F.col("head")).alias("doc_id"), SD.title_from_name(name).alias("title"),
+            SD.resolve_classification(F.lit(classification)).alias("classification"), SD.resolve_department(F.lit(department)).alias("department"),
+            SD.resolve_author(F.lit(author), F.lit(None).cast("string")).alias("author"), F.current_date().alias("created"), SD.namespace("csv", name).alias("namespace"), *_settings(),
+        )
+    )
+    kinds = tables.column_types(rows, ["path"], K.SAMPLE_ROWS).withColumn("predicate", header_predicate(F.col("header")))
+    # A row per table, as long as its header; of columns with one predicate the last one's type holds.
+    last = kinds.filter("col_idx > 0 AND entity_type IS NOT NULL").groupBy("path", "predicate").agg(F.max_by("entity_type", "col_idx").alias("t"))
+    typed = last.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("predicate", "t"))).alias("types"))
+    subject = kinds.filter("col_idx = 0").select("path", F.col("entity_type").alias("subject_type"))
+    info = docs.select("path", "doc_id").join(typed, "path", "left").join(subject, "path", "left")
+    key = ["doc_id", "row_idx", "types", "subject_type"]
+    facts = tables.expand_facts(tables.unpivot_rows(rows.join(info, "path"), key), key)
+    text = tables.fact_sentence(F.col("subject"), F.col("predicate"), F.col("value"))
+    kind = F.when(F.col("composite"), F.col("fact_type")).otherwise(F.try_element_at("types", F.col("predicate")))
+    worded = facts.withColumn("text", text).select(
+        "doc_id", "row_idx", "col_idx", "part_idx", "text", tables.typed_spans(F.col("text"), F.col("subject"), F.col("value"), F.col("subject_type"), kind).alias("hints")
+    )
+    placed = cut(number_rows(worded, ["row_idx", "col_idx", "part_idx"], "sent_idx", ["doc_id"]).select("doc_id", "sent_idx", "text", "hints"))
+    return Prepared(docs.drop("path"), placed, rejects.select("path", F.array("reason").alias("reasons")))
+
+
+def prepare_pages(pages: DataFrame) -> Prepared:
+    """Page texts (path, page, text, title, author, creation_date): a document per path, tables of a roster page bound to its department."""
+    first = pages.groupBy("path").agg(
+        F.min_by(F.struct("text", "title", "author", "creation_date"), "page").alias("f"), F.max(F.trim(F.coalesce("text", F.lit(""))) != "").alias("filled")
+    )
+    name = F.regexp_replace("path", r"^.*/", "")
+    nothing = F.lit(None).cast("string")
+    docs = cut(
+        first.filter("filled").select(
+            "path", SD.document_id("PDF", name, F.encode(F.coalesce("f.text", F.lit("")), "UTF-8")).alias("doc_id"),
+            SD.resolve_title(nothing, F.col("f.title"), py_trim(F.coalesce("f.text", F.lit(""))), name).alias("title"), SD.resolve_classification(nothing).alias("classification"),
+            SD.resolve_department(nothing).alias("department"), SD.resolve_author(nothing, F.col("f.author")).alias("author"),
+            SD.resolve_date(F.col("f.creation_date")).alias("created"), SD.namespace("pdf", name).alias("namespace"), *_settings(),
+        )
+    )
+    bodies = pages.join(docs.select("path", "doc_id"), "path").select("doc_id", "page", F.col("text").alias("body"), SD.page_department(F.col("text")).alias("section"))
+    sentences = document_sentences(bodies, "section", strip_headings=False, parts="page")
+    rejects = first.filter("NOT filled").select("path", F.array(F.lit("no text")).alias("reasons"))
+    return Prepared(docs.drop("path"), cut(_unhinted(sentences)), rejects)
+
+
+def ingest_documents(
+    files: DataFrame | Prepared, key: TokenKey, vault_key: bytes, edge_limit: int | None = K.EDGE_LIMIT, stored: DataFrame | Callable[[DataFrame], DataFrame] | None = None
+) -> Ingested:
+    """Header + body files (path, content), or what ``prepare_tables`` or ``prepare_pages`` made, to vault, graph and registry.
+
+    ``stored`` is the sealed vault so far, or gives the part of it that may clash with some entities: its tokens stay as
+    they are, and new values whose token would clash with one of them, or with each other, get longer tokens before any
+    text is rewritten.
+
+    The tokenized sentences are materialised once; vault, triples and counts all read that table. With ``edge_limit``
+    the graph is checked before anything is returned for publishing.
+    """
+    ready = files if isinstance(files, Prepared) else prepare_documents(files)
+    docs, rejects = ready.docs, ready.rejects
     meta = docs.select("doc_id", "categories", "min_confidence")
-    found = DT.detect(document_sentences(docs).join(meta, "doc_id"), categories="categories", min_confidence="min_confidence")
+    found = DT.detect(ready.sentences.join(meta, "doc_id"), categories="categories", min_confidence="min_confidence", hints="hints")
     place = ["doc_id", "sent_idx"]
     raw = cut(tokens.tokenize(found, key).select(*place, "text", "entities", "tokenized"))
     seen = DT.explode_entities(raw, *place)
@@ -138,7 +225,7 @@ def append_audit(store: LiveStore, events: DataFrame) -> tuple[DataFrame, list[i
     return store.read("audit", buckets).unionByName(fresh), buckets
 
 
-def ingest_batch(store: LiveStore, files: DataFrame, key: TokenKey, vault_key: bytes, batch: int, edge_limit: int | None = K.EDGE_LIMIT) -> Ingested | None:
+def ingest_batch(store: LiveStore, files: DataFrame | Prepared, key: TokenKey, vault_key: bytes, batch: int, edge_limit: int | None = K.EDGE_LIMIT) -> Ingested | None:
     """One batch of files into all stores, published together; None if the pointer names this batch or a later one.
 
     Stored rows stay the first writers of tokens, edges and nodes. Of every table only the buckets that the batch touches
