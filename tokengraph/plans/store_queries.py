@@ -133,3 +133,36 @@ def degree_breaker_stored(spark, sf):
     edges = G.edges_from(D.staff_facts(spark, sf))
     stored = G.add_degrees(spark.createDataFrame([], "id string, degree bigint"), edges.filter("ord % 2 = 0"))
     return G.breaker_violations(edges.filter("ord % 2 = 1"), _LIMIT, stored)
+
+
+# --- delimited tables -----------------------------------------------------------------------------------------------
+# One semicolon table per hundred people; a third of the notes runs over a line end, a third holds quotes.
+_NOTES = "CASE k % 3 WHEN 0 THEN 'seen twice,' || chr(10) || 'last on day ' || k WHEN 1 THEN 'quiet \"one\"; still here' ELSE '' END"
+S.CTE["csvfacts"] = (
+    ["fstaff"],
+    f"""SELECT n, row_number() OVER (PARTITION BY n ORDER BY k, c) - 1 AS sent_idx, text, ents FROM (
+      SELECT n, k, 1 AS c, {S.token(S.q('PERSON'), 'name')} || ' earns ' || {S.token(S.q('SALARY'), 'salary')} || '.' AS text, 2 AS ents FROM fstaff
+      UNION ALL SELECT n, k, 2, {S.token(S.q('PERSON'), 'name')} || ' has email ' || {S.token(S.q('EMAIL_ADDRESS'), 'email')} || '.', 2 FROM fstaff
+      UNION ALL SELECT n, k, 3, {S.token(S.q('PERSON'), 'name')} || ' reports to ' || {S.token(S.q('PERSON'), 'manager')} || '.', 2 FROM fstaff WHERE manager IS NOT NULL
+      UNION ALL SELECT n, k, 4, {S.token(S.q('PERSON'), 'name')} || ' has notes ' || {_NOTES} || '.', 1 FROM fstaff WHERE k % 3 <> 2)""",
+)
+
+
+@query(
+    "csv_ingest",
+    S.sql(["csvfacts"], "SELECT 'sentence' AS kind, text, sent_idx AS n FROM csvfacts UNION ALL SELECT 'file', count(*)::VARCHAR, sum(ents)::BIGINT FROM csvfacts GROUP BY csvfacts.n"),
+)
+def csv_ingest(spark, sf):
+    """Many tables read in one job, their columns typed, every fact worded, tokenized and counted."""
+    path = _scratch(spark, "tables", sf)
+    k = F.col("k")
+    notes = F.when(k % 3 == 0, F.concat(F.lit("seen twice,\nlast on day "), k.cast("string"))).when(k % 3 == 1, 'quiet "one"; still here').otherwise("")
+    rows = D.staff(spark, sf).select(
+        F.floor(k / D.PER_DOCUMENT).alias("n"), "k", F.col("name").alias("Employee"), F.col("salary").alias("Salary"), F.col("email").alias("Email"), F.col("manager").alias("Manager"), notes.alias("Notes")
+    )
+    written = rows.repartition("n").sortWithinPartitions("n", "k").drop("k").write.partitionBy("n")
+    written.options(header=True, sep=";", quote='"', escape='"', emptyValue="", nullValue="").csv(path)
+    done = flows.ingest_documents(flows.prepare_tables(spark, path), D.KEY, D.AES_KEY, None)
+    sentences = done.sentences.select(F.lit("sentence").alias("kind"), "text", F.col("sent_idx").alias("n"))
+    sizes = done.sentences.groupBy("doc_id").agg(F.count("*").cast("string").alias("text"))
+    return sentences.unionByName(sizes.join(done.registry, "doc_id").select(F.lit("file").alias("kind"), "text", F.col("entity_count").alias("n")))
