@@ -65,6 +65,9 @@ def test_chunked_text_holds_every_line_once(spark):
     df = spark.range(1000).select((F.col("id") % 2).alias("k"), F.col("id").cast("string").alias("line"))
     rows = chunked_text(df, ["k"], "line", "text", per_chunk=50).collect()
     assert sorted(int(x) for r in rows for x in r.text.split("\n")) == list(range(1000))
+    for k in (0, 1):  # chunks put together are the whole text in order
+        mine = "\n".join(r.text for r in sorted(rows, key=lambda r: r.chunk) if r.k == k)
+        assert mine.split("\n") == sorted(str(i) for i in range(k, 1000, 2))
     assert len(rows) > 10
 
 

@@ -69,14 +69,17 @@ def nth_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n)
 
 
-def chunked_text(lines: DataFrame, keys: list[str], line: str, out: str = "text", per_chunk: int = 1000) -> DataFrame:
-    """Concatenate lines per key into chunks of bounded size: (keys…, chunk, n_lines, out).
+def chunked_text(
+    lines: DataFrame, keys: list[str], line: str, out: str = "text", per_chunk: int = 1000, order: list[str] | None = None, glue: str = "\n"
+) -> DataFrame:
+    """Concatenate lines per key, in ``order``, into chunks of bounded size: (keys…, chunk, n_lines, out).
 
-    Every line is in exactly one chunk; the number of chunks of a key follows from its line count, so a key with very
-    many lines spreads over many tasks.
+    The chunk of a line follows from its place in the key alone, so the chunks put together are the whole ordered text,
+    whatever its length, and a key with very many lines is numbered and joined by many tasks. Without ``order`` lines are
+    sorted by themselves.
     """
-    sizes = lines.groupBy(*keys).agg(F.ceil(F.count("*") / F.lit(per_chunk)).cast("bigint").alias("_chunks"))
-    placed = lines.join(sizes, keys).withColumn("chunk", F.pmod(F.xxhash64(line), F.col("_chunks")))
-    return placed.groupBy(*keys, "chunk").agg(
-        F.count("*").alias("n_lines"), F.array_join(F.sort_array(F.collect_list(line)), "\n").alias(out)
-    )
+    columns = [*keys, line, *[o for o in order or [] if o != line and o not in keys]]
+    placed = number_rows(lines.select(*columns), [*(order or []), *([] if order and line in order else [line])], "_place", keys)
+    chunks = placed.withColumn("chunk", F.floor(F.col("_place") / per_chunk).cast("bigint")).groupBy(*keys, "chunk")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_place", F.col(line).alias("l")))), lambda x: x["l"]), glue)
+    return chunks.agg(F.count("*").alias("n_lines"), text.alias(out))

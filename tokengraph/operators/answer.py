@@ -275,10 +275,10 @@ def list_items(questions: DataFrame, index: DataFrame) -> DataFrame:
 
 
 def list_answers(questions: DataFrame, items: DataFrame, per_chunk: int = 1000) -> DataFrame:
-    """(query_id, chunk, answer): a list answer in blocks of bounded size, the heading on the first."""
+    """(query_id, chunk, answer): a list answer in order of assertion, in blocks of bounded size, the heading on the first."""
     lists = questions.filter("is_list")
     heading = F.when(F.contains("q", F.lit("promotion")), K.PROMOTION_HEADER).otherwise(K.LIST_HEADER)
-    blocks = chunked_text(items, ["query_id"], "item", "text", per_chunk)
+    blocks = chunked_text(items, ["query_id"], "item", "text", per_chunk, ["first_ord", "subject"])
     full = blocks.join(lists.select("query_id", heading.alias("_h")), "query_id").select(
         "query_id",
         "chunk",
@@ -320,18 +320,9 @@ def retention_answers(questions: DataFrame, index: DataFrame, per_chunk: int = 1
         F.sum(is_role.cast("int")).alias("n_roles"),
         F.array_join(F.transform(F.array_sort(F.collect_set(F.when(is_role, F.struct(rank.alias("k"), "subject")))), lambda x: x["subject"]), " and ").alias("roles"),
     )
-    # Token recipients are named in blocks of bounded size, one sentence per block, so that none is left out.
+    # Token recipients are named in their order in blocks of bounded size, one sentence per block, so that none is left out.
     tokens = used.filter(is_token).select("query_id", rank.alias("k"), "subject")
-    blocks = tokens.groupBy("query_id").agg(F.ceil(F.count("*") / F.lit(per_chunk)).cast("bigint").alias("_n"))
-    labels = (
-        tokens.join(blocks, "query_id")
-        .groupBy("query_id", F.pmod(F.xxhash64("subject"), F.col("_n")).alias("chunk"))
-        .agg(
-            F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct("k", "subject"))), lambda x: x["subject"]), " and "
-            ).alias("tokens")
-        )
-    )
+    labels = chunked_text(tokens, ["query_id"], "subject", "tokens", per_chunk, ["k", "subject"], " and ").drop("n_lines")
     terms = F.coalesce("pct", "any", F.lit(K.DEFAULT_RETENTION_TERMS))
     terms = F.trim(F.regexp_replace(terms, r"^[a-z]\s+", ""))
     terms = F.when(F.contains(F.lower(terms), F.lit("close")), terms).otherwise(F.concat(terms, F.lit(" upon deal close")))

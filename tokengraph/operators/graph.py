@@ -194,26 +194,31 @@ def compose(per_seed: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def context_lines(node_rows: DataFrame, edge_rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Text lines of a subgraph: (keys…, section, line); section 1 entities, 2 relationships.
+    """Text lines of a subgraph: (keys…, section, ord, line); section 1 entities, 2 relationships, each in order of assertion.
 
-    ``node_rows``: keys…, node, namespace; ``edge_rows``: keys…, source, predicate, target.
+    ``node_rows``: keys…, node, namespace; ``edge_rows``: keys…, source, predicate, target, ord. An entity stands where
+    the first edge of the subgraph names it, one without an edge before all others.
     """
-    entities = node_rows.select(
+    side = F.explode(F.array(F.struct(F.col("source").alias("node"), F.lit(0).alias("side")), F.struct(F.col("target").alias("node"), F.lit(1).alias("side")))).alias("_e")
+    named = edge_rows.select(*keys, "ord", side).groupBy(*keys, F.col("_e.node").alias("node")).agg(F.min(F.struct(F.col("ord").alias("at"), F.col("_e.side").alias("side"))).alias("ord"))
+    entities = node_rows.select(*keys, "node", "namespace").distinct().join(named, [*keys, "node"], "left").select(
         *keys,
         F.lit(1).alias("section"),
+        "ord",
         F.concat(F.lit("- "), "node", F.lit(" (namespace: "), F.coalesce("namespace", F.lit("unknown")), F.lit(")")).alias("line"),
-    ).distinct()
-    relations = edge_rows.select(
+    )
+    relations = edge_rows.groupBy(*keys, "source", "predicate", "target").agg(F.min("ord").alias("ord")).select(
         *keys,
         F.lit(2).alias("section"),
+        F.struct(F.col("ord").alias("at"), F.lit(0).alias("side")).alias("ord"),
         F.concat(F.lit("- "), "source", F.lit(" --["), "predicate", F.lit("]--> "), "target").alias("line"),
-    ).distinct()
+    )
     return entities.unionByName(relations)
 
 
 def render_context(lines: DataFrame, keys: list[str], per_chunk: int = 1000) -> DataFrame:
-    """(keys…, section, chunk, text): the context as text blocks of bounded size, headings on the first chunk."""
-    chunks = chunked_text(lines, [*keys, "section"], "line", "text", per_chunk)
+    """(keys…, section, chunk, text): the context in order of assertion as text blocks of bounded size, headings on the first chunk."""
+    chunks = chunked_text(lines, [*keys, "section"], "line", "text", per_chunk, ["ord", "line"])
     heading = F.when(F.col("chunk") != 0, "").when(
         F.col("section") == 1, "# Knowledge Graph Context\n\n## Entities\n"
     ).otherwise("## Relationships\n")

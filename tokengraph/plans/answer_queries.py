@@ -145,7 +145,7 @@ def query_subgraph(spark, sf):
 )
 def query_context(spark, sf):
     _, nodes, _, _, reached, sub = _retrieved(spark, sf)
-    return R.build_context(reached, sub, nodes).withColumn("section", F.col("section").cast("bigint"))
+    return R.build_context(reached, sub, nodes).drop("ord").withColumn("section", F.col("section").cast("bigint"))
 
 
 @query("unmatched_queries", S.sql(["kwq", "nodes"], f"SELECT query_id, {S.q(K.NO_MATCH_CONTEXT)} AS context FROM kwq WHERE query_id NOT IN (SELECT query_id FROM kw JOIN nodes ON contains(lower(id), keyword))", _words("kwq", "query_text") + f", kw AS ({_KW})"))
@@ -328,6 +328,23 @@ def list_by_department(spark, sf):
     return A.list_items(A.question_columns(prepared), index).select("query_id", "subject", "item")
 
 
+@query(
+    "list_text",
+    S.sql(
+        ["litems"],
+        f"""SELECT query_id, chunk, CASE WHEN chunk = 0 THEN {S.q(K.LIST_HEADER)} || chr(10) || chr(10) ELSE '' END || string_agg(item, chr(10) ORDER BY first_ord, subject) AS answer FROM (
+        SELECT query_id, subject, item, first_ord, (row_number() OVER (PARTITION BY query_id ORDER BY first_ord, subject) - 1) // 100 AS chunk FROM litems
+        JOIN (SELECT query_id, subject, min(first_ord) AS first_ord FROM fidx GROUP BY 1, 2) USING (query_id, subject)) GROUP BY 1, 2
+        UNION ALL SELECT query_id, 0, {S.q(K.NO_LIST_ANSWER)} FROM qq WHERE is_list AND query_id NOT IN (SELECT query_id FROM litems)""",
+    ),
+)
+def list_text(spark, sf):
+    """Whole list answers in order of assertion, in blocks of a hundred lines."""
+    prepared, index = _index(spark, sf)
+    q = A.question_columns(prepared)
+    return A.list_answers(q, A.list_items(q, index), per_chunk=100)
+
+
 # List questions with filters over all staff facts as one subgraph per question.
 _LISTQ = [
     ("promo", "List the employees with a promotion"),

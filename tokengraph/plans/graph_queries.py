@@ -139,30 +139,31 @@ def subgraph_context(spark, sf):
     done = G.walk_graph(edges, nodes, seeds.withColumn("depth", F.lit(2)), 2)
     named = G.reached_by(seeds, done, ["seed"]).join(nodes.select(F.col("id").alias("node"), "namespace"), "node")
     lines = G.context_lines(named, G.induced_by(seeds, done, edges, ["seed"]), ["seed"])
-    return lines.withColumn("section", F.col("section").cast("bigint"))
+    return lines.drop("ord").withColumn("section", F.col("section").cast("bigint"))
 
 
 @query(
     "context_blocks",
     S.sql(
         ["nodes", "adj"],
-        "SELECT seed, section, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM (SELECT DISTINCT seed, 1::BIGINT AS section, '- ' || node || ' (namespace: ' || namespace || ')' AS line FROM reach JOIN nodes ON id = node "
-        "UNION ALL SELECT DISTINCT a.seed, 2, '- ' || source || ' --[' || predicate || ']--> ' || target FROM edges JOIN reach a ON a.node = source JOIN reach b ON b.node = target AND a.seed = b.seed) GROUP BY 1, 2",
-        _SEEDS + _WALK,
+        """SELECT seed, section, chunk, CASE WHEN chunk <> 0 THEN '' WHEN section = 1 THEN '# Knowledge Graph Context' || chr(10) || chr(10) || '## Entities' || chr(10) ELSE '## Relationships' || chr(10) END
+          || string_agg(line, chr(10) ORDER BY pos NULLS FIRST, side, line) AS text FROM (
+        SELECT *, (row_number() OVER (PARTITION BY seed, section ORDER BY pos NULLS FIRST, side, line) - 1) // 10 AS chunk FROM (
+          SELECT r.seed, 1::BIGINT AS section, named.p[1] AS pos, named.p[2] AS side, '- ' || node || ' (namespace: ' || namespace || ')' AS line FROM reach r JOIN nodes ON id = node LEFT JOIN named ON named.seed = r.seed AND named.id = node
+          UNION ALL SELECT seed, 2, ord, 0, '- ' || source || ' --[' || predicate || ']--> ' || target FROM inside)) GROUP BY 1, 2, 3""",
+        _SEEDS + _WALK + """, inside AS MATERIALIZED (SELECT a.seed, edges.* FROM edges JOIN reach a ON a.node = source JOIN reach b ON b.node = target AND a.seed = b.seed),
+  named AS MATERIALIZED (SELECT seed, id, min([ord, side]) AS p FROM (SELECT seed, source AS id, ord, 0 AS side FROM inside UNION ALL SELECT seed, target, ord, 1 FROM inside) GROUP BY 1, 2)""",
     ),
 )
 def context_blocks(spark, sf):
-    """Rendered text blocks hold every line once."""
+    """Whole rendered context in order of assertion, in blocks of ten lines."""
     nodes, edges = D.staff_graph(spark, sf)
     seeds = _seeds(spark, sf)
     done = G.walk_graph(edges, nodes, seeds.withColumn("depth", F.lit(2)), 2)
     named = G.reached_by(seeds, done, ["seed"]).join(nodes.select(F.col("id").alias("node"), "namespace"), "node")
     lines = G.context_lines(named, G.induced_by(seeds, done, edges, ["seed"]), ["seed"])
     blocks = G.render_context(lines, ["seed"], per_chunk=10)
-    head = F.when(F.col("chunk") != 0, 0).when(F.col("section") == 1, 39).otherwise(17)
-    return blocks.groupBy("seed", F.col("section").cast("bigint").alias("section")).agg(
-        F.sum("n_lines").alias("n_lines"), F.sum(F.length("text") - head - (F.col("n_lines") - 1)).cast("bigint").alias("n_chars")
-    )
+    return blocks.select("seed", F.col("section").cast("bigint").alias("section"), "chunk", "text")
 
 
 # --- deletion -------------------------------------------------------------------------------------------------------
