@@ -43,9 +43,9 @@ def test_word_and_substring_matching(spark):
 
 
 def test_retention_terms(spark):
-    got = triples(spark, "The chief executive and the CFO were offered a retention bonus equal to 100% of base salary at the deal close.")
-    assert ("CEO", "HAS_RETENTION_BONUS", "100% of base salary at the deal close") in got
-    assert ("CFO", "HAS_RETENTION_BONUS", "100% of base salary at the deal close") in got
+    got = triples(spark, "The chief executive and the CFO were offered a retention bonus equal to 60% of fixed pay at the deal close.")
+    assert ("CEO", "HAS_RETENTION_BONUS", "60% of fixed pay at the deal close") in got
+    assert ("CFO", "HAS_RETENTION_BONUS", "60% of fixed pay at the deal close") in got
 
 
 def test_carry_forward_equals_plain_fold_with_tiny_blocks(spark):
@@ -96,7 +96,7 @@ def test_answers(spark):
     got = ask(
         spark, "What is Tamsin Oyelaran's SSN?", "What is Ottilie Brandvold's salary?", "What is the reason for Ottilie Brandvold's compensation?",
         "What is the reason for Tamsin Oyelaran's compensation?", "List all employees and their SSNs", "Tell me about Ottilie Brandvold",
-        "Which employees got a salary increase specifically because of a promotion?", "What is Tamsin Oyelaran's Social Security Number?",
+        "Which employees were raised through a promotion?", "What is Tamsin Oyelaran's Social Security Number?",
     )
     assert got[0] == "Tamsin Oyelaran's SSN is 931-22-4180."
     assert got[1] == "Ottilie Brandvold earns $121,750."
@@ -109,11 +109,11 @@ def test_answers(spark):
 
 
 def test_chain_with_base_name_and_retention(spark):
-    facts = [("Yusuf Ben", "REPORTS_TO", "Tamsin Oyelaran-Voss"), ("Tamsin Oyelaran", "REPORTS_TO", "Ottilie Brandvold"), ("CEO", "HAS_RETENTION_BONUS", "100% of base salary upon deal close"), ("CFO", "HAS_RETENTION_BONUS", "o 100% of base salary")]
-    got = ask(spark, "Who does Yusuf Ben-Amara report to, and who does that person report to?", "What retention bonus terms were offered to the CEO and CFO?", "What retention terms were offered to the CFO?", facts=facts)
+    facts = [("Yusuf Ben", "REPORTS_TO", "Tamsin Oyelaran-Voss"), ("Tamsin Oyelaran", "REPORTS_TO", "Ottilie Brandvold"), ("CEO", "HAS_RETENTION_BONUS", "35% of yearly pay at deal close"), ("CFO", "HAS_RETENTION_BONUS", "o 35% of yearly pay")]
+    got = ask(spark, "Up the chain, whom must Yusuf Ben-Amara report to?", "Describe the retention package of the CEO and the CFO.", "Describe the retention offer to the CFO.", facts=facts)
     assert got[0] == "Yusuf Ben reports to Tamsin Oyelaran-Voss, who reports to Ottilie Brandvold."
-    assert got[1] == "Chief Executive Officer and Chief Financial Officer were offered a retention bonus equal to 100% of base salary upon deal close."
-    assert got[2] == "the CFO was offered a retention bonus equal to 100% of base salary upon deal close."
+    assert got[1] == "Chief Executive Officer and Chief Financial Officer were offered a retention bonus equal to 35% of yearly pay at deal close."
+    assert got[2] == "the CFO was offered a retention bonus equal to 35% of yearly pay upon deal close."
 
 
 def test_retention_value_with_a_comma_stays_whole(spark):

@@ -102,7 +102,7 @@ def test_repeated_predicate_keeps_last_value(spark):
     [
         ("Name of company", ["Halcyon Web Solutions"], "ORGANIZATION"),
         ("Rating", ["5.0", "4.9"], "PLAIN"),
-        ("col3", ["https://a.com/x", "https://b.com/y"], "PLAIN"),
+        ("extra", ["www.north.example", "http://south.example/q?r=1", "https://west.example/"], "PLAIN"),
         ("Email", ["a@b.com"], "EMAIL_ADDRESS"),
         ("Name", ["Linnea Dubois", "Petra Quist"], "PERSON"),
         ("Notes", ["something odd"], None),
@@ -206,10 +206,10 @@ def test_identity_and_defaults(spark):
         SD.document_id("CSV", F.col("name"), F.col("content")).alias("id"), SD.namespace("csv", F.col("name")).alias("ns"),
         SD.title_from_name(F.col("name")).alias("t"), SD.resolve_classification(F.lit(None).cast("string")).alias("c"),
         SD.resolve_department(F.lit("  ")).alias("d"), SD.page_department(F.lit("x\n3. Engineering Department Roster\n")).alias("p"),
-        F.date_format(SD.resolve_date(F.lit("D:20260715120000")), "yyyy-MM-dd").alias("day"),
+        F.date_format(SD.resolve_date(F.lit("D:20240229081500")), "yyyy-MM-dd").alias("day"),
     ).first()
     assert row.id == "CSV-MYFILE1-BA7816" and row.ns == "csv.myfile1" and row.t == "My File (1)"
-    assert (row.c, row.d, row.p, row.day) == ("INTERNAL", "General", "Engineering", "2026-07-15")
+    assert (row.c, row.d, row.p, row.day) == ("INTERNAL", "General", "Engineering", "2024-02-29")
 
 
 def test_sentences_past_the_hints_get_none(spark):
