@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tokengraph.plans import (  # noqa: F401
     answer_queries,
+    branch_queries,
     governance_queries,
     graph_queries,
     store_queries,
