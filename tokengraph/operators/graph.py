@@ -165,6 +165,7 @@ def asked(seeds: DataFrame, done: Walk, keys: list[str], limit: str | None = Non
 
 def k_hop(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, depth: int, keys: list[str], limit: str | None = None) -> DataFrame:
     """Nodes within ``depth`` hops of each seed: (keys…, node, hop) with the smallest hop; ``limit`` names a column with a smaller depth."""
+    seeds = cut(seeds)  # read before the walk and after it
     start = seeds.select("node", (F.col(limit) if limit else F.lit(depth)).alias("depth"))
     return reached_by(seeds, walk_graph(edges, nodes, start, depth), keys, limit)
 
