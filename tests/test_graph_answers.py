@@ -250,3 +250,24 @@ def test_questions_share_a_seed_with_other_depths(spark):
     assert sub == [("q1", "a", "b"), ("q2", "a", "b"), ("q2", "b", "c"), ("q2", "x", "b"), ("q3", "a", "b"), ("q3", "x", "b")]
     reach = sorted((r.query_id, r.node, r.hop) for r in G.reached_by(seeds, done, ["query_id"], "depth").collect())
     assert [x for x in reach if x[0] in ("q1", "q3")] == [("q1", "a", 0), ("q1", "b", 1), ("q3", "a", 0), ("q3", "b", 1), ("q3", "x", 0)]
+
+
+def test_seeds_with_a_common_neighbour_share_masks(spark):
+    """128 seeds that turn to two hubs by turns: each hub's seeds are one block, so a mask stands for 64 of them."""
+    facts = [(f"s{i:03}", "P", f"hub{i % 2}") for i in range(128)] + [(f"s{i:03}", "Q", f"own{i}") for i in range(128)]
+    nodes, edges = G.nodes_from(triple_rows(spark, facts)), G.edges_from(triple_rows(spark, facts))
+    names = [f"s{i:03}" for i in range(128)]
+    # One question per seed, one about all of them (two blocks), one with two depths for its two seeds, one without an id.
+    asked = [(f"q{n}", n, 1) for n in names] + [("all", n, 1) for n in names] + [("two", "s000", 0), ("two", "s001", 1), (None, "s002", 1), (None, "s003", 1)]
+    seeds = spark.createDataFrame(asked, "query_id string, node string, depth int")
+    done = G.walk_graph(edges, nodes, seeds, 2)
+    assert done.masks.filter("node LIKE 'hub%'").count() == 2
+    want_edges = sorted({(str(q), s, t) for q, n, d in asked for s, _, t in facts if s == n and d == 1})
+    got = sorted((str(r.query_id), r.source, r.target) for r in G.induced_by(seeds, done, edges, ["query_id"], "depth").collect())
+    assert got == want_edges
+    want = {}
+    for q, n, d in asked:
+        for node, hop in [(n, 0)] + [(t, 1) for s, _, t in facts if s == n and d == 1]:
+            want[str(q), node] = min(hop, want.get((str(q), node), 9))
+    reach = G.reached_by(seeds, done, ["query_id"], "depth").collect()
+    assert {(str(r.query_id), r.node): r.hop for r in reach} == want and len(reach) == len(want)
