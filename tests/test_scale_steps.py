@@ -2,6 +2,7 @@
 
 import pytest
 
+from tokengraph.operators import triples as TR
 from tokengraph.plans import derive as D
 from tokengraph.session import INPUT_PARTITIONS
 
@@ -25,3 +26,9 @@ def test_narrow_tables_are_dealt_by_rows(cluster_like, tmp_path, monkeypatch):
     assert len(parts) == 4 and max(parts) <= 30
     assert sorted(r.c_custkey for r in dealt.collect()) == list(range(100))
     assert D.table(cluster_like, str(tmp_path), "documents").rdd.getNumPartitions() == 1  # texts stay where they are
+
+
+def test_each_sentence_is_parsed_once(spark):
+    df = spark.createDataFrame([("d", 0, "⟦TK_PERSON_AAAA1111⟧ works in Legal."), ("d", 1, "She earns a lot.")], "doc_id string, sent_idx bigint, text string")
+    plan = TR.extract_triples(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ExternalRDD" not in plan and "LogicalRDD" not in plan and "LocalRelation" not in plan  # what the joins read is stored
