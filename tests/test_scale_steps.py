@@ -1,10 +1,12 @@
 """Steps whose work per task or per row must not grow with the table."""
 
 import pytest
+import yaml
 
 from tokengraph.operators import triples as TR
 from tokengraph.plans import derive as D
 from tokengraph.session import INPUT_PARTITIONS
+from tokengraph.sources import documents as SD
 
 
 @pytest.fixture
@@ -32,3 +34,28 @@ def test_each_sentence_is_parsed_once(spark):
     df = spark.createDataFrame([("d", 0, "⟦TK_PERSON_AAAA1111⟧ works in Legal."), ("d", 1, "She earns a lot.")], "doc_id string, sent_idx bigint, text string")
     plan = TR.extract_triples(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "ExternalRDD" not in plan and "LogicalRDD" not in plan and "LocalRelation" not in plan  # what the joins read is stored
+
+
+HEADERS = [
+    "a: \"x y\"\nb:\n  - ONE\n  - 'it''s'\nc: 0.9\nd: '2026-07-15'\ne: 2026-07-15",
+    "a: 1\n  b: 2", "a:\n- x\n- y", "a: yes\nb: 0x1F\nc: 1_000\nd: 08\ne: null", "a: \"tab\\t\"", "a: [1, 2]", "a: {b: c}", "é: ü", "---\na: 1", "a: b: c", "a: 1\na: 2", "", "a:", "- x",
+]
+
+
+@pytest.mark.parametrize("raw", HEADERS)
+def test_headers_load_alike(raw):
+    def get(load):
+        try:
+            return load(raw)
+        except yaml.YAMLError:
+            return "malformed"
+
+    assert get(SD.load_header) == get(yaml.safe_load)
+
+
+def test_each_header_is_decoded_once(spark):
+    head = "---\nokf_version: \"1.0\"\ndocument:\n  id: \"A\"\n---\nbody"
+    good, bad = SD.parse_documents(spark.createDataFrame([("p", head)], "path string, content string"))
+    for df in (good, bad):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert bad.count() == 1 and good.count() == 0
