@@ -1,8 +1,11 @@
 """Steps whose work per task or per row must not grow with the table."""
 
+import random
+
 import pytest
 import yaml
 
+from tokengraph.llm import order_minhash as OM
 from tokengraph.operators import triples as TR
 from tokengraph.plans import derive as D
 from tokengraph.session import INPUT_PARTITIONS
@@ -59,3 +62,20 @@ def test_each_header_is_decoded_once(spark):
     for df in (good, bad):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
     assert bad.count() == 1 and good.count() == 0
+
+
+def test_texts_that_share_their_head_are_signed_as_by_themselves(monkeypatch):
+    r = random.Random(7)
+    texts = ["", "a", "abcdefg", "abcdefgh", "a" * 30, "é🙂" * 9] + ["".join(r.choice("abc ") for _ in range(r.randrange(90))) for _ in range(60)]
+    taken = []
+    least = OM._least
+    monkeypatch.setattr(OM, "_least", lambda w, start, hashes, pick: taken.append(len(w) - start) or least(w, start, hashes, pick))
+    for chunk in (1 << 16, 8):
+        monkeypatch.setattr(OM, "CHUNK", chunk)
+        for text, following in zip(texts, texts[1:] + texts[:1]):
+            changed = OM.edited(text, following)
+            taken.clear()
+            both = OM.signatures(text, changed, len(text) - len(text) // 4)
+            if len(text) >= 30:
+                assert sum(taken) < 0.8 * (len(text) + len(changed))  # the head counts once
+            assert [s.tolist() for s in both] == [OM.signature(text).tolist(), OM.signature(changed).tolist()]

@@ -8,6 +8,7 @@ passage costs as much as changing it.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -47,41 +48,72 @@ def kmers(text: str, k: int = K) -> np.ndarray:
     return _mix(h + numbered * np.uint64(0xD6E8FEB86659FD93))
 
 
+@functools.cache
 def _seeds(hashes: int) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.RandomState(20_11)
     return (r.randint(0, 1 << 31, hashes, dtype=np.int64).astype(np.uint32) * np.uint32(2) + np.uint32(1))[:, None], r.randint(0, 1 << 32, hashes, dtype=np.int64).astype(np.uint32)[:, None]
 
 
-def signature(text: str, k: int = K, hashes: int = HASHES, pick: int = PICK) -> np.ndarray:
-    """``hashes`` 32-bit words. An empty text has the all-zero signature."""
-    words = kmers(text, k)
-    n = len(words)
-    if not n:
-        return np.zeros(hashes, np.uint32)
+def _least(words: np.ndarray, start: int, hashes: int, pick: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(hash values, places)`` of the ``pick`` least words from ``start`` on per hash function, the earlier on a tie."""
     a, b = _seeds(hashes)
-    low, high = words.astype(np.uint32), (words >> np.uint64(32)).astype(np.uint32)
-    pick = min(pick, n)
     best_v, best_p = np.empty((hashes, 0), np.uint32), np.empty((hashes, 0), np.int64)
-    for i in range(0, n, CHUNK):  # a very long text never needs more than one chunk of the matrix
-        v = (low[None, i : i + CHUNK] * a + b) ^ high[None, i : i + CHUNK]
+    rows = np.arange(hashes)
+    for i in range(start, len(words), CHUNK):  # a very long text never needs more than one chunk of the matrix
+        part = words[i : i + CHUNK]
+        low, high = part.astype(np.uint32), (part >> np.uint64(32)).astype(np.uint32)
+        v = low[None] * a
+        v += b
+        v ^= high[None]
         v *= np.uint32(0x9E3779B1)
         found_v, found_p = [], []
         for _ in range(min(pick, v.shape[1])):
-            p = v.argmin(axis=1)[:, None]
-            found_v.append(np.take_along_axis(v, p, 1))
-            found_p.append(p + i)
-            np.put_along_axis(v, p, np.uint32(0xFFFFFFFF), 1)
-        best_v, best_p = np.hstack([best_v, *found_v]), np.hstack([best_p, *found_p])
-        if best_v.shape[1] > pick:
-            keep = np.argsort(best_v, axis=1, kind="stable")[:, :pick]
-            best_v, best_p = np.take_along_axis(best_v, keep, 1), np.take_along_axis(best_p, keep, 1)
-    best_p.sort(axis=1)
+            p = v.argmin(axis=1)
+            found_v.append(v[rows, p][:, None])
+            found_p.append((p + i)[:, None])
+            v[rows, p] = np.uint32(0xFFFFFFFF)
+        best_v, best_p = _merged((best_v, best_p), (np.hstack(found_v), np.hstack(found_p)), pick)
+    return best_v, best_p
+
+
+def _merged(one: tuple, two: tuple, pick: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``pick`` least of two results of ``_least``, the second from later places."""
+    v, p = np.hstack([one[0], two[0]]), np.hstack([one[1], two[1]])
+    if v.shape[1] <= pick:
+        return v, p
+    keep = np.argsort(v, axis=1, kind="stable")[:, :pick]
+    return np.take_along_axis(v, keep, 1), np.take_along_axis(p, keep, 1)
+
+
+def _signed(words: np.ndarray, best_p: np.ndarray, hashes: int) -> np.ndarray:
+    best_p = np.sort(best_p, axis=1)
     out = np.ones(hashes, np.uint64)
     for j in range(best_p.shape[1]):
         out = _mix(out * np.uint64(0x9FB21C651E98DF25) + words[best_p[:, j]])
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
+def signature(text: str, k: int = K, hashes: int = HASHES, pick: int = PICK) -> np.ndarray:
+    """``hashes`` 32-bit words. An empty text has the all-zero signature."""
+    words = kmers(text, k)
+    if not len(words):
+        return np.zeros(hashes, np.uint32)
+    return _signed(words, _least(words, 0, hashes, pick)[1], hashes)
+
+
+def signatures(text: str, changed: str, same: int, k: int = K, hashes: int = HASHES, pick: int = PICK) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of two texts whose first ``same`` code points are equal; the k-mers inside those are hashed once.
+
+    A k-mer there is numbered by what stands before it, so both texts have it with the same word.
+    """
+    shared = same - k + 1
+    if shared < max(pick, 1):
+        return signature(text, k, hashes, pick), signature(changed, k, hashes, pick)
+    a, b = kmers(text, k), kmers(changed, k)
+    head = _least(a[:shared], 0, hashes, pick)
+    return tuple(_signed(w, _merged(head, _least(w, shared, hashes, pick), pick)[1], hashes) for w in (a, b))
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.mean(a == b))
 
@@ -139,32 +171,43 @@ def compare_neighbours(docs: DataFrame, rows_per_range: int = 4000, k: int = K,
 
     def run(batches):
         out: list[list] = [[] for _ in MADE]
-        held = None
 
-        def emit(row, following, following_sig):
-            i, text, sig = row
+        def sign(row, following):
+            """The row's id, text length, edited digest and both signatures; likeness to the next text waits for its signature."""
+            i, text = row
             changed = edited(text, following)
-            sig_changed = signature(changed, k, hashes, pick)
-            made = (i, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), text_of(sig), text_of(sig_changed), likeness(sig, sig_changed), likeness(sig, following_sig))
+            sig, sig_changed = signatures(text, changed, len(text) - len(text) // 4, k, hashes, pick)
+            return i, len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), sig, sig_changed
+
+        def emit(row, following_sig):
+            i, n, digest, sig, sig_changed = row
+            made = (i, n, digest, text_of(sig), text_of(sig_changed), likeness(sig, sig_changed), likeness(sig, following_sig))
             for column, value in zip(out, made):
                 column.append(value)
 
         for part, rows in C.in_groups(C.rows_of(batches), lambda r: r["part"]):
-            held, first = None, None
+            held, first, signed = None, None, None  # the last row read, the first one, the row before the last one
             for r in rows:
                 text = r["text"] or ""
-                sig = signature(text, k, hashes, pick)
                 if held is not None:
-                    emit(held, text, sig)
-                    held = None
+                    made = sign(held, text)
+                    if signed is not None:
+                        emit(signed, made[3])
+                    signed, held = made, None
                 if r["tail"]:
+                    if signed is not None:
+                        emit(signed, signature(text, k, hashes, pick))
+                        signed = None
                     break
-                held = (r["doc_id"], text, sig)
+                held = (r["doc_id"], text)
                 first = first or held
             for _ in rows:
                 pass
             if held is not None:
-                emit(held, first[1], first[2])
+                made = sign(held, first[1])
+                if signed is not None:
+                    emit(signed, made[3])
+                emit(made, signature(first[1], k, hashes, pick))
             if len(out[0]) >= 512:
                 yield C.batch(MADE, out)
                 out = [[] for _ in MADE]
