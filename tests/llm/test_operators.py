@@ -464,6 +464,39 @@ def test_rare_secrets_are_all_learnt_from(spark):
     assert secret_cnn.trained(rows) is not None
 
 
+def test_network_learns_from_all_findings_by_shards(spark):
+    from pyspark.sql import functions as F
+
+    key = F.concat(F.md5(F.col("id").cast("string")), F.substring(F.md5(F.concat(F.lit("b"), "id")), 1, 8))
+    text = F.when(F.col("id") % 2 == 0, F.concat(F.lit('as said before: token = "'), key, F.lit('" and no more'))).otherwise(F.concat(F.lit("see www.example.com/page"), "id", F.lit("/index.html for more")))
+    docs = spark.range(0, 10_000, 1, 4).select(F.col("id").alias("doc_id"), text.alias("text"))
+    rows = secret_cnn.shards(docs, shard=2_500).collect()
+    assert len(rows) == 4 and {r.shard for r in rows} == {0, 1, 2, 3}
+    n = {label: 0 for label in (0, 1)}
+    for r in rows:
+        for held_back in (False, True):
+            _, y, _ = secret_cnn.unpacked(r, held_back)
+            for label in (0, 1):
+                assert (y == label).any()
+                n[label] += int((y == label).sum())
+    assert n[1] == 5_000 * 2 + 2_500 + 5_000 and n[0] >= 5_000 + 5_000 // 3  # every finding with its variants
+    more = spark.createDataFrame([(10_000, "Bearer " + "ABCDEF0123456789" * 2 + "0A1B2C3D"), (10_001, "see www.example.com/page77777/index.html for more")], "doc_id long, text string")
+    got = {r.doc_id: r for r in secret_cnn.scan(docs.unionByName(more), shard=2_500).filter("doc_id >= 9000").collect()}
+    assert got[10_000].n_added == 1 and got[10_001].n_added == 0
+    assert all(got[i].n_assign == 1 for i in range(9_000, 10_000, 2)) and sum(got[i].n_added for i in range(9_001, 10_000, 2)) <= 10
+
+
+def test_rare_label_reaches_every_shard(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(0, 4_000, 1, 2).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 160 == 7, F.concat(F.lit("x token = "), F.md5(F.col("id").cast("string")))).otherwise(F.concat(F.lit("see page/of/number/"), "id")).alias("text"))
+    rows = secret_cnn.shards(docs, shard=1_000).collect()
+    assert len(rows) == 4
+    for r in rows:
+        assert int((secret_cnn.unpacked(r, False)[1] == 1).sum()) > 0 and int((secret_cnn.unpacked(r, True)[1] == 1).sum()) > 0
+    assert secret_cnn.learned(docs.limit(10), shard=1_000) is None
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a = "</p><p>no";</script></head><body class="has-sidebar"><header>Top</header>
 <nav><ul><li><a href="/a">Menu one</a><li>Menu two</ul></nav><div class="cookie-notice">We use cookies</div>
 <div class="wrap-{n}"><div class="story story-{n}"><h2>Head &eacute;{n}</h2><p>First, long paragraph of running text number {n} &amp; more<br>after it<p>Second <b>bold
