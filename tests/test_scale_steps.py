@@ -79,3 +79,15 @@ def test_texts_that_share_their_head_are_signed_as_by_themselves(monkeypatch):
             if len(text) >= 30:
                 assert sum(taken) < 0.8 * (len(text) + len(changed))  # the head counts once
             assert [s.tolist() for s in both] == [OM.signature(text).tolist(), OM.signature(changed).tolist()]
+
+
+def test_fact_index_moves_rows_once(spark):
+    from tokengraph.operators import answer as A
+
+    rows = [("q1", "a", "P", "y", 2), ("q1", "a", "P", "x", 1), ("q1", "a", "P", "y", 0), ("q1", "a", "R", "z", 5), ("q2", "a", "P", "x", 7), (None, "a", "P", "x", 8), (None, "a", "P", "x", 3)]
+    facts = spark.createDataFrame(rows, "query_id string, source string, predicate string, target string, ord long").repartition(3)
+    values = A.subject_values(facts.repartition(3))
+    plan = values._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    got = {(r.query_id, r.subject, r.predicate): (r.first_value, r.vals, r.first_ord) for r in A.indexed(values).collect()}
+    assert got == {("q1", "a", "P"): ("y", "y, x", 0), ("q1", "a", "R"): ("z", "z", 5), ("q2", "a", "P"): ("x", "x", 7), (None, "a", "P"): ("x", "x", 3)}
