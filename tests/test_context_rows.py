@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tokengraph.operators import graph as G
+from tokengraph.operators import retrieve as R
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +39,19 @@ def test_context_is_rendered_where_its_block_is(small):
         assert rows(got.select(*want.columns)) == rows(want)
 
 
+def test_lines_and_citations_are_not_exchanged(small, spark):
+    nodes, edges, seeds, done = small
+    reached = G.reached_by(seeds, done, ["query_id"], "depth", nodes)
+    sub = G.induced_by(seeds, done, edges, ["query_id"], "depth")
+    kept = [spark.createDataFrame(df.collect(), df.schema) for df in (reached, sub)]
+    plain = R.build_context(*kept, ordered=False)
+    assert rows(plain) == rows(R.build_context(*kept).select(*plain.columns))
+    cites = R.citations(kept[1], once=True)
+    assert rows(cites) == rows(R.citations(kept[1]).select(*cites.columns))
+    for df in (plain, cites):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_subgraph_keeps_further_columns_of_edges(small):
     nodes, edges, seeds, done = small
     more = edges.withColumn("cite", F.struct(F.concat("source", "target").alias("a")))
