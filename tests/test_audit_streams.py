@@ -102,3 +102,26 @@ def test_tables_without_data_rows_are_rejected(spark):
     files = spark.createDataFrame([("a.csv",), ("b.csv",), ("c.csv",)], "path string")
     lines = spark.createDataFrame([("a.csv", "h"), ("a.csv", "1"), ("b.csv", "h"), ("b.csv", "  ")], "path string, value string")
     assert sorted(r.path for r in delimited.empty_tables(files, lines).collect()) == ["b.csv", "c.csv"]
+
+
+def test_log_status_exchanges_hashes_once(spark):
+    """Of the stored texts nothing is exchanged, and of the hashes one copy; every kind of tampering still shows."""
+    events = spark.range(25).select(
+        F.col("id").alias("seq"), F.lit("t").alias("ts"), F.lit("ALERT").alias("event_type"), F.concat(F.lit('{"n": '), F.col("id").cast("string"), F.lit("}")).alias("details")
+    )
+    rows = events.join(AU.chain_entries(events, 4).select("seq", "prev_hash", "entry_hash"), "seq").collect()
+    log = spark.createDataFrame(rows, "seq bigint, ts string, event_type string, details string, prev_hash string, entry_hash string")
+    dealt = [x for x in AU.checked_segments(log, 4)._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x]
+    assert len(dealt) == 1
+    plan = AU.checked_segments(log, 4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    root = AU.root_of(log, 4)
+    seq = F.col("seq")
+    logs = {
+        "same": (log, 25, True), "hash": (log.withColumn("entry_hash", F.when(seq == 9, "forged").otherwise(F.col("entry_hash"))), 25, False),
+        "link": (log.withColumn("prev_hash", F.when(seq == 8, "forged").otherwise(F.col("prev_hash"))), 25, False), "gap": (log.filter(seq != 6), 24, False),
+        "text": (log.withColumn("details", F.when(seq == 3, "{}").otherwise(F.col("details"))), 25, False), "tail": (log.filter(seq < 20), 20, False),
+        "twice": (log.unionByName(log.filter(seq == 24)), 26, False), "empty": (log.limit(0), 0, False),
+    }
+    for name, (one, n, valid) in logs.items():
+        assert AU.log_status(one, root, 4).collect() == [(n, valid)], name

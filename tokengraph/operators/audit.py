@@ -7,10 +7,11 @@ Changing, dropping or moving any entry changes the root, and no task ever handle
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokengraph.functions import constants as K
+from tokengraph.session import cut
 
 SEGMENT = 1000
 ENTRY_TYPE = "array<struct<seq:bigint,prev_hash:string,entry_hash:string>>"
@@ -101,7 +102,12 @@ def seal_level(ends: DataFrame, segment: int = SEGMENT, genesis: str = K.GENESIS
 
 def seal(chained: DataFrame, max_seq: int, segment: int = SEGMENT) -> DataFrame:
     """One-row root over all segments. ``max_seq`` only sets the number of levels (its logarithm)."""
-    level, count = segment_ends(chained), max_seq // segment + 1
+    return seal_ends(segment_ends(chained), max_seq, segment)
+
+
+def seal_ends(ends: DataFrame, max_seq: int, segment: int = SEGMENT) -> DataFrame:
+    """``seal`` of (segment, n, end_hash)."""
+    level, count = ends, max_seq // segment + 1
     while count > 1:
         level, count = seal_level(level, segment), (count - 1) // segment + 1
     return level
@@ -142,19 +148,40 @@ def root_of(log: DataFrame, segment: int = SEGMENT) -> DataFrame:
     return seal(placed, top, segment).select("n", "end_hash")
 
 
+def checked_segments(log: DataFrame, segment: int = SEGMENT, genesis: str = K.GENESIS) -> DataFrame:
+    """(segment, n, low, high, ok, twice, end_hash) per segment of a stored log: count, range, links and contents, repeated places, end.
+
+    Contents are checked where entries are read; of an entry only its place and its hashes are exchanged, once, and what
+    comes before it is found in its segment, which holds its predecessor unless it is the segment's first.
+    """
+    seq = F.col("seq")
+    placed = verify_contents(log).select(F.floor(seq / segment).cast("bigint").alias("segment"), "seq", "prev_hash", "entry_hash", "content_valid").repartition("segment")
+    linked = placed.withColumn("_b", F.lag(F.struct("seq", "entry_hash")).over(Window.partitionBy("segment").orderBy("seq")))
+    follows = (F.col("_b.seq") == seq - 1) & (F.col("prev_hash") == F.col("_b.entry_hash"))
+    link = F.coalesce(F.when(F.pmod(seq, F.lit(segment)) == 0, F.col("prev_hash") == genesis).otherwise(follows), F.lit(False))
+    return linked.groupBy("segment").agg(
+        F.count("*").alias("n"), F.min("seq").alias("low"), F.max("seq").alias("high"), F.every(link & F.col("content_valid")).alias("ok"),
+        F.max(F.coalesce(F.col("_b.seq") == seq, F.lit(False))).alias("twice"), F.max(F.struct("seq", "entry_hash"))["entry_hash"].alias("end_hash"),
+    )
+
+
 def log_status(log: DataFrame, root: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """(entries, valid): links, contents, every ``seq`` from 0 on exactly once, and the root kept beside the log.
 
-    Links and contents alone do not show a missing or exchanged segment or a cut tail; the root does.
+    Links and contents alone do not show a missing or exchanged segment or a cut tail; the root does. All follows from a
+    row per segment, which is materialised.
     """
-    checked = verify_contents(verify_links(log, segment))
-    once = log.groupBy("seq").agg(F.count("*").alias("k")).agg(F.max("k").alias("k"))
-    state = log.agg(F.count("*").alias("entries"), F.min("seq").alias("low"), F.max("seq").alias("high"))
-    held = checked.agg(F.coalesce(F.every(F.col("chain_valid") & F.col("content_valid")), F.lit(False)).alias("ok"))
-    now = root_of(log, segment).select(F.col("n").alias("n_now"), F.col("end_hash").alias("root_now"))
+    parts = cut(checked_segments(log, segment))
+    state = parts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("entries"), F.min("low").alias("low"), F.max("high").alias("high"),
+        F.coalesce(F.every("ok"), F.lit(False)).alias("ok"), F.max("twice").alias("twice"),
+    )
+    top = parts.agg(F.max("high")).first()[0]
+    ends = parts.select("segment", "n", "end_hash")
+    now = ends.limit(0) if top is None else seal_ends(ends, top, segment)
     kept = root.agg(F.max("n").alias("n"), F.max("end_hash").alias("root"))
-    whole = state.join(held, F.lit(True)).join(once, F.lit(True)).join(kept, F.lit(True)).join(now, F.lit(True), "left")  # one row each
-    valid = F.col("ok") & (F.col("k") == 1) & (F.col("low") == 0) & (F.col("high") == F.col("entries") - 1) & (F.col("n") == F.col("n_now")) & (F.col("root") == F.col("root_now"))
+    whole = state.join(kept, F.lit(True)).join(now.select(F.col("n").alias("n_now"), F.col("end_hash").alias("root_now")), F.lit(True), "left")  # one row each
+    valid = F.col("ok") & ~F.col("twice") & (F.col("low") == 0) & (F.col("high") == F.col("entries") - 1) & (F.col("n") == F.col("n_now")) & (F.col("root") == F.col("root_now"))
     return whole.select("entries", F.coalesce(valid, F.lit(False)).alias("valid"))
 
 

@@ -12,6 +12,7 @@ from tokengraph.plans import sql as S
 from tokengraph.plans.graph_queries import _scratch
 from tokengraph.plans import text_queries  # noqa: F401  (its SQL is used again below)
 from tokengraph.plans.registry import ORACLES, query
+from tokengraph.session import cut
 from tokengraph.sources import stores
 from tokengraph.streaming import ingest
 
@@ -108,7 +109,7 @@ _KEPT = {
 def audit_status(spark, sf):
     """The stored log and four ways to tamper with it that leave every link inside a segment as it was."""
     log = _log(spark, sf)
-    root = AU.root_of(log, _SEG)
+    root = cut(AU.root_of(log, _SEG))  # one row, compared with each log
     top = log.agg(F.max("seq")).first()[0]
     seq, part = F.col("seq"), F.floor(F.col("seq") / _SEG)
     other = F.when(part == 1, seq + _SEG).when(part == 2, seq - _SEG).otherwise(seq)
