@@ -3,6 +3,9 @@
 ``facts`` are the subgraph edges of each question: query_id, source, predicate, target, ord. A subject has at most
 ``EDGE_LIMIT`` edges (the ingestion breaker), so values listed per subject are bounded; rows per question are not, and
 are only ever reduced by combinable aggregates or returned as rows.
+
+``index`` is what ``fact_index`` makes of such facts, or ``BlockFacts``, from which the facts of the questions or subjects at
+hand are told when they are read.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 from tokengraph.functions import constants as K
 from tokengraph.functions.ordered import chunked_text, nth_per_group
 from tokengraph.functions.text import contains_any, first_word_hit, literal_map
+from tokengraph.operators.facts import BlockFacts
 from tokengraph.operators.retrieve import department_named
 from tokengraph.operators.tokens import find_tokens
 from tokengraph.session import cut
@@ -75,10 +79,21 @@ def fact_index(facts: DataFrame) -> DataFrame:
     return indexed(subject_values(facts))
 
 
-def target_subjects(questions: DataFrame, index: DataFrame) -> DataFrame:
+def _index_rows(index: DataFrame | BlockFacts, asked: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """Rows of the index for (query_id[, subject], …), with those columns; ``only`` names predicates."""
+    if isinstance(index, BlockFacts):
+        return index.rows(asked, only)
+    rows = index if only is None else index.filter(F.col("predicate").isin(only))
+    return rows.join(asked, [c for c in ("query_id", "subject") if c in asked.columns])
+
+
+def target_subjects(questions: DataFrame, index: DataFrame | BlockFacts) -> DataFrame:
     """(query_id, subject): the subject a question names in full or by base name, else by its parts, else the only one."""
-    subjects = index.groupBy("query_id", "subject").agg(F.min("first_ord").alias("ord"))
-    rows = subjects.join(questions.select("query_id", "q"), "query_id")
+    asked = questions.select("query_id", "q")
+    if isinstance(index, BlockFacts):
+        rows = index.firsts(asked)
+    else:
+        rows = index.groupBy("query_id", "subject").agg(F.min("first_ord").alias("ord")).join(asked, "query_id")
     clean = F.lower(F.trim("subject"))
     base = F.regexp_replace(clean, "-[a-z]+$", "")
     q = F.col("q")
@@ -125,8 +140,11 @@ def _phrase(predicate: Column, subject: Column, value: Column, low: Column) -> C
     return F.concat(before, value, F.get(around, F.lit(1)))
 
 
-def lookup_answers(questions: DataFrame, targets: DataFrame, index: DataFrame) -> DataFrame:
+def lookup_answers(questions: DataFrame, targets: DataFrame, index: DataFrame | BlockFacts) -> DataFrame:
     """(query_id, answer) for a target and a predicate; says so when the fact is absent."""
+    if isinstance(index, BlockFacts):
+        targets = cut(targets)
+        index = cut(index.rows(targets).select("query_id", "subject", "predicate", "vals", "first_ord"))
     extra = generic_intent(questions, targets, index)
     asked = (
         questions.join(targets, "query_id")
@@ -159,12 +177,22 @@ def lookup_answers(questions: DataFrame, targets: DataFrame, index: DataFrame) -
     )
 
 
-def entity_summaries(index: DataFrame) -> DataFrame:
-    """(query_id, subject, first_ord, summary): up to twelve facts in fixed order."""
-    firsts = [
-        F.max(F.when(F.col("predicate") == p, F.col("first_value"))).alias(f"v{i}") for i, (p, _) in enumerate(K.SUMMARY_PHRASES)
-    ]
-    wide = index.groupBy("query_id", "subject").agg(F.min("first_ord").alias("first_ord"), *firsts)
+def _first_target(predicate: str) -> Column:
+    """The first target of a predicate among a subject's ``facts``."""
+    return F.get(F.filter("facts", lambda x: x["predicate"] == predicate), F.lit(0))["target"]
+
+
+def entity_summaries(index: DataFrame | BlockFacts, asked: DataFrame | None = None) -> DataFrame:
+    """(query_id, subject, first_ord, summary): up to twelve facts in fixed order; ``asked`` (query_id[, subject]), distinct rows, says of what."""
+    names = [p for p, _ in K.SUMMARY_PHRASES]
+    if isinstance(index, BlockFacts):
+        held = index.subjects(asked)
+        firsts = [_first_target(p).alias(f"v{i}") for i, p in enumerate(names)]
+        wide = held.select("query_id", "subject", F.array_min(F.transform("facts", lambda x: x["ord"])).alias("first_ord"), *firsts)
+    else:
+        rows = index if asked is None else _index_rows(index, asked)
+        firsts = [F.max(F.when(F.col("predicate") == p, F.col("first_value"))).alias(f"v{i}") for i, p in enumerate(names)]
+        wide = rows.groupBy("query_id", "subject").agg(F.min("first_ord").alias("first_ord"), *firsts)
     said = F.array_compact(F.array(*[F.concat(F.lit(words), F.col(f"v{i}")) for i, (_, words) in enumerate(K.SUMMARY_PHRASES)]))
     facts = wide.select("query_id", "subject", "first_ord", said.alias("f"))
     n, f = F.size("f"), F.col("f")
@@ -187,22 +215,19 @@ def general_answers(summaries: DataFrame, k: int = 5) -> DataFrame:
     )
 
 
-def reporting_chains(targets: DataFrame, index: DataFrame) -> DataFrame:
+def reporting_chains(targets: DataFrame, index: DataFrame | BlockFacts) -> DataFrame:
     """(query_id, subject, manager, upper, answer): two REPORTS_TO steps, the second also by base name."""
-    boss = index.filter(F.col("predicate") == "REPORTS_TO").select(
-        "query_id", "subject", F.col("first_value").alias("manager"), "first_ord"
-    )
-    one = targets.join(boss.drop("first_ord"), ["query_id", "subject"])
-    two = boss.select("query_id", F.col("subject").alias("manager"), F.col("manager").alias("_direct"))
-    staged = one.join(two, ["query_id", "manager"], "left")
+    boss = ["REPORTS_TO"]
+    one = cut(_index_rows(index, targets, boss).select(*targets.columns, F.col("first_value").alias("manager")))
+    above = _index_rows(index, one.select("query_id", F.col("manager").alias("subject")).distinct(), boss)
+    two = above.select("query_id", F.col("subject").alias("manager"), F.col("first_value").alias("_direct"))
+    staged = cut(one.join(two, ["query_id", "manager"], "left"))
     base = F.lower(F.regexp_replace("manager", "-[A-Za-z]+$", ""))
     alias = (
-        staged.filter(F.col("_direct").isNull())
-        .select("query_id", base.alias("_base"))
-        .join(boss.select("query_id", F.col("subject").alias("_s"), F.col("manager").alias("_m"), "first_ord"), "query_id")
-        .filter(F.contains(F.lower("_s"), F.col("_base")))
+        _index_rows(index, staged.filter(F.col("_direct").isNull()).select("query_id", base.alias("_base")), boss)
+        .filter(F.contains(F.lower("subject"), F.col("_base")))
         .groupBy("query_id")
-        .agg(F.min(F.struct("first_ord", "_m"))["_m"].alias("_alias"))
+        .agg(F.min(F.struct("first_ord", F.col("first_value").alias("_m")))["_m"].alias("_alias"))
     )
     done = staged.join(alias, "query_id", "left").withColumn("upper", F.coalesce("_direct", "_alias"))
     short = F.concat("subject", F.lit(" reports to "), "manager")
@@ -212,26 +237,26 @@ def reporting_chains(targets: DataFrame, index: DataFrame) -> DataFrame:
     return done.select("query_id", "subject", "manager", "upper", answer.alias("answer"))
 
 
-def list_items(questions: DataFrame, index: DataFrame) -> DataFrame:
+def list_items(questions: DataFrame, index: DataFrame | BlockFacts) -> DataFrame:
     """(query_id, first_ord, subject, item) for list questions, after the department, promotion and rating filters.
 
     A filter that no subject of the question passes is dropped. Which filters hold is decided from per-question flags
     over all filter combinations, computed in one combinable aggregate.
     """
-    q = questions.filter("is_list").select(
+    lists = questions.filter("is_list").select(
         "query_id",
         "intent",
         "list_department",
         F.contains("q", F.lit("promotion")).alias("promo"),
         F.nullif(F.regexp_extract("q", r"rating(?:\s+of)?\s+(\d+(?:\.\d+)?)", 1), F.lit("")).alias("rating"),
     )
-    rows = index.join(q, "query_id")
+    rows = _index_rows(index, cut(lists))  # few: the facts stay where they are
     p, vals = F.col("predicate"), F.col("vals")
 
     def held(name: str) -> Column:
         return F.max(F.when(p == name, vals))
 
-    per_subject = rows.groupBy("query_id", "subject", "intent", "list_department", "promo", "rating").agg(
+    grouped = rows.groupBy("query_id", "subject", "intent", "list_department", "promo", "rating").agg(
         F.min("first_ord").alias("first_ord"),
         F.max((p == "IN_DEPARTMENT") & F.contains(F.lower(vals), F.coalesce("list_department", F.lit("\u0000")))).alias("d"),
         F.max(p.isin("HAS_REASON", "PROMOTED_TO") & F.contains(F.lower(vals), F.lit("promotion"))).alias("m"),
@@ -247,6 +272,7 @@ def list_items(questions: DataFrame, index: DataFrame) -> DataFrame:
         held("HAS_SALARY").alias("salary"),
         held("HAS_SSN").alias("ssn"),
     )
+    per_subject = cut(grouped)  # read for the flags and for the items
     d, m, r = F.col("d"), F.col("m"), F.col("r")
     flags = per_subject.groupBy("query_id").agg(
         F.max(d).alias("xd"), F.max(m).alias("xm"), F.max(r).alias("xr"), F.max(d & m).alias("xdm"),
@@ -293,14 +319,14 @@ def list_answers(questions: DataFrame, items: DataFrame, per_chunk: int = 1000)
     return full.unionByName(none)
 
 
-def retention_answers(questions: DataFrame, index: DataFrame, per_chunk: int = 1000) -> DataFrame:
+def retention_answers(questions: DataFrame, index: DataFrame | BlockFacts, per_chunk: int = 1000) -> DataFrame:
     """(query_id, chunk, answer) for retention-term questions.
 
     Roles named in the question come first; else every subject with terms. The first value with a percent sign is
     preferred.
     """
     q = questions.filter("is_retention").select("query_id", F.lower("tokenized").alias("_t"))
-    rows = index.filter(F.col("predicate") == "HAS_RETENTION_BONUS").join(q, "query_id")
+    rows = _index_rows(index, q, ["HAS_RETENTION_BONUS"])
     order = F.lit(len(K.EXECUTIVE_ROLES))
     named = F.lit(False)
     for i, role in reversed(list(enumerate(K.EXECUTIVE_ROLES))):
@@ -347,12 +373,12 @@ def retention_answers(questions: DataFrame, index: DataFrame, per_chunk: int = 1
     )
 
 
-def answer_queries(prepared: DataFrame, facts: DataFrame) -> DataFrame:
+def answer_queries(prepared: DataFrame, facts: DataFrame | BlockFacts) -> DataFrame:
     """(query_id, route, chunk, answer) for every question; exactly one route per question."""
     # The routes below read these several times; they are small next to the subgraphs they come from.
     questions = question_columns(prepared)
-    index = indexed(cut(subject_values(facts)))
-    has = index.select("query_id").distinct()
+    index = facts if isinstance(facts, BlockFacts) else indexed(cut(subject_values(facts)))
+    has = cut(index.known() if isinstance(index, BlockFacts) else index.select("query_id").distinct())
     known = questions.join(has, "query_id", "left_semi")
     zero = F.lit(0).cast("bigint")
 
@@ -363,15 +389,9 @@ def answer_queries(prepared: DataFrame, facts: DataFrame) -> DataFrame:
     targets = cut(target_subjects(rest, index))
     chain = cut(reporting_chains(targets.join(rest.filter("is_chain").select("query_id"), "query_id", "left_semi"), index))
     single = cut(lookup_answers(rest.join(chain.select("query_id"), "query_id", "left_anti"), targets, index))
-    summaries = entity_summaries(index)
-    about = (
-        summaries.join(targets, ["query_id", "subject"])
-        .join(chain.select("query_id"), "query_id", "left_anti")
-        .join(single.select("query_id"), "query_id", "left_anti")
-    )
-    general = general_answers(
-        summaries.join(rest.select("query_id"), "query_id", "left_semi").join(targets.select("query_id"), "query_id", "left_anti")
-    )
+    untold = targets.join(chain.select("query_id"), "query_id", "left_anti").join(single.select("query_id"), "query_id", "left_anti")
+    about = entity_summaries(index, untold)
+    general = general_answers(entity_summaries(index, rest.select("query_id").distinct().join(targets.select("query_id"), "query_id", "left_anti")))
     missing = questions.join(has, "query_id", "left_anti").select("query_id", F.lit(K.NO_RECORDS_ANSWER).alias("answer"))
 
     def routed(df: DataFrame, route: str) -> DataFrame:

@@ -11,6 +11,7 @@ from tokengraph.functions.text import contains_any, first_word_hit, literal_arra
 from tokengraph.operators import graph as G
 from tokengraph.operators import vault as V
 from tokengraph.operators.detect import detect, explode_entities
+from tokengraph.operators.facts import BlockFacts, block_facts
 from tokengraph.operators.tokens import find_tokens, settle, tokenize
 from tokengraph.session import cut
 
@@ -143,6 +144,12 @@ def retrieve(prepared: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth:
     return seeds, reached, G.induced_by(seeds, done, edges, ["query_id"], "depth", carry=carry)
 
 
+def retrieve_facts(prepared: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int = 3, store: bool = True) -> BlockFacts:
+    """The subgraph edges of ``retrieve`` as facts that are kept per block of seeds and not per question."""
+    seeds = cut(find_seeds(prepared, nodes, edges))
+    return block_facts(seeds, G.walk_graph(edges, nodes, seeds, max_depth), edges, "depth", store)
+
+
 def unmatched(prepared: DataFrame, seeds: DataFrame) -> DataFrame:
     """(query_id, context) with the fixed message for questions without any seed."""
     return prepared.join(seeds, "query_id", "left_anti").select("query_id", F.lit(K.NO_MATCH_CONTEXT).alias("context"))
